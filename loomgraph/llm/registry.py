@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import exact_dedup
+from loomgraph.llm import byte_bpe, decontamination, exact_dedup, url_filter
 
-MODULES = [exact_dedup]
+MODULES = [exact_dedup, byte_bpe, decontamination, url_filter]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in getattr(module, "SQL", {}).items()}
