@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast after they have been counted; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 #: A key is hot when it has more than 1 / HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 512
 #: Upper-case ASCII and the lower-case letters it becomes (the contracts lower-case A-Z only).
@@ -50,13 +51,16 @@ def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """rows left-joined with groups (one row for each key) by a shuffle in which hot keys are dealt over many tasks.
+    """rows left-joined with groups (one row for each key; keys of bounded width): by a broadcast if groups has been counted
+    to have BROADCAST_ROWS at most, else by a shuffle in which hot keys are dealt over many tasks.
 
     size: the column of groups that holds the rows of its key; total: the rows of all. The keys with more than
     total / HOT_SHARE rows are at most HOT_SHARE by counting, so they are broadcast with the number of parts that each is
     dealt to; the groups of hot keys are repeated once for each part (2 * HOT_SHARE rows at most).
     """
     parts = F.ceil(F.col(size) * HOT_SHARE / F.lit(max(total, 1))).cast("int")
+    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), keys, "left")
     groups = groups.withColumn("_parts", F.when(F.col(size) * HOT_SHARE > total, parts).otherwise(F.lit(1)))
     hot = groups.filter("_parts > 1").select(*keys, "_parts")
     dealt = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
@@ -95,3 +99,49 @@ def free_name(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+_CLASSES: dict[str, np.ndarray] = {}
+
+
+def letter_table() -> np.ndarray:
+    """The lower-case letter of each code point, 0 for what isn't a letter; made once in each worker."""
+    if "letters" not in _CLASSES:
+        table = np.zeros(0x110000, dtype=np.uint32)
+        for c in range(0x30000):
+            if not 0xD800 <= c < 0xE000 and (ch := chr(c)).isalpha():
+                low = ch.lower()
+                table[c] = ord(low) if len(low) == 1 else c
+        _CLASSES["letters"] = table
+    return _CLASSES["letters"]
+
+
+def kind_table() -> np.ndarray:
+    """0 other, 1 lower-case or caseless letter, 2 upper-case letter, 3 digit, 4 white space, for each code point."""
+    if "kinds" not in _CLASSES:
+        table = np.zeros(0x110000, dtype=np.uint8)
+        for c in range(0x30000):
+            if not 0xD800 <= c < 0xE000:
+                ch = chr(c)
+                table[c] = 2 if ch.isupper() else 1 if ch.isalpha() else 3 if ch.isdigit() else 4 if ch.isspace() else 0
+        _CLASSES["kinds"] = table
+    return _CLASSES["kinds"]
+
+
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the texts, a NUL before each, and where each text's NUL is."""
+    joined = "".join("\0" + t for t in texts)
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]) if texts else np.zeros(0, dtype=np.int64)
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), starts
+
+
+def slices(texts: list[str], chars: int = 1_000_000):
+    """(from, to) of runs of texts of about `chars` characters; a longer text is a run of its own."""
+    lo = size = 0
+    for hi, text in enumerate(texts):
+        size += len(text)
+        if size >= chars:
+            yield lo, hi + 1
+            lo, size = hi + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)

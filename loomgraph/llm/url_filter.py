@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LOWER, UPPER, join_groups
+from loomgraph.llm.common import LOWER, UPPER, cut, join_groups
 
 #: (verdict, host, path) of the production rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -68,12 +68,12 @@ def judge_urls(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]
     total = rows.count()
     for level in range(DEPTH):
         rows = rows.withColumn("seg", F.when(F.col("path") != "", F.get("_segs", F.lit(level))))
-        rows = join_groups(rows, _branches(rows), ["host", "template", "seg"], "size", total).drop("size")
+        rows = join_groups(rows, cut(_branches(rows)), ["host", "template", "seg"], "size", total).drop("size")
         step = F.when(F.col("seg").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
         rows = rows.withColumn("template", F.concat("template", step)).drop("seg", "branch")
     rows = rows.withColumn("template", F.when(F.size("_segs") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_segs")
     purity = ((F.coalesce(F.sum("blocked"), F.lit(0)) + PRIOR_ROWS / 2) / (F.count("blocked") + PRIOR_ROWS)).alias("purity")
-    judged = rows.groupBy("host", "template").agg(F.count(F.lit(1)).alias("size"), F.count("blocked").alias("labelled"), purity)
+    judged = cut(rows.groupBy("host", "template").agg(F.count(F.lit(1)).alias("size"), F.count("blocked").alias("labelled"), purity))
     rows = join_groups(rows, judged, ["host", "template"], "size", total)
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
     return rows.select("_row.*", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "template", "labelled", "purity")
