@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, decontamination, exact_dedup, language_id, quality, url_filter
+from loomgraph.llm import byte_bpe, decontamination, exact_dedup, html_extraction, language_id, quality, url_filter
 
-MODULES = [language_id, quality, decontamination, exact_dedup, byte_bpe, url_filter]
+MODULES = [language_id, html_extraction, quality, decontamination, exact_dedup, byte_bpe, url_filter]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in getattr(module, "SQL", {}).items()}
