@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,3 +146,46 @@ def slices(texts: list[str], chars: int = 1_000_000):
             lo, size = hi + 1, 0
     if lo < len(texts):
         yield lo, len(texts)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (bytes), remembered up to a number of words."""
+
+    LIMIT = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """The words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased, in UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Well-mixed 64-bit values, one for each value of x (uint64)."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for the nodes of edges (a, b): the smallest node that each reaches. Labels move along edges and jump to
+    their label's label until none changes; every round is checkpointed, and nothing but counts comes to the driver."""
+    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).filter("node <> other").distinct())
+    labels = cut(both.groupBy("node").agg(F.min("other").alias("label")).select("node", F.least("node", "label").alias("label")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("_near")), "other").groupBy("node").agg(F.min("_near").alias("_near"))
+        moved = labels.join(near, "node").select("node", F.least("label", "_near").alias("label"), F.col("label").alias("_was"))
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("_up"))
+        jumped = cut(moved.join(up, "label", "left").select("node", F.least("label", F.coalesce("_up", "label")).alias("label"), "_was"))
+        changed = jumped.filter("label <> _was").limit(1).count()
+        labels = jumped.select("node", "label")
+        if not changed:
+            return labels
