@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, decontamination, exact_dedup, html_extraction, jaccard_join, language_id, lm_scoring, quality, url_filter
+from loomgraph.llm import byte_bpe, decontamination, exact_dedup, html_extraction, jaccard_join, language_id, lm_scoring, quality, substring_dedup, url_filter
 
-MODULES = [language_id, html_extraction, quality, decontamination, exact_dedup, lm_scoring, byte_bpe, url_filter, jaccard_join]
+MODULES = [language_id, html_extraction, quality, decontamination, exact_dedup, lm_scoring, byte_bpe, url_filter, substring_dedup, jaccard_join]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in getattr(module, "SQL", {}).items()}
