@@ -41,7 +41,7 @@ _NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 _KINDS = {
     **dict.fromkeys(["article", "main"], "article"), **dict.fromkeys(_HEADINGS, "heading"), **dict.fromkeys(["nav", "menu"], "nav"), "header": "header", "footer": "footer", "aside": "aside",
     **dict.fromkeys(["form", "fieldset", "label", "dialog"], "form"), **dict.fromkeys(["p", "pre", "blockquote", "figcaption", "summary"], "text"), **dict.fromkeys(["ul", "ol", "dl"], "list"),
-    **dict.fromkeys(["li", "dt", "dd"], "item"), **dict.fromkeys(["table", "thead", "tbody", "tfoot", "tr"], "table"), **dict.fromkeys(["td", "th", "caption"], "cell"), "address": "footer",
+    **dict.fromkeys(["li", "dt", "dd"], "item"), **dict.fromkeys(["table", "thead", "tbody", "tfoot", "tr"], "table"), **dict.fromkeys(["td", "th", "caption"], "cell"), "address": "footer", "html": "root", "body": "root",
 }
 _KIND_NAMES = ["other", *sorted(set(_KINDS.values()))]
 #: Words in class, id and role names, by what they speak for.
@@ -168,17 +168,22 @@ def train(pages: list[str]) -> TreeModel:
     """Counts the potentials on pages whose elements carry data-label; an element without one has its parent's label."""
     root = np.ones(2)
     edge = np.full((_SIZES[0], _SIZES[1], 2, 2), 0.5)
-    own = [np.full((_SIZES[0], 2, n), 0.5) for n in _SIZES[2:]]
+    own = [np.full((_SIZES[0], 2, n), 2.0) for n in _SIZES[2:]]
+    seen_as = np.zeros((_SIZES[0], 2))
     for page in pages:
         nodes = parse(page)
         for node, seen in zip(nodes, _evidence(nodes)):
             node.label = (nodes[node.parent].label if node.parent >= 0 else 0) if node.label is None else node.label
+            seen_as[seen[0], node.label] += 1
             if node.parent < 0:
                 root[node.label] += 1
             else:
                 edge[seen[0], seen[1], nodes[node.parent].label, node.label] += 1
                 for table, value in zip(own, seen[2:]):
                     table[seen[0], node.label, value] += 1
+    for kind, state in zip(*np.nonzero(seen_as == 0)):  # a kind that was never in a state gives no evidence about it
+        for table in own:
+            table[kind, state] = table[kind, 1 - state]
     log = lambda t: np.log(t / t.sum(axis=-1, keepdims=True)).tolist()
     return TreeModel(log(root), log(edge), [log(t) for t in own])
 
@@ -240,7 +245,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
     word = lambda: "".join(pick(syllables) for _ in range(rng.randint(1, 4)))
     some = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     link = lambda a=1, b=3: f'<a href="/{word()}">{some(a, b)}</a>'
-    prose = lambda: some(*pick([(1, 6), (8, 30), (30, 90), (60, 200)])) + pick([".", ".", ".", "", "!"])
+    prose = lambda: some(*pick([(1, 6), (6, 15), (8, 30), (30, 90), (60, 200)])) + pick([".", ".", ".", "", "!"])
     named = lambda *names: pick(["class", "class", "id"]) + f'="{pick(names)}"'
     menu = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 8))) + "</ul>"
 
@@ -254,7 +259,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
 
     def article() -> str:
         parts = [f"<h{pick('112')}>{some(3, 10)}</h1>".replace("</h1>", "</h1>")] if rng.random() < 0.85 else []
-        for _ in range(rng.randint(1, 9)):
+        for _ in range(pick([1, 1, 2, 2, 3, 5, 8])):
             r = rng.random()
             if r < 0.8:
                 parts.append(paragraph())
@@ -303,7 +308,9 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
 
 
 def with_main_text(pages: DataFrame, model: TreeModel, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """pages with out_col, the main text of the whole html; null, empty and contentless pages have an empty one."""
+    """pages with out_col, the main text of the whole html; null, empty and contentless pages have an empty one. A column that is
+    named out_col already is replaced; all rows stay."""
+    pages = pages.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
