@@ -249,13 +249,17 @@ def _with_codec(df: DataFrame, path: str, pattern: str, text_col: str, out: list
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """df with out_col, the ids of each text (null and empty: no ids). Special tokens are ordinary text."""
+    """df with out_col, the ids of each text (null and empty: no ids). Special tokens are ordinary text. A column that is named
+    out_col already is replaced."""
+    df = df.drop(out_col)
     field = T.StructField(out_col, T.ArrayType(T.IntegerType(), False), False)
     return _with_codec(df, path, pattern, text_col, [field], lambda codec, texts: [pa.array(codec.encode_batch(texts), type=pa.list_(pa.field("element", pa.int32(), False)))])
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
-    """df with out_col, the bytes of the ids (null: empty). An id that the vocabulary lacks is an error."""
+    """df with out_col, the bytes of the ids (null: empty). An id that the vocabulary lacks is an error. A column that is named out_col
+    already is replaced."""
+    df = df.drop(out_col)
     tokens = read_ranks(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +273,9 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "bytes
 
 def encode_decode(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """df with n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 (the decoded bytes), without moving the
-    ids out of the worker. Null text counts as empty; rows are neither dropped nor merged."""
+    ids out of the worker. Null text counts as empty; rows are neither dropped nor merged. Columns of these names are
+    replaced."""
+    df = df.drop("n_tokens", "ids_sha256", "decoded_sha256")
     out = [T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)]
 
     def make(codec: Codec, texts: list[str]) -> list[pa.Array]:

@@ -132,11 +132,13 @@ def with_leaks(
     Words are lower-cased runs of letters, digits and underscores. An item of n words may differ by floor(share * n) words;
     it is split into one run more than that, so a match holds one run unchanged, and every such hit is verified. Each item is
     listed once, at its best match. Null or empty texts hold no leak, null items and those below min_words match nothing;
-    rows of docs stay as they are, repeated ones too. The whole text is searched. Items are taken in blocks of BLOCK_CHARS,
+    rows of docs stay as they are, repeated ones too; a column
+    that is named out_col already is replaced. The whole text is searched. Items are taken in blocks of BLOCK_CHARS,
     each with a scan of its own, so a worker's automaton has a bounded size.
     """
-    for items_now in _blocks(items, item_id, item_text, BLOCK_CHARS):
-        had = out_col in docs.columns
+    docs = docs.drop(out_col)
+    for k, items_now in enumerate(_blocks(items, item_id, item_text, BLOCK_CHARS)):
+        had = k > 0
         schema = docs.schema if had else T.StructType([*docs.schema.fields, T.StructField(out_col, LEAKS)])
 
         def run(batches: Iterator[pa.RecordBatch], items_now=items_now, had=had) -> Iterator[pa.RecordBatch]:

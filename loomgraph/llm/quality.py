@@ -174,7 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def with_quality(docs: DataFrame, model: Gam, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs with out_col, the probability that a whole text is good. Null counts as empty; an empty text has all features 0."""
+    """docs with out_col, the probability that a whole text is good. Null counts as empty; an empty text has all features 0. A
+    column that is named out_col already is replaced."""
+    docs = docs if out_col == text_col else docs.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
