@@ -189,3 +189,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
         if not changed:
             return labels
+
+
+def pack(x: np.ndarray) -> bytes:
+    """A sorted uint64 array as differences, by byte planes, which compress where differences are small."""
+    return np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(b, dtype=np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)

@@ -12,15 +12,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHashes, components, cut, join_groups, mixed, plain_words, small_or_not, written
+from loomgraph.llm.common import WordHashes, bitmap, components, cut, join_groups, mixed, pack, plain_words, small_or_not, unpack, written
 
 #: Partners of one document that one task verifies.
 PARTNERS_A_TASK = 2048
-#: Members of a bucket up to which its pairs are listed; larger ones are refined until none is left.
-LISTED = 8
+#: Members of a bucket up to which its pairs are listed; larger ones are refined, LEVELS times at most. What is still large
+#: then shares rare differences again and again, and is listed too.
+LISTED, LEVELS = 32, 4
+#: Entries that one task counts, and bits of the table that tells which keys are shared (8 MB).
+BUCKET_ENTRIES, SHARED_BITS = 500_000, 26
+#: What looking at a pair costs, in index entries.
+PAIR_COST = 2
 
 _WORDS = WordHashes()
 _FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
@@ -76,7 +81,7 @@ def allocation(budget: int, size: float, sets: int) -> tuple[int, int]:
         k = size / (exact + deletion)
         entries = sets * (exact + deletion * (k + 1))
         chance = np.exp(-2 * k)
-        pairs = sets * sets / 2 * (exact * chance + deletion * chance * (1 + 2 * k))
+        pairs = PAIR_COST * sets * sets / 2 * (exact * chance + deletion * chance * (1 + 2 * k))
         if best is None or entries + pairs < best[0]:
             best = (entries + pairs, exact, deletion)
     return best[1:]
@@ -86,12 +91,12 @@ def index_keys(tokens: np.ndarray, shelf: int, exact: int, deletion: int) -> np.
     """The keys under which a set is indexed on a shelf: a sum of hashes for each segment, and for deletion segments also
     that sum less each of the segment's shingles."""
     m = exact + deletion
-    segment = (mixed(tokens + np.uint64(shelf) * _FACTORS[0]) >> np.uint64(20)) % np.uint64(m)
+    segment = (mixed(tokens + np.uint64(shelf * int(_FACTORS[0]) & (1 << 64) - 1)) >> np.uint64(20)) % np.uint64(m)
     segment = segment.astype(np.int64)
     value = mixed(tokens ^ _FACTORS[1])
     sums = np.zeros(m, dtype=np.uint64)
     np.add.at(sums, segment, value)
-    salt = mixed(np.arange(m, dtype=np.uint64) + np.uint64(shelf) * _FACTORS[2])
+    salt = mixed(np.arange(m, dtype=np.uint64) + np.uint64(shelf * int(_FACTORS[2]) & (1 << 64) - 1))
     keys = mixed(sums + salt)
     if deletion:
         loose = segment >= exact
@@ -99,6 +104,15 @@ def index_keys(tokens: np.ndarray, shelf: int, exact: int, deletion: int) -> np.
     return keys.view(np.int64)
 
 
+def sketch(tokens: np.ndarray, shelf: int, percent: int) -> np.ndarray:
+    """A parity bit for each of as many bits as three quarters of the shelf's sizes, in words of 64: two sets' sketches never
+    differ in more bits than the sets do in shingles."""
+    words = max(1, _bands(percent, 1 << 40)[shelf] * 3 // 4 // 64 + 1)
+    at = mixed(tokens ^ _FACTORS[4]) % np.uint64(words * 64)
+    bits = (np.bincount(at.astype(np.int64), minlength=words * 64) & 1).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     """(id, n, h1, h2): the size of each row's set and 128 bits that stand for it."""
 
@@ -116,7 +130,8 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _entries(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, int]]) -> DataFrame:
-    """(id, n, low, high): each row's keys on its own band's shelf, where it is the smaller, and on the shelf below."""
+    """(id, n, low, high): each row's keys on its own band's shelf, where it is the smaller, and on the shelf below. They
+    are as large as the texts, so they are made anew where they are read, not stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,6 +148,22 @@ def _entries(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, i
     return docs.mapInArrow(run, "id long, n long, low array<bigint>, high array<bigint>")
 
 
+def _sketches(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, int]]) -> DataFrame:
+    """(id, low_sketch, high_sketch): each row's sketches on the same two shelves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            for text in batch.column(1):
+                s = shingle_set(text.as_py(), n)
+                band = _band(len(s), percent) if len(s) else -9
+                for bits, shelf in zip(out, (band, band - 1)):
+                    bits.append(sketch(s, shelf, percent) if shelf in plan else ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in out)], names=["id", "low_sketch", "high_sketch"])
+
+    return docs.mapInArrow(run, "id long, low_sketch array<bigint>, high_sketch array<bigint>")
+
+
 def compare(texts: DataFrame, pairs: DataFrame, n: int, percent: int, differences: bool = False) -> DataFrame:
     """(a, b, n, d, linked, diff) for pairs (a, b) of ids: b's set size, in how many shingles the whole sets differ, whether
     they are linked, and with `differences` those shingles. Each a's text is sent once to every task that holds up to
@@ -172,18 +203,85 @@ def compare(texts: DataFrame, pairs: DataFrame, n: int, percent: int, difference
 _COMPARED = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
 
 
+def _shared_keys(index: DataFrame, total: int) -> DataFrame:
+    """(key, size) of the keys that several sets have, one of them as the smaller. Keys are counted in packed sorted arrays,
+    one for each batch and hash bucket, so a key is sent once for each batch, however many sets have it."""
+    buckets = max(16, -(-int(total) // BUCKET_ENTRIES))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high = (batch.column(i).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+            keys, place = np.unique(np.concatenate([low, high]), return_inverse=True)
+            n, small = np.bincount(place, minlength=len(keys)), np.bincount(place[: len(low)], minlength=len(keys))
+            bucket = (mixed(keys) >> np.uint64(24)) % np.uint64(buckets)
+            order = np.lexsort((keys, bucket))
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.nonzero(np.diff(ends))[0]:
+                at = order[ends[b] : ends[b + 1]]
+                row = [int(b), pack(keys[at]), n[at].astype("<u4").tobytes(), (small[at] > 0).astype(np.uint8).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["bucket", "keys", "n", "small"])
+
+    def count(rows: pa.Table) -> pa.Table:
+        keys, place = np.unique(np.concatenate([unpack(b.as_py()) for b in rows["keys"]]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([np.frombuffer(b.as_py(), "<u4") for b in rows["n"]]))
+        small = np.bincount(place, np.concatenate([np.frombuffer(b.as_py(), np.uint8) for b in rows["small"]]))
+        use = (n > 1) & (small > 0)
+        return pa.table({"key": keys[use].view(np.int64), "size": n[use].astype(np.int64)})
+
+    asked = index.select("low", "high").mapInArrow(ask, "bucket long, keys binary, n binary, small binary")
+    return cut(asked.groupBy("bucket").applyInArrow(count, "key long, size long"))
+
+
+def _shared_entries(index: DataFrame, shared: DataFrame) -> DataFrame:
+    """The index's entries under shared keys: (key, id, n, index, open). A bit table of fixed size sorts out nearly all
+    others before any row is made of them; the join with the keys decides."""
+    table = np.zeros(1 << (SHARED_BITS - 3), dtype=np.uint8)
+    for page, bits in bitmap(shared, "key", SHARED_BITS).collect():
+        table[page * 4096 : (page + 1) * 4096] = np.frombuffer(bits, dtype=np.uint8)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for i, small in ((2, True), (3, False)):
+                lists = batch.column(i)
+                row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+                keys = lists.flatten().to_numpy(zero_copy_only=False)
+                at = keys & ((1 << SHARED_BITS) - 1)
+                use = table[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+                k = int(use.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array(ids[row[use]]), pa.array(sizes[row[use]]), pa.array([small] * k, pa.bool_()), pa.array([True] * k, pa.bool_())], names=["key", "id", "n", "index", "open"])
+
+    return index.select("id", "n", "low", "high").mapInArrow(pick, "key long, id long, n long, index boolean, open boolean")
+
+
 def _live(buckets: DataFrame) -> DataFrame:
     """buckets (key, id, n, index, open) with their size, less those that hold no pair to look at."""
     counts = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if("index").alias("_i"), F.count_if("open").alias("_o")).filter("size > 1 AND _i > 0 AND _o > 0").select("key", "size"))
-    return cut(join_groups(buckets, counts, ["key"], "size", max(1, counts.count())).filter("size IS NOT NULL"))
+    return written(_fewer(join_groups(buckets, counts, ["key"], "size", max(1, counts.count())).filter("size IS NOT NULL")), "buckets")
+
+
+def _fewer(buckets: DataFrame) -> DataFrame:
+    """buckets without those that have the same members as another: near copies share most of their keys."""
+    member = F.xxhash64("id", "index", "open")
+    kinds = buckets.groupBy("key").agg(F.bit_xor(member).alias("_x"), F.sum(member.bitwiseAND(F.lit((1 << 40) - 1))).alias("_s"), F.max("size").alias("size"))
+    first = cut(kinds.groupBy("_x", "_s", "size").agg(F.min("key").alias("key")).select("key", F.col("size").alias("_rows")))
+    return join_groups(buckets, first, ["key"], "_rows", max(1, first.count())).filter("_rows IS NOT NULL").drop("_rows")
+
+
+def _apart(a: str, b: str) -> Column:
+    """In how many bits two sketches differ, a lower bound of the shingles in which the sets do; null if one is missing."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
 
 
-def _listed(buckets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of each bucket of LISTED members at most, of which one is an index entry, one is open, and sizes fit."""
-    x, y = buckets.alias("x"), buckets.alias("y")
+def _listed(some: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a member of `some` and one of `others` in one bucket, one an index entry, one open, whose sizes and
+    sketches allow a link."""
+    x, y = some.alias("x"), others.alias("y")
     fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    wanted = (F.col("x.index") | F.col("y.index")) & (F.col("x.open") | F.col("y.open")) & fits & (F.col("x.id") < F.col("y.id"))
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & wanted).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    most = F.floor((F.col("x.n") + F.col("y.n")) * (100 - percent) / (100 + percent))
+    fits = fits & F.coalesce(_apart("x.sketch", "y.sketch") <= most, F.lit(True))
+    wanted = (F.col("x.index") | F.col("y.index")) & (F.col("x.open") | F.col("y.open")) & (F.col("x.id") < F.col("y.id") if some is others else F.col("x.id") != F.col("y.id")) & fits
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & wanted).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def _next_buckets(compared: DataFrame, percent: int) -> DataFrame:
@@ -200,7 +298,7 @@ def _next_buckets(compared: DataFrame, percent: int) -> DataFrame:
     most = F.floor(F.col("n") * (100 - percent) / percent)  # U, with a partner of any size that fits
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "token"))
     ranked = each.withColumn("rank", rank).filter((F.col("rank") <= most + 1) & (F.col("often") > 1))
-    return ranked.select(F.xxhash64("a", "token").alias("key"), F.col("b").alias("id"), "n", (F.col("rank") <= F.floor(most / 2) + 1).alias("index"), (~F.col("linked")).alias("open"))
+    return ranked.select(F.xxhash64("a", "token").alias("key"), F.col("b").alias("id"), "n", (F.col("rank") <= F.floor(most / 2) + 1).alias("index"), (~F.col("linked")).alias("open"), F.lit(None).cast("array<bigint>").alias("sketch"))
 
 
 def near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
@@ -220,23 +318,43 @@ def near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     for shelf in [b - 1 for b in by_band if b - 1 not in by_band]:
         plan.pop(shelf, None)  # no smaller set is on that shelf
 
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    index = written(_entries(texts, n, percent, plan).filter("size(low) + size(high) > 0").join(reps, "id", "left_semi"), "index")
-    low = index.select(F.explode("low").alias("key"), "id", "n", F.lit(True).alias("index"), F.lit(True).alias("open"))
-    high = index.select(F.explode("high").alias("key"), "id", "n", F.lit(False).alias("index"), F.lit(True).alias("open"))
-    buckets = _live(low.unionByName(high))
+    total = 0
+    for shelf, (exact, deletion) in plan.items():
+        for count, sizes in (by_band[shelf], by_band.get(shelf + 1, (0, 0))):
+            total += count * (exact + deletion) + (sizes * deletion // (exact + deletion))
+    twins = sets.join(classes, ["n", "h1", "h2"]).groupBy("id").agg(F.bool_and(F.col("id") != F.col("rep")).alias("twin")).filter("twin").select("id")  # their representatives stand for them
+    texts = texts.filter("id IS NOT NULL")
+    indexed = texts.join(small_or_not(cut(twins)), "id", "left_anti").select("id", "text")
+    index = _entries(indexed, n, percent, plan)
+    shared = _shared_keys(index, total)
+    entries = _shared_entries(index, shared)
+    buckets = written(_fewer(written(join_groups(entries, shared, ["key"], "size", max(1, shared.count())).filter("size IS NOT NULL"), "entries")), "buckets")
+    involved = cut(buckets.select("id").distinct())
+    sketches = written(_sketches(indexed.join(small_or_not(involved), "id", "left_semi"), n, percent, plan), "sketches")
+    repeated = sketches.groupBy("id").count().filter("count > 1").select("id")
+    sketches = sketches.join(small_or_not(repeated), "id", "left_anti")  # an id with several sets has no one sketch
+    buckets = buckets.join(sketches, "id", "left").withColumn("sketch", F.when(F.col("index"), F.col("low_sketch")).otherwise(F.col("high_sketch"))).drop("low_sketch", "high_sketch")
+    buckets = written(buckets, "buckets")
     links, candidates = None, None
-    while True:
-        small = _listed(buckets.filter(F.col("size") <= LISTED), percent)
-        candidates = small if candidates is None else candidates.unionByName(small)
-        large = buckets.filter(F.col("size") > LISTED)
+    for level in range(LEVELS + 1):
+        refined = F.col("size") > (LISTED if level < LEVELS else 1 << 62)
+        small = buckets.filter(~refined)
+        pairs = _listed(small, small, percent)
+        candidates = pairs if candidates is None else candidates.unionByName(pairs)
+        large = buckets.filter(refined)
         if not large.limit(1).count():
             break
-        # Everyone against the most connected member of each large bucket: the original, where its copies are there.
-        score = cut(large.groupBy("id").agg(F.sum("size").alias("score")))
-        scored = cut(large.join(score, "id"))
-        heads = cut(scored.groupBy("key").agg(F.max(F.struct("index", "score", (-F.col("id")).alias("minus"))).alias("h"), F.max("size").alias("rows")).select("key", "rows", (-F.col("h.minus")).alias("a")))
-        grouped = join_groups(scored.select("key", F.col("id").alias("b")), heads, ["key"], "rows", max(1, scored.count())).filter("a <> b").select("a", "b")
+        # In a large bucket, everyone near the most connected member is compared with it: the original, where its copies are
+        # there. Those that its sketch tells apart have few partners; these are listed by their sketches.
+        score = cut(large.drop("sketch").groupBy("id").agg(F.sum("size").alias("score")))
+        scored = large.join(score, "id")
+        best = F.max(F.struct("index", "score", (-F.col("id")).alias("minus"), F.col("n").alias("head_n"), F.col("sketch").alias("head_sketch")))
+        heads = cut(scored.groupBy("key").agg(best.alias("h"), F.max("size").alias("rows")).select("key", "rows", (-F.col("h.minus")).alias("a"), "h.head_n", "h.head_sketch"))
+        headed = join_groups(large, heads, ["key"], "rows", max(1, heads.count()))
+        near = F.coalesce(_apart("sketch", "head_sketch") * (100 + percent) <= (F.col("n") + F.col("head_n")) * (100 - percent), F.lit(True))
+        headed = written(headed.withColumn("near", near).drop("head_sketch", "rows"), "headed")
+        candidates = candidates.unionByName(_listed(headed.filter("NOT near"), headed, percent))
+        grouped = headed.filter("near AND a <> id").select("a", F.col("id").alias("b"))
         compared = written(compare(texts, grouped, n, percent, differences=True), "compared")
         found = compared.filter("linked").select("a", "b").distinct()
         links = found if links is None else links.unionByName(found)
