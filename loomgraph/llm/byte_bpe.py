@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 #: Leaves of the largest tree that is built for many pieces side by side, and such pieces at a time.
 WIDE, SIDE_BY_SIDE = 64, 8192
 #: Encoded chunks that a worker remembers before it starts anew; characters that it handles at a time.
-REMEMBERED, CHARS_AT_ONCE = 400_000, 1_000_000
+REMEMBERED, CHARS_AT_ONCE = 250_000, 1_000_000
 
 _AMBIGUOUS = re.compile(r"\s\s|\s\Z")
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
@@ -222,15 +223,16 @@ def _codec(tokens: list[bytes | None], pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _some_at_once(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _some_at_once(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts of about CHARS_AT_ONCE bytes; a longer text is a run of its own."""
     lo = size = 0
-    for hi, text in enumerate(texts):
-        size += len(text)
+    for hi, length in enumerate(pc.binary_length(column).to_pylist()):
+        size += length or 0
         if size >= CHARS_AT_ONCE:
             yield lo, hi + 1
             lo, size = hi + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(column):
+        yield lo, len(column)
 
 
 def _with_codec(df: DataFrame, path: str, pattern: str, text_col: str, out: list[T.StructField], make: Callable) -> DataFrame:
@@ -240,10 +242,11 @@ def _with_codec(df: DataFrame, path: str, pattern: str, text_col: str, out: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(tokens, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            texts = batch.column(batch.schema.get_field_index(text_col))
             for lo, hi in _some_at_once(texts):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, *make(codec, texts[lo:hi])], names=[*part.schema.names, *(f.name for f in out)])
+                made = make(codec, [t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(f.name for f in out)])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *out]))
 

@@ -151,7 +151,7 @@ def slices(texts: list[str], chars: int = 1_000_000):
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
