@@ -293,6 +293,35 @@ def test_passages(spark):
     assert substring_dedup.repeated_passages(empty(spark)).count() == 0
 
 
+def test_short_passages_with_differing_words(spark):
+    """Passages just over the least length whose edits leave a seed somewhere: every word set apart is in a passage's reach."""
+    rng, rows = random.Random(4), []
+    for k, (n, at) in enumerate([(52, [8, 13, 40, 46]), (52, [3, 24, 28, 33, 48]), (60, [4, 9, 14, 34, 39, 44]), (60, [6, 12, 18, 40, 46, 52]), (80, [5, 10, 15, 20, 42, 47, 52, 57, 62, 70])]):
+        shared = [f"{w}{k}{i}" for i, w in enumerate(prose(rng, n).split())]
+        changed = [f"new{k}x{i}" if i in at else w for i, w in enumerate(shared)]
+        rows += [(2 * k, f"{prose(rng, 40)} {' '.join(shared)} {prose(rng, 40)}"), (2 * k + 1, f"{prose(rng, 30)} {' '.join(changed)} {prose(rng, 50)}")]
+    got = {(r.doc_id, r.source_id): r for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert set(got) == {(2 * k + 1, 2 * k) for k in range(5)}
+    assert [(r.end_word - r.start_word, r.distance) for _, r in sorted(got.items())] == [(52, 4), (52, 5), (60, 6), (60, 6), (80, 10)]
+
+
+def test_distance_and_reach():
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, v in enumerate(x, 1):
+            last = [i]
+            for j, w in enumerate(y, 1):
+                last.append(min(row[j - 1] + (v != w), row[j] + 1, last[-1] + 1))
+            row = last
+        return row[-1]
+
+    rng = random.Random(6)
+    for _ in range(200):
+        x, y = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 12))] for _ in range(2)]
+        assert substring_dedup.distance(x, y) == edits(x, y)
+        assert all(edits(x[:i], y[:j]) == e for e, i, j in substring_dedup.reaches(x, y))
+
+
 def test_chain_is_the_best_of_all():
     rng = random.Random(3)
     for _ in range(200):
