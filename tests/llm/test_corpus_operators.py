@@ -305,6 +305,29 @@ def test_short_passages_with_differing_words(spark):
     assert [(r.end_word - r.start_word, r.distance) for _, r in sorted(got.items())] == [(52, 4), (52, 5), (60, 6), (60, 6), (80, 10)]
 
 
+def test_every_exact_run_is_in_a_passage(spark):
+    """Lines that first stand in several documents, single words over and over, and repeated lines, against all runs of 50 words."""
+    rng = random.Random(12)
+    lines = [[f"{w}{k}" for w in prose(rng, 40).split()] for k in range(6)]
+    own = lambda n: prose(rng, n).split()
+    texts = [own(60) + lines[0] + own(20), lines[1] + own(70), own(10) + lines[0] + lines[1] + own(50), own(33) + lines[0] + lines[1] + own(8)]
+    texts += [own(30) + ["the"] * 60 + own(20), own(9) + ["the"] * 180, ["the"] * 130, own(12) + lines[2][:30] + own(40)]
+    around = [own(10), own(10)]
+    texts += [own(20) + around[0] + lines[2][:30] + around[1] + own(7), own(25) + around[0] + lines[2][:30] + around[1] + own(31)]
+    texts += [lines[3][:8] * 9 + own(20), own(20) + lines[3][3:8] + lines[3][:8] * 12 + own(5), own(80)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    for i, w in enumerate(texts):
+        earlier = {tuple(o[k : k + 50]) for o in texts[:i] for k in range(len(o) - 49)}
+        for k in range(len(w) - 49):
+            if tuple(w[k : k + 50]) in earlier:
+                assert any(r.doc_id == i and r.start_word <= k and k + 50 <= r.end_word for r in got), (i, k)
+    assert {r.doc_id for r in got} == {3, 5, 6, 9, 11}
+    for r in got:
+        mine, theirs = texts[r.doc_id][r.start_word : r.end_word], texts[r.source_id][r.source_start : r.source_end]
+        assert len(mine) >= 50 and edit_distance(mine, theirs) <= r.distance <= 0.2 * len(mine)
+
+
 def test_distance_and_reach():
     def edits(x, y):
         row = list(range(len(y) + 1))
