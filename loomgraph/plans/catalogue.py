@@ -342,4 +342,4 @@ def question_thresholds(spark, sf_dir):
     return c.select("conv_id", "turn", X.threshold(F.col("text")).alias("number"))
 
 
-from loomgraph.plans import catalogue_more  # noqa: E402, F401  registers the rest
+from loomgraph.plans import catalogue_more, catalogue_whole  # noqa: E402, F401  registers the rest
