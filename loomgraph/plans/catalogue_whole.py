@@ -3,8 +3,10 @@ query of the same name without _whole gives a part of the same."""
 
 from __future__ import annotations
 
+from loomgraph.operators import quality
 from loomgraph.plans.catalogue import query
-from loomgraph.plans.testgraph import table
+from loomgraph.plans.catalogue_more import _ALLOWED
+from loomgraph.plans.testgraph import table, testgraph
 from loomgraph.sources import files
 
 
@@ -12,3 +14,10 @@ from loomgraph.sources import files
 def episodes_chunk_whole(spark, sf_dir):
     """The episodes of all documents, with their contents."""
     return files.episodes(table(spark, sf_dir, "documents"), "text")
+
+
+@query()
+def ontology_conformance_whole(spark, sf_dir):
+    """All edges of all relations that break the ontology."""
+    allowed = spark.createDataFrame(_ALLOWED, "src_type string, dst_type string, rel string")
+    return quality.conformance(testgraph(spark, sf_dir), allowed.select("rel"), allowed)

@@ -43,3 +43,17 @@ def test_episodes_of_whole_texts(spark, tmp_path):
         assert len(chunks) > 3
         want += [(f"{title} (part {k}/{len(chunks)})", c) for k, c in enumerate(chunks, 1)]
     assert sorted(got) == sorted(want)
+
+
+def test_conformance_of_all_relations(spark, graph):
+    nodes, edges = graph
+    allowed = {("SUPPLIER", "PART", "SUPPLIES"), ("CUSTOMER", "NATION", "LOCATED_IN"), ("NATION", "REGION", "IN_REGION")}
+    want = set()
+    for e in edges:
+        a, b = nodes[e.src].type, nodes[e.dst].type
+        if e.rel not in ("SUPPLIES", "LOCATED_IN", "IN_REGION", "HAS_BRAND"):
+            want.add((e.edge_id, a, e.rel, b, "undeclared relation"))
+        elif (a, b, e.rel) not in allowed and e.rel != "HAS_BRAND":
+            want.add((e.edge_id, a, e.rel, b, "not allowed for the types"))
+    got = run(spark, "ontology_conformance_whole")
+    assert set(map(tuple, got)) == want and len(got) == len(want) and "ORDERED" in {r.rel for r in got}
