@@ -3,12 +3,19 @@ query of the same name without _whole gives a part of the same."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.graph import PropertyGraph
 from loomgraph.operators import quality
-from loomgraph.plans.catalogue import query
+from loomgraph.plans.catalogue import graph_query, query
 from loomgraph.plans.catalogue_more import _ALLOWED
 from loomgraph.plans.testgraph import table, testgraph
 from loomgraph.sources import files
 
+#: Neighbours in a part of a node's list, and rows of a side that may be broadcast after they have been counted.
+NEIGHBOURS, BROADCAST_ROWS = 1000, 100_000
+
 
 @query()
 def episodes_chunk_whole(spark, sf_dir):
@@ -21,3 +28,19 @@ def ontology_conformance_whole(spark, sf_dir):
     """All edges of all relations that break the ontology."""
     allowed = spark.createDataFrame(_ALLOWED, "src_type string, dst_type string, rel string")
     return quality.conformance(testgraph(spark, sf_dir), allowed.select("rel"), allowed)
+
+
+def node_docs(g: PropertyGraph, most: int = NEIGHBOURS) -> DataFrame:
+    """(id, name, type, rel, part, neighbours): every node with the names of what its edges of each relation lead to, the id
+    where there is no name. Where a node has more than `most` edges of a relation they are dealt into parts of about `most`;
+    a node without edges has one row without relation."""
+    edges = g.edges.select(F.col("src").alias("id"), "rel", "edge_id", "dst")
+    hot = edges.groupBy("id", "rel").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("id", "rel", F.ceil(F.col("n") / most).alias("parts"))
+    hot = F.broadcast(hot) if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hot
+    dealt = edges.join(hot, ["id", "rel"], "left").withColumn("part", F.pmod(F.xxhash64("edge_id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    named = dealt.join(g.nodes.select(F.col("id").alias("dst"), F.col("name").alias("other")), "dst", "left")
+    lists = named.groupBy("id", "rel", "part").agg(F.array_sort(F.collect_list(F.coalesce("other", "dst"))).alias("neighbours"))
+    return g.nodes.select("id", "name", "type").join(lists, "id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>")))
+
+
+graph_query(None, name="graph_node_docs_whole", f=node_docs)

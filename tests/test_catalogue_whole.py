@@ -1,5 +1,6 @@
 """Queries over the whole graph and whole tables against brute force in Python."""
 
+import collections
 import os
 
 import pytest
@@ -57,3 +58,15 @@ def test_conformance_of_all_relations(spark, graph):
             want.add((e.edge_id, a, e.rel, b, "not allowed for the types"))
     got = run(spark, "ontology_conformance_whole")
     assert set(map(tuple, got)) == want and len(got) == len(want) and "ORDERED" in {r.rel for r in got}
+
+
+def test_docs_of_all_nodes(spark, graph):
+    from loomgraph.plans.catalogue_whole import node_docs
+
+    nodes, edges = graph
+    want = collections.Counter((e.src, e.rel, nodes[e.dst].name) for e in edges)
+    for got, parts in ((run(spark, "graph_node_docs_whole"), 1), (node_docs(whole_graph(spark, SF), 20).collect(), 3)):
+        assert {r.id for r in got} == set(nodes)
+        assert collections.Counter((r.id, r.rel, n) for r in got for n in r.neighbours) == want
+        assert {r.id for r in got if r.rel is None} == set(nodes) - {e.src for e in edges}
+        assert len({(r.id, r.rel, r.part) for r in got}) == len(got) and max(r.part or 0 for r in got) >= parts - 1
