@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import PropertyGraph
-from loomgraph.operators import quality
-from loomgraph.plans.catalogue import graph_query, query
+from loomgraph.operators import paths, quality
+from loomgraph.plans.catalogue import _region_of_first, graph_query, query
 from loomgraph.plans.catalogue_more import _ALLOWED
 from loomgraph.plans.testgraph import table, testgraph
 from loomgraph.sources import files
@@ -44,3 +44,12 @@ def node_docs(g: PropertyGraph, most: int = NEIGHBOURS) -> DataFrame:
 
 
 graph_query(None, name="graph_node_docs_whole", f=node_docs)
+
+# -- paths over all relations, within the operators' own hop limits ----------------------------------------------------
+graph_query(None, name="shortest_path_hops_whole", f=lambda g: paths.distances(g, "R1").select("id", "hops"))
+graph_query(None, name="reachable_k_whole", f=lambda g: paths.reachable(g, "S1", kind="REGION"))
+for _how in ("more", "less", "approx"):
+    graph_query(None, name=f"compare_shock_{_how}_whole", f=lambda g, how=_how: paths.compare_exposure(g, "S1", "S2", "R1", how))
+graph_query(None, name="compare_pair_whole", f=lambda g: paths.compare_pair(g, "S1", "S2"))
+graph_query(None, name="causal_trails_whole", f=lambda g: paths.trails(g, "S1", None, limit=None).select("id", "hops", paths.rendered(F.col("path_nodes"), F.col("path_rels")).alias("path")))
+graph_query(None, name="edges_between_whole", f=lambda g: paths.edges_between(g, "S1", _region_of_first(g)))

@@ -70,3 +70,44 @@ def test_docs_of_all_nodes(spark, graph):
         assert collections.Counter((r.id, r.rel, n) for r in got for n in r.neighbours) == want
         assert {r.id for r in got if r.rel is None} == set(nodes) - {e.src for e in edges}
         assert len({(r.id, r.rel, r.part) for r in got}) == len(got) and max(r.part or 0 for r in got) >= parts - 1
+
+
+def hops_from(edges, source):
+    beside = collections.defaultdict(set)
+    for e in edges:
+        beside[e.src].add(e.dst)
+        beside[e.dst].add(e.src)
+    hops, level = {source: 0}, [source]
+    while level:
+        level = [m for n in level for m in beside[n] if hops.setdefault(m, hops[n] + 1) == hops[n] + 1]
+        level = list(dict.fromkeys(level))
+    return hops
+
+
+def test_paths_over_all_relations(spark, graph):
+    nodes, edges = graph
+    of_region, of_s1, of_s2 = (hops_from(edges, n) for n in ("R1", "S1", "S2"))
+    assert {(r.id, r.hops) for r in run(spark, "shortest_path_hops_whole")} == {(n, h) for n, h in of_region.items() if h <= 12}
+    want = sorted((h, n) for n, h in of_s1.items() if nodes[n].type == "REGION" and 0 < h <= 6)[:20]
+    assert sorted((r.hops, r.id) for r in run(spark, "reachable_k_whole")) == want
+    a, b = of_region["S1"], of_region["S2"]
+    more, less = run(spark, "compare_shock_more_whole")[0], run(spark, "compare_shock_less_whole")[0]
+    assert (more.hops_a, more.hops_b, more.more_exposed, less.less_exposed) == (a, b, "S1" if a < b else "S2", "S1" if a > b else "S2")
+    assert len(run(spark, "compare_shock_approx_whole")) == (abs(a - b) <= 1)
+    assert [r.hops for r in run(spark, "compare_pair_whole")] == [of_s1["S2"]] and of_s2["S1"] == of_s1["S2"]
+
+
+def test_trails_and_edges_between_over_all_relations(spark, graph):
+    nodes, edges = graph
+    out = collections.defaultdict(list)
+    for e in edges:
+        out[e.src].append(e)
+    want, level = collections.Counter(), [("S1", "S1", ())]
+    for hops in range(1, 11):
+        level = [(e.dst, f"{path} -[{e.rel}]-> {e.dst}", (*used, e.edge_id)) for at, path, used in level for e in out[at] if e.edge_id not in used]
+        want.update((at, hops, path) for at, path, _ in level)
+    assert collections.Counter(map(tuple, run(spark, "causal_trails_whole"))) == want
+    target = next(f.dst for e in out["S1"] if e.rel == "LOCATED_IN" for f in out[e.dst] if f.rel == "IN_REGION")
+    near, far = hops_from(edges, "S1"), hops_from(edges, target)
+    within = {e.edge_id for e in edges for x, y in ((e.src, e.dst), (e.dst, e.src)) if near.get(x, 99) + 1 + far.get(y, 99) <= 12}
+    assert {r.edge_id for r in run(spark, "edges_between_whole")} == within
