@@ -10,6 +10,7 @@ from loomgraph.graph import PropertyGraph
 from loomgraph.operators import paths, quality
 from loomgraph.plans.catalogue import _region_of_first, graph_query, query
 from loomgraph.plans.catalogue_more import _ALLOWED
+from loomgraph.plans.linking import mentions
 from loomgraph.plans.testgraph import table, testgraph
 from loomgraph.sources import files
 
@@ -53,3 +54,12 @@ for _how in ("more", "less", "approx"):
 graph_query(None, name="compare_pair_whole", f=lambda g: paths.compare_pair(g, "S1", "S2"))
 graph_query(None, name="causal_trails_whole", f=lambda g: paths.trails(g, "S1", None, limit=None).select("id", "hops", paths.rendered(F.col("path_nodes"), F.col("path_rels")).alias("path")))
 graph_query(None, name="edges_between_whole", f=lambda g: paths.edges_between(g, "S1", _region_of_first(g)))
+
+
+@query()
+def gazetteer_link_whole(spark, sf_dir):
+    """Mentions of the graph's part and brand names in questions about parts."""
+    part = table(spark, sf_dir, "part")
+    names = [r[0] for r in part.select(F.col("p_name").alias("n")).union(part.select("p_brand")).distinct().filter("n IS NOT NULL").collect()]
+    question = F.concat(F.lit("Does "), "p_brand", F.lit(" sell the "), F.upper("p_name"), F.lit(", or is "), "p_name", F.lit("s by "), "p_brand", F.lit("?"))
+    return mentions(part.select("p_partkey", question.alias("question")), "question", names)

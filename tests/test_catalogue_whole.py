@@ -2,6 +2,7 @@
 
 import collections
 import os
+import re
 
 import pytest
 
@@ -111,3 +112,18 @@ def test_trails_and_edges_between_over_all_relations(spark, graph):
     near, far = hops_from(edges, "S1"), hops_from(edges, target)
     within = {e.edge_id for e in edges for x, y in ((e.src, e.dst), (e.dst, e.src)) if near.get(x, 99) + 1 + far.get(y, 99) <= 12}
     assert {r.edge_id for r in run(spark, "edges_between_whole")} == within
+
+
+def test_mentions_of_graph_names(spark, graph):
+    nodes, _ = graph
+    names = sorted({n.name.lower() for n in nodes.values() if n.type in ("PART", "BRAND")}, key=len, reverse=True)
+    got = run(spark, "gazetteer_link_whole")
+    assert len(got) == sum(n.type == "PART" for n in nodes.values())
+    for r in got:
+        text, at, want = r.question.lower(), 0, []
+        while at < len(text):
+            free = at == 0 or not re.match(r"\w", text[at - 1])
+            hit = next((n for n in names if free and text.startswith(n, at) and not re.match(r"\w", text[at + len(n) : at + len(n) + 1])), None)
+            want += [hit] if hit else []
+            at += len(hit) if hit else 1
+        assert r.mentions == want and len(want) >= 3
