@@ -19,8 +19,9 @@ from loomgraph.llm.common import code_points, cut, join_groups, letter_table, sl
 
 #: Hashed letter trigrams; the model is a table of languages x BUCKETS.
 BUCKETS = 1 << 14
-#: A declared language is one of the model's if it has this share of all rows, so there are 1 / share of them at most.
-LANGUAGE_SHARE = 0.005
+#: Rows that declare a language before it is one of the model's, however many others there are; and languages whose counts a
+#: task holds, or the driver fetches, at once.
+LEAST_ROWS, LANGUAGES_AT_ONCE = 5, 64
 #: Letters up to which a text's evidence grows; trigrams of one text depend on each other, so more doesn't count as more.
 EVIDENCE_LETTERS = 200
 #: Rows of the parent's prior that are added to a host's or a domain's own counts.
@@ -41,37 +42,48 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train_trigrams(docs: DataFrame, text_col: str, declared: Column) -> tuple[list[str], np.ndarray]:
     """The languages, and the log probability of each trigram bucket in each, counted over all rows."""
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), declared.alias("lang"))
-    total = rows.count()
-    counted = rows.filter("lang IS NOT NULL").groupBy("lang").count().filter(F.col("count") >= LANGUAGE_SHARE * total)
+    counted = rows.filter("lang IS NOT NULL").groupBy("lang").count().filter(F.col("count") >= LEAST_ROWS)
     languages = sorted(r[0] for r in counted.collect())
     if not languages:
         return [], np.zeros((0, BUCKETS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {x: i for i, x in enumerate(languages)}
-        seen = np.zeros((len(languages), BUCKETS), dtype=np.int64)
+        seen: dict[int, np.ndarray] = {}
+
+        def counted() -> pa.RecordBatch:
+            cells = [(lang * BUCKETS + np.nonzero(n)[0], n[n > 0]) for lang, n in seen.items()]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=pa.int64()) for c in zip(*cells)], names=["cell", "n"])
+
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), [at.get(x, -1) for x in batch.column(1).to_pylist()]
+            texts, langs = batch.column(0).to_pylist(), np.array([at.get(x, -1) for x in batch.column(1).to_pylist()], dtype=np.int64)
             for lo, hi in slices(texts):
                 bucket, counts, starts = _trigrams(texts[lo:hi])
                 lang = np.repeat(langs[lo:hi], np.diff([*starts, len(bucket)]))
-                use = counts & (lang >= 0)
-                seen += np.bincount(lang[use] * BUCKETS + bucket[use], minlength=seen.size).reshape(seen.shape)
-        cell = np.nonzero(seen.ravel())[0]
-        yield pa.RecordBatch.from_arrays([pa.array(cell, type=pa.int64()), pa.array(seen.ravel()[cell])], names=["cell", "n"])
-
-    sums = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    table = np.full(len(languages) * BUCKETS, 0.5)
-    for cell, n in sums:
-        table[cell] += n
-    table = table.reshape(len(languages), BUCKETS)
-    return languages, np.log(table / table.sum(axis=1, keepdims=True))
+                for i in np.unique(langs[lo:hi][langs[lo:hi] >= 0]).tolist():
+                    if i not in seen and len(seen) >= LANGUAGES_AT_ONCE:
+                        yield counted()
+                    n = np.bincount(bucket[counts & (lang == i)], minlength=BUCKETS)
+                    seen[i] = seen[i] + n if i in seen else n
+        if seen:
+            yield counted()
+
+    sums = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = cut(sums) if len(languages) > LANGUAGES_AT_ONCE else sums
+    model = np.zeros((len(languages), BUCKETS), dtype=np.float32)
+    for lo in range(0, len(languages), LANGUAGES_AT_ONCE):
+        hi = min(lo + LANGUAGES_AT_ONCE, len(languages))
+        part = sums.filter(F.col("cell").between(lo * BUCKETS, hi * BUCKETS - 1)).toArrow()
+        table = np.full((hi - lo) * BUCKETS, 0.5)
+        table[part["cell"].to_numpy() - lo * BUCKETS] += part["n"].to_numpy()
+        table = table.reshape(hi - lo, BUCKETS)
+        model[lo:hi] = np.log(table / table.sum(axis=1, keepdims=True))
+    return languages, model
 
 
 def _with_likelihoods(docs: DataFrame, text_col: str, model: np.ndarray) -> DataFrame:
     """docs with _letters and _ll, the text's log likelihood in each language, scaled to EVIDENCE_LETTERS at most."""
-    table = model.astype(np.float32)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
@@ -79,7 +91,7 @@ def _with_likelihoods(docs: DataFrame, text_col: str, model: np.ndarray) -> Data
                 bucket, counts, starts = _trigrams(texts[lo:hi])
                 letters = np.add.reduceat(counts.astype(np.int64), starts)
                 scale = np.minimum(letters, EVIDENCE_LETTERS) / np.maximum(letters, 1)
-                sums = np.stack([np.add.reduceat(np.where(counts, row[bucket], 0).astype(np.float64), starts) * scale for row in table], axis=1)
+                sums = np.stack([np.add.reduceat(np.where(counts, row[bucket], 0).astype(np.float64), starts) * scale for row in model], axis=1)
                 part = batch.slice(lo, hi - lo)
                 lists = pa.array(list(sums), type=pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(letters), lists], names=[*part.schema.names, "_letters", "_ll"])
@@ -99,7 +111,8 @@ def identify(
     declared: the declared (markup) language; host, domain (the host's parent) and suffix: the address. Each may be null in a
     row or left out; it is then no evidence, and a row without host has its domain's prior. Rows with no letters, null texts
     too, and rows whose best language has a probability under LEAST_CONFIDENCE get lang_id 'und' and lang_kept false. Whole
-    texts count; all rows stay, repeated ones alike. With no declared language in the table, all rows are 'und'.
+    texts count; all rows stay, repeated ones alike. A language is known if LEAST_ROWS rows declare it; with
+    none in the table, all rows are 'und'.
     """
     docs = docs.drop("lang_id", "lang_confidence", "lang_letters", "lang_kept")
     none = F.lit(None).cast("string")
@@ -113,36 +126,43 @@ def identify(
     scored = _with_likelihoods(packed.select("_text", *evidence), "_text", model)
     seen = cut(scored.filter("_letters > 0").groupBy(*evidence, _argmax(F.col("_ll")).alias("_lang")).agg(F.count(F.lit(1)).alias("_n")))
     k = len(languages)
-    by_lang = [F.coalesce(F.sum(F.when(F.col("_lang") == i, F.col("_n"))), F.lit(0)).alias(f"_{i}") for i in range(k)]
-    world = seen.agg(*by_lang).first()
+    array = lambda values: F.array(*map(F.lit, values))
+    found = {r[0]: r[1] for r in seen.groupBy("_lang").agg(F.sum("_n")).collect()}
+    world = [found.get(i, 0) for i in range(k)]
     total = max(1, sum(world))
     base = [(n + 1) / (total + k) for n in world]
 
+    def counts(key: str, *more: Column) -> DataFrame:
+        """_size, the rows of each value of key, and _of, these by language."""
+        n = seen.filter(F.col(key).isNotNull()).groupBy(key, "_lang").agg(F.sum("_n").alias("_n"), *more)
+        again = [F.max(c).alias(c) for c in n.columns[3:]]
+        n = n.groupBy(key).agg(F.sum("_n").alias("_size"), F.map_from_entries(F.collect_list(F.struct("_lang", "_n"))).alias("_by"), *again)
+        return n.withColumn("_of", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.col("_by")[i], F.lit(0)))).drop("_by")
+
     def likelihoods(key: str, out: str) -> DataFrame:
         """log P(value | language) for each value of the evidence, with one more row for each value and one unseen."""
-        values = seen.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("_n").alias("_size"), *by_lang)
+        values = counts(key)
         kinds = values.count() + 1
-        logs = [F.log((F.col(f"_{i}") + 1) / F.lit(world[i] + kinds)) for i in range(k)]
-        return cut(values.select(key, "_size", F.array(*logs).alias(out)))
+        return cut(values.select(key, "_size", F.transform("_of", lambda n, i: F.log((n + 1) / (F.get(array(world), i) + kinds))).alias(out)))
 
-    smooth = lambda parent: F.array(*[(F.col(f"_{i}") + PRIOR_ROWS * parent[i]) / (sum(F.col(f"_{j}") for j in range(k)) + PRIOR_ROWS) for i in range(k)])
-    domains = cut(seen.filter("_domain IS NOT NULL").groupBy("_domain").agg(F.sum("_n").alias("_size"), *by_lang).select("_domain", "_size", smooth([F.lit(p) for p in base]).alias("_of_domain")))
-    hosts = seen.filter("_host IS NOT NULL").groupBy("_host").agg(F.sum("_n").alias("_size"), F.max("_domain").alias("_domain"), *by_lang)
-    hosts = hosts.join(domains.select("_domain", "_of_domain"), "_domain", "left").withColumn("_of_domain", F.coalesce("_of_domain", F.array(*map(F.lit, base))))
-    hosts = cut(hosts.select("_host", "_size", smooth([F.get("_of_domain", F.lit(i)) for i in range(k)]).alias("_of_host")))
+    smooth = lambda parent: F.transform("_of", lambda n, i: (n + PRIOR_ROWS * F.get(parent, i)) / (F.col("_size") + PRIOR_ROWS))
+    domains = cut(counts("_domain").select("_domain", "_size", smooth(array(base)).alias("_of_domain")))
+    hosts = counts("_host", F.max("_domain").alias("_domain"))
+    hosts = hosts.join(domains.select("_domain", "_of_domain"), "_domain", "left").withColumn("_of_domain", F.coalesce("_of_domain", array(base)))
+    hosts = cut(hosts.select("_host", "_size", smooth(F.col("_of_domain")).alias("_of_host")))
 
     rows = _with_likelihoods(packed, "_text", model).drop("_text")
     for table, key in ((hosts, "_host"), (domains, "_domain"), (likelihoods("_declared", "_by_declared"), "_declared"), (likelihoods("_suffix", "_by_suffix"), "_suffix")):
         rows = join_groups(rows, table, [key], "_size", total).drop("_size")
-    prior = F.coalesce("_of_host", "_of_domain", F.array(*map(F.lit, base)))
-    term = lambda c, i: F.coalesce(F.get(c, F.lit(i)), F.lit(0.0))
-    logs = F.array(*[F.get("_ll", F.lit(i)) + F.log(F.get(prior, F.lit(i))) + term("_by_declared", i) + term("_by_suffix", i) for i in range(k)])
+    prior = F.coalesce("_of_host", "_of_domain", array(base))
+    term = lambda c, i: F.coalesce(F.get(c, i), F.lit(0.0))
+    logs = F.transform("_ll", lambda x, i: x + F.log(F.get(prior, i)) + term("_by_declared", i) + term("_by_suffix", i))
     rows = rows.select("_row", "_letters", logs.alias("_log"))
     best = F.array_max("_log")
     confidence = 1 / F.aggregate("_log", F.lit(0.0), lambda a, x: a + F.exp(x - best))
     rows = rows.select("_row", "_letters", _argmax(F.col("_log")).alias("_best"), confidence.alias("_sure"))
     kept = (F.col("_letters") > 0) & (F.col("_sure") >= LEAST_CONFIDENCE)
-    name = F.when(kept, F.get(F.array(*map(F.lit, languages)), F.col("_best"))).otherwise(F.lit("und"))
+    name = F.when(kept, F.get(array(languages), F.col("_best"))).otherwise(F.lit("und"))
     return rows.select("_row.*", name.alias("lang_id"), F.col("_sure").alias("lang_confidence"), F.col("_letters").alias("lang_letters"), kept.alias("lang_kept"))
 
 

@@ -200,6 +200,19 @@ def test_language(spark):
 
 
 # -- HTML -------------------------------------------------------------------------------------------------------------
+def test_rare_languages(spark, monkeypatch):
+    """Twelve declared rows in 5,000 are a language of their own, whatever else is in the table and in however many blocks."""
+    monkeypatch.setattr(language_id, "LANGUAGES_AT_ONCE", 2)
+    rng = random.Random(9)
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "rare": "pqrst", "odd": "uvwxy"}
+    say = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(12))
+    rows = [(i, say(lang), lang if i % 3 or lang == "rare" else None) for i, lang in enumerate(["aa"] * 2500 + ["bb"] * 2000 + ["cc"] * 486 + ["rare"] * 12)]
+    rows += [(9000, say("rare"), None), (9001, say("aa"), None), (9002, say("odd"), "odd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("one"))
+    got = {r.doc_id: r.lang_id for r in language_id.identify_documents(docs).filter("doc_id >= 4980").collect()}
+    assert [got[i] for i in (*range(4986, 4998), 9000)] == ["rare"] * 13 and got[9001] == "aa" and got[4985] == "cc"
+
+
 def test_html_marginals_are_exact():
     """Messages give the same marginals as the sum over all labellings of a small tree."""
     model = html_extraction.train(html_extraction.labelled_pages(60))
