@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +19,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: A key is hot when it has more than 1 / HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 512
+#: Rows and bytes of a batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8_000_000
 #: Upper-case ASCII and the lower-case letters it becomes (the contracts lower-case A-Z only).
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -148,21 +155,99 @@ def slices(texts: list[str], chars: int = 1_000_000):
         yield lo, len(texts)
 
 
+def text_slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts of about `most` bytes; a longer text is a run of its own."""
+    lo = size = 0
+    for hi, length in enumerate(pc.binary_length(column).to_pylist()):
+        size += length or 0
+        if size >= most:
+            yield lo, hi + 1
+            lo, size = hi + 1, 0
+    if lo < len(column):
+        yield lo, len(column)
+
+
+class Remembered(dict):
+    """A dict that knows about how many bytes it takes; its owner starts a new one when they are too many."""
+
+    #: Of an entry, beside the key and the value.
+    ENTRY = 110
+
+    def __init__(self):
+        super().__init__()
+        self.bytes = 0
+
+    def keep(self, keys: Iterable, values: Iterable) -> None:
+        keys, values = list(keys), list(values)
+        self.update(zip(keys, values))
+        self.bytes += sum(map(sys.getsizeof, keys)) + sum(map(sys.getsizeof, values)) + self.ENTRY * len(keys)
+
+
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a number of words."""
+    """64-bit hashes of words (bytes), remembered up to a number of bytes and to the end of the task."""
+
+    MOST_BYTES, ENTRY = 24_000_000, 180
 
-    LIMIT = 150_000
+    def __init__(self):
+        super().__init__()
+        self.bytes = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        if self.bytes >= self.MOST_BYTES:
+            self.forget()
+        value = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        if len(word) <= 256:
+            self.bytes += self.ENTRY + len(word)
+            self[word] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.bytes = 0
+
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
 
 
+#: The worker's hashes, which all operators share.
+WORDS = WordHashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return WORDS.of(words)
+
+
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system: workers live on from stage to stage."""
+    WORDS.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of bounded bytes, whose worker gives its memory back at the end of the task."""
+
+    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(slim, schema)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches between Spark and Python of BATCH_ROWS rows and BATCH_BYTES bytes at most, where the session has larger ones."""
+    size_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < size_of(spark.conf.get(key)) <= most:
+            spark.conf.set(key, most)
+
+
 def plain_words(text: str | None) -> list[bytes]:
     """The words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased, in UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

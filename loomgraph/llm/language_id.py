@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import code_points, cut, join_groups, letter_table, slices
+from loomgraph.llm.common import code_points, cut, in_arrow, join_groups, letter_table, slices
 
 #: Hashed letter trigrams; the model is a table of languages x BUCKETS.
 BUCKETS = 1 << 14
@@ -69,7 +69,7 @@ def train_trigrams(docs: DataFrame, text_col: str, declared: Column) -> tuple[li
         if seen:
             yield counted()
 
-    sums = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = in_arrow(rows, count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     sums = cut(sums) if len(languages) > LANGUAGES_AT_ONCE else sums
     model = np.zeros((len(languages), BUCKETS), dtype=np.float32)
     for lo in range(0, len(languages), LANGUAGES_AT_ONCE):
@@ -96,7 +96,7 @@ def _with_likelihoods(docs: DataFrame, text_col: str, model: np.ndarray) -> Data
                 lists = pa.array(list(sums), type=pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(letters), lists], names=[*part.schema.names, "_letters", "_ll"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_letters", T.LongType()), T.StructField("_ll", T.ArrayType(T.DoubleType()))]))
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("_letters", T.LongType()), T.StructField("_ll", T.ArrayType(T.DoubleType()))]))
 
 
 def _argmax(values: Column) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import BROADCAST_ROWS, WordHashes, fold, mixed, plain_words, written
+from loomgraph.llm.common import BROADCAST_ROWS, fold, in_arrow, mixed, plain_words, word_hashes, written
 
 #: Tokens of a block of documents (a longer document is a block of its own), and bytes of text that one count bucket stands for.
 BLOCK_TOKENS, BUCKET_BYTES = 1_500_000, 6_000_000
@@ -30,7 +30,6 @@ CONTEXTS = 20
 CELL, LOWEST = 0.05, -10.0
 EM_ROUNDS = 40
 
-_WORDS = WordHashes()
 _END = np.uint64(0x5BF03635D1A2C3E7)
 _CELLS = int(-LOWEST / CELL) + 2
 
@@ -87,7 +86,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             for i, part, text in zip(batch.column(0), batch.column(1), batch.column(2)):
                 words = plain_words(text.as_py())
                 h = np.empty(len(words) + 1, dtype=np.uint64)
-                h[:-1] = _WORDS.of(words) & ~np.uint64(1)
+                h[:-1] = word_hashes(words) & ~np.uint64(1)
                 h[-1] = _END & ~np.uint64(1)
                 deleted = part.as_py() == DELETED
                 for x, v in zip(held[deleted], (i.as_py(), part.as_py(), len(h), h)):
@@ -100,7 +99,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             if held[deleted][0]:
                 yield block(deleted)
 
-    return docs.mapInArrow(run, _BLOCK)
+    return in_arrow(docs, run, _BLOCK)
 
 
 def _open(row: dict) -> tuple[np.ndarray, ...]:
@@ -127,7 +126,7 @@ def _requests(blocks: DataFrame, buckets: int, held_out: int) -> DataFrame:
                     k = order[ends[b] : ends[b + 1]]
                     yield pa.RecordBatch.from_arrays([pa.array([int(b)]), pa.array([row["block"]]), pa.array([_pack(keys[k])]), pa.array([_planes(counts[0][k])]), pa.array([_planes(counts[1][k])])], names=["bucket", "block", "keys", "kept", "deleted"])
 
-    return blocks.mapInArrow(run, "bucket long, block long, keys binary, kept binary, deleted binary")
+    return in_arrow(blocks, run, "bucket long, block long, keys binary, kept binary, deleted binary")
 
 
 def _answers(requests: DataFrame) -> DataFrame:

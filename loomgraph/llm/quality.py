@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import code_points, fold, kind_table, slices
+from loomgraph.llm.common import code_points, fold, in_arrow, kind_table, slices
 
 #: Labelled rows that the classifier is fitted on at most, chosen by hash.
 FIT_ROWS = 20_000
@@ -159,7 +159,7 @@ def _feature_rows(docs: DataFrame, text_col: str) -> DataFrame:
             x = features([t or "" for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), type=pa.list_(pa.float64()))], names=["label", "x"])
 
-    return docs.select(text_col, "label").mapInArrow(run, "label int, x array<double>")
+    return in_arrow(docs.select(text_col, "label"), run, "label int, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Gam:
@@ -183,7 +183,7 @@ def with_quality(docs: DataFrame, model: Gam, text_col: str = "text", out_col: s
             x = features([t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*batch.schema.names, out_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
