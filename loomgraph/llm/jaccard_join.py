@@ -12,13 +12,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHashes, bitmap, components, cut, join_groups, mixed, pack, plain_words, small_or_not, unpack, written
+from loomgraph.llm.common import bitmap, components, cut, in_arrow, join_groups, mixed, pack, plain_words, small_or_not, unpack, word_hashes, written
 
 #: Partners of one document that one task verifies.
-PARTNERS_A_TASK = 2048
+PARTNERS_A_TASK = 256
 #: Members of a bucket up to which its pairs are listed; larger ones are refined, LEVELS times at most. What is still large
 #: then shares rare differences again and again, and is listed too.
 LISTED, LEVELS = 32, 4
@@ -27,7 +28,6 @@ BUCKET_ENTRIES, SHARED_BITS = 500_000, 26
 #: What looking at a pair costs, in index entries.
 PAIR_COST = 2
 
-_WORDS = WordHashes()
 _FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 
 
@@ -36,7 +36,7 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     words = plain_words(text)
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = _WORDS.of(words)
+    h = word_hashes(words)
     k = min(n, len(h))
     total = np.full(len(h) - k + 1, np.uint64(k) * np.uint64(0x2545F4914F6CDD1D), dtype=np.uint64)
     for i in range(k):
@@ -126,7 +126,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 h2.append(int(mixed(s ^ _FACTORS[3]).sum(dtype=np.uint64).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["id", "n", "h1", "h2"])
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long")
+    return in_arrow(docs, run, "id long, n long, h1 long, h2 long")
 
 
 def _entries(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, int]]) -> DataFrame:
@@ -145,7 +145,7 @@ def _entries(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, i
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(low, kind), pa.array(high, kind)], names=["id", "n", "low", "high"])
 
-    return docs.mapInArrow(run, "id long, n long, low array<bigint>, high array<bigint>")
+    return in_arrow(docs, run, "id long, n long, low array<bigint>, high array<bigint>")
 
 
 def _sketches(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, int]]) -> DataFrame:
@@ -161,11 +161,11 @@ def _sketches(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int,
                     bits.append(sketch(s, shelf, percent) if shelf in plan else ())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in out)], names=["id", "low_sketch", "high_sketch"])
 
-    return docs.mapInArrow(run, "id long, low_sketch array<bigint>, high_sketch array<bigint>")
+    return in_arrow(docs, run, "id long, low_sketch array<bigint>, high_sketch array<bigint>")
 
 
 def compare(texts: DataFrame, pairs: DataFrame, n: int, percent: int, differences: bool = False) -> DataFrame:
-    """(a, b, n, d, linked, diff) for pairs (a, b) of ids: b's set size, in how many shingles the whole sets differ, whether
+    """(a, b, n, m, d, linked, diff) for pairs (a, b) of ids: b's and a's set size, in how many shingles the whole sets differ, whether
     they are linked, and with `differences` those shingles. Each a's text is sent once to every task that holds up to
     PARTNERS_A_TASK of its partners, and these stream past it, so no task holds more than a's set and one partner."""
     pairs = cut(pairs.distinct())
@@ -194,13 +194,13 @@ def compare(texts: DataFrame, pairs: DataFrame, n: int, percent: int, difference
                     diff = np.setxor1d(tokens, other, assume_unique=True)
                     sizes = len(tokens) + len(other)
                     linked = len(tokens) > 0 < len(other) and (100 + percent) * len(diff) <= (100 - percent) * sizes
-                    out.append((owners[k], ids[k], len(tokens), len(diff), linked, diff.view(np.int64) if differences else ()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(_COMPARED)], names=["a", "b", "n", "d", "linked", "diff"])
+                    out.append((owners[k], ids[k], len(tokens), len(other), len(diff), linked, diff.view(np.int64) if differences else ()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(_COMPARED)], names=["a", "b", "n", "m", "d", "linked", "diff"])
 
-    return rows.select("id", "a", "part", "role", "text").mapInArrow(run, "a long, b long, n long, d long, linked boolean, diff array<bigint>")
+    return in_arrow(rows.select("id", "a", "part", "role", "text"), run, "a long, b long, n long, m long, d long, linked boolean, diff array<bigint>")
 
 
-_COMPARED = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+_COMPARED = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
 
 
 def _shared_keys(index: DataFrame, total: int) -> DataFrame:
@@ -208,9 +208,20 @@ def _shared_keys(index: DataFrame, total: int) -> DataFrame:
     one for each batch and hash bucket, so a key is sent once for each batch, however many sets have it."""
     buckets = max(16, -(-int(total) // BUCKET_ENTRIES))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, size = ([], []), 0
         for batch in batches:
-            low, high = (batch.column(i).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+            for i, some in enumerate(held):
+                some.append(batch.column(i).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+                size += len(some[-1])
+            if size >= BUCKET_ENTRIES:
+                yield tuple(map(np.concatenate, held))
+                held, size = ([], []), 0
+        if size:
+            yield tuple(map(np.concatenate, held))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for low, high in gathered(batches):
             keys, place = np.unique(np.concatenate([low, high]), return_inverse=True)
             n, small = np.bincount(place, minlength=len(keys)), np.bincount(place[: len(low)], minlength=len(keys))
             bucket = (mixed(keys) >> np.uint64(24)) % np.uint64(buckets)
@@ -228,7 +239,7 @@ def _shared_keys(index: DataFrame, total: int) -> DataFrame:
         use = (n > 1) & (small > 0)
         return pa.table({"key": keys[use].view(np.int64), "size": n[use].astype(np.int64)})
 
-    asked = index.select("low", "high").mapInArrow(ask, "bucket long, keys binary, n binary, small binary")
+    asked = in_arrow(index.select("low", "high"), ask, "bucket long, keys binary, n binary, small binary")
     return cut(asked.groupBy("bucket").applyInArrow(count, "key long, size long"))
 
 
@@ -251,7 +262,7 @@ def _shared_entries(index: DataFrame, shared: DataFrame) -> DataFrame:
                 k = int(use.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array(ids[row[use]]), pa.array(sizes[row[use]]), pa.array([small] * k, pa.bool_()), pa.array([True] * k, pa.bool_())], names=["key", "id", "n", "index", "open"])
 
-    return index.select("id", "n", "low", "high").mapInArrow(pick, "key long, id long, n long, index boolean, open boolean")
+    return in_arrow(index.select("id", "n", "low", "high"), pick, "key long, id long, n long, index boolean, open boolean")
 
 
 def _live(buckets: DataFrame) -> DataFrame:
@@ -284,27 +295,95 @@ def _listed(some: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     return x.join(y, (F.col("x.key") == F.col("y.key")) & wanted).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def _next_buckets(compared: DataFrame, percent: int) -> DataFrame:
-    """Buckets that cover the pairs of members of one head that aren't yet decided.
+def _slots(heads: np.ndarray, tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The counter of each head's token in a table of 2 ** bits."""
+    return (mixed(tokens ^ mixed(heads.view(np.uint64) ^ _FACTORS[1])) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _token_counts(compared: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each counter of a table of fixed size is met by the tokens of all members, and by those of open ones, up to
+    65,535. Each task sends pages of its own table, which are summed by page."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((2, 1 << bits), dtype=np.uint32)
+        for batch in batches:
+            heads, linked, diff = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+            sizes = pc.list_value_length(diff).to_numpy()
+            slots = _slots(np.repeat(heads, sizes), diff.flatten().to_numpy().view(np.uint64), bits)
+            table[0] += np.bincount(slots, minlength=1 << bits).astype(np.uint32)
+            table[1] += np.bincount(slots[np.repeat(~linked, sizes)], minlength=1 << bits).astype(np.uint32)
+        pages = table.reshape(2, -1, _PAGE)
+        for p in np.nonzero(pages[0].any(axis=1))[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([int(p)]), pa.array([pages[0, p].tobytes()]), pa.array([pages[1, p].tobytes()])], names=["page", "every", "open"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        sums = (np.minimum(sum(np.frombuffer(b.as_py(), "<u4").astype(np.uint64) for b in rows[c]), 65535).astype("<u2").tobytes() for c in ("every", "open"))
+        return pa.table({"page": rows["page"][:1], **{c: pa.array([b], pa.binary()) for c, b in zip(("every", "open"), sums)}})
+
+    sent = in_arrow(compared.select("a", "linked", "diff"), count, "page long, every binary, open binary")
+    tables = np.zeros((2, 1 << bits), dtype=np.uint16)
+    for page, *found in sent.groupBy("page").applyInArrow(add, "page long, every binary, open binary").collect():  # 2 ** bits counters in all
+        for table, counts in zip(tables, found):
+            table[page * _PAGE : (page + 1) * _PAGE] = np.frombuffer(counts, "<u2")
+    return tables[0], tables[1]
+
+
+#: Counters in a page of the table, and the least and most bits of its size.
+_PAGE, TABLE_BITS = 1 << 13, (14, 22)
+
+
+def _next_buckets(compared: DataFrame, percent: int) -> DataFrame | None:
+    """Buckets that cover the pairs of members of one head that aren't yet decided; None if all are.
 
     D(x) is what x's set and the head's differ in; x and y differ in D(x) xor D(y). Members linked to the head are in one
-    component. If x isn't linked to it, x can be linked to y only if D(x) and D(y) overlap, and by so much that, in order of
-    frequency, the first U/2 + 1 of the smaller and the first U + 1 of the larger share one (U: what two linked sets can
-    differ in). So near copies, whose differences are few and mostly their own, share no bucket, however many they are.
+    component, so one of a pair must be open (not linked to it); heads without open members are done. U is what two linked
+    sets can differ in, so x's link with any y takes |D(x)| - U common tokens, and |D(x)| - U / 2 if D(x) is the smaller; as
+    an open y has |D(y)| > U(y, head), one of a linked x with it takes (|D(x)| + 1) / 2 (less where x is larger than the
+    head). With o the number that it takes, and one order of the tokens, rare ones first, the first |D(x)| - o + 1 of both
+    hold a common one. Only tokens that an open member and another one hold can be common. Near copies, half of whose
+    differences are their own, thus share hardly any bucket, however many they are. The order and the choice come from a
+    table of counters of fixed size; tokens that meet in one counter only add candidates.
     """
-    each = compared.select("a", "b", "n", "linked", F.explode("diff").alias("token")).distinct()
-    often = cut(each.groupBy("a", "token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
-    each = join_groups(each, often, ["a", "token"], "often", max(1, often.count())).withColumn("often", F.coalesce("often", F.lit(1)))
-    most = F.floor(F.col("n") * (100 - percent) / percent)  # U, with a partner of any size that fits
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "token"))
-    ranked = each.withColumn("rank", rank).filter((F.col("rank") <= most + 1) & (F.col("often") > 1))
-    return ranked.select(F.xxhash64("a", "token").alias("key"), F.col("b").alias("id"), "n", (F.col("rank") <= F.floor(most / 2) + 1).alias("index"), (~F.col("linked")).alias("open"), F.lit(None).cast("array<bigint>").alias("sketch"))
+    busy = cut(compared.groupBy("a").agg(F.bool_or(~F.col("linked")).alias("_busy")).filter("_busy").select("a"))
+    busy_heads = busy.count()
+    if not busy_heads:
+        return None
+    compared = compared.join(small_or_not(busy), "a", "left_semi")
+    tokens = compared.agg(F.sum(F.size("diff"))).first()[0] or 0
+    bits = min(max(int(4 * tokens).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
+    every, opened = _token_counts(compared, bits)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, ids, sizes, index, open_ = [], [], [], [], []
+            for a, b, n, m, linked, diff in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
+                own = diff.values.to_numpy().view(np.uint64)
+                slots = _slots(np.full(len(own), a, dtype=np.int64), own, bits)
+                use = (every[slots] > 1) & (opened[slots] > 0)
+                most = n * (100 - percent) // percent  # U, with a partner of any size that fits
+                larger = -(-max(0, n - m) * (100 - percent) // (100 + percent))
+                half = max(1, -(-(len(own) + 1 - larger) // 2))  # o(x), where the other is open
+                common = 1 if not linked else half
+                long = int(use.sum()) - (half if linked else max(1, len(own) - most)) + 1
+                short = int(use.sum()) - max(common, len(own) - most // 2) + 1
+                if long > 0:
+                    at = np.lexsort((own[use], every[slots[use]]))[:long]
+                    chosen = mixed(own[use][at] ^ mixed(np.array([a]).view(np.uint64) ^ _FACTORS[2]))
+                    key.append(chosen.view(np.int64))
+                    for out, value in ((ids, b), (sizes, n), (open_, not linked)):
+                        out += [value] * len(at)
+                    index += [k < short for k in range(len(at))]
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(index, pa.bool_()), pa.array(open_, pa.bool_())], names=["key", "id", "n", "index", "open"])
+
+    picked = in_arrow(compared.select("a", "b", "n", "m", "linked", "diff"), pick, "key long, id long, n long, index boolean, open boolean")
+    return picked.distinct().withColumn("sketch", F.lit(None).cast("array<bigint>"))
 
 
 def near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) that connect all linked ids among the representatives of different sets in `sets`: every linked pair is
     listed or joined by a path of listed ones."""
-    classes = cut(sets.filter("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")))
+    classes = cut(sets.filter("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")))
     per_size = classes.groupBy("n").agg(F.count(F.lit(1)).alias("sets"))
     by_band = {}
     for size, count in per_size.collect():  # one row for each set size: as many as the longest text has shingles at most
@@ -322,7 +401,8 @@ def near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     for shelf, (exact, deletion) in plan.items():
         for count, sizes in (by_band[shelf], by_band.get(shelf + 1, (0, 0))):
             total += count * (exact + deletion) + (sizes * deletion // (exact + deletion))
-    twins = sets.join(classes, ["n", "h1", "h2"]).groupBy("id").agg(F.bool_and(F.col("id") != F.col("rep")).alias("twin")).filter("twin").select("id")  # their representatives stand for them
+    known = join_groups(sets, classes, ["n", "h1", "h2"], "size", max(1, sets.count())).filter("rep IS NOT NULL")
+    twins = known.groupBy("id").agg(F.bool_and(F.col("id") != F.col("rep")).alias("twin")).filter("twin").select("id")  # their representatives stand for them
     texts = texts.filter("id IS NOT NULL")
     indexed = texts.join(small_or_not(cut(twins)), "id", "left_anti").select("id", "text")
     index = _entries(indexed, n, percent, plan)
@@ -358,7 +438,10 @@ def near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
         compared = written(compare(texts, grouped, n, percent, differences=True), "compared")
         found = compared.filter("linked").select("a", "b").distinct()
         links = found if links is None else links.unionByName(found)
-        buckets = _live(_next_buckets(compared, percent))
+        buckets = _next_buckets(compared, percent)
+        if buckets is None:
+            break
+        buckets = _live(buckets)
     found = compare(texts, candidates, n, percent).filter("linked").select("a", "b").distinct()
     return cut(found if links is None else links.unionByName(found).distinct())
 
