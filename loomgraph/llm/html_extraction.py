@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,12 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm.common import in_arrow
+
 #: Labelled pages that the model is trained on, and the seed that they are written with.
 TRAINING_PAGES, SEED = 600, 11
 #: Marginal from which a node's own text is content.
 CONTENT = 0.5
 
-_RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "canvas", "select", "object", "math", "button", "head"}
+#: Elements that are left out with all that is in them: no prose, form controls, graphics, and other documents. What math, object,
+#: noscript and canvas hold is text like any other.
+_RAW = {"script", "style", "template", "title", "textarea", "iframe", "svg", "select", "button", "head"}
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|<body\b", re.I) for tag in _RAW}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "param", "track"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BLOCKS = _HEADINGS | {
@@ -70,6 +76,8 @@ def parse(page: str) -> list[Node]:
     prose, such as scripts, are left out with all that is in them; missing and stray end tags are mended as browsers do."""
     nodes = [Node("html", -1, 0)]
     stack = [0]
+    opened: Counter[str] = Counter()  # of the tags on the stack, so none is looked for that isn't there
+    unclosed: set[str] = set()  # raw elements that no end tag follows any more
     last = page.rfind(">") + 1
     pos = place = link = 0
 
@@ -89,6 +97,10 @@ def parse(page: str) -> list[Node]:
         node.chars += size
         node.link_chars += size if link else 0
 
+    def leave(k: int) -> None:
+        opened.subtract(nodes[i].tag for i in stack[k:])
+        del stack[k:]
+
     while m := _TAG.search(page, pos, last):
         text(page[pos : m.start()])
         pos = m.end()
@@ -98,8 +110,13 @@ def parse(page: str) -> list[Node]:
         tag = tag.lower()
         if tag in _RAW:
             if not end and not attrs.rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>" if tag != "head" else r"</head\s*>|<body\b", re.I).search(page, pos)
-                pos = len(page) if not close and tag != "head" else pos if not close else close.start() if close[0].lower().startswith("<body") else close.end()
+                close = None if tag in unclosed else _CLOSE[tag].search(page, pos)
+                if close:
+                    pos = close.start() if close[0][1] != "/" else close.end()
+                elif tag != "head":
+                    pos = len(page)
+                else:
+                    unclosed.add(tag)
             continue
         if tag in _VOID:
             if tag in ("br", "hr", "wbr"):
@@ -111,19 +128,19 @@ def parse(page: str) -> list[Node]:
             continue
         link = 0
         if end:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if nodes[stack[k]].tag == tag:
-                    del stack[k:]
+                    leave(k)
                     break
             place += 1
             continue
         if tag == "html":
             continue
         ends = _ENDS.get(tag, {"p"} | _HEADINGS if tag in _HEADINGS else {"p"})
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(opened[name] for name in ends) else ():
             name = nodes[stack[k]].tag
             if name in ends:
-                del stack[k:]
+                leave(k)
                 if tag not in _ENDS:
                     break
             elif name in _SCOPES and name not in ends and not (tag == "li" and name not in ("ul", "ol", "menu", "body")):
@@ -135,6 +152,7 @@ def parse(page: str) -> list[Node]:
         if m := re.search(r'data-label="([01])"', attrs):
             nodes[-1].label = int(m[1])
         stack.append(len(nodes) - 1)
+        opened[tag] += 1
     text(page[pos:])
     return nodes
 
@@ -317,10 +335,11 @@ def with_main_text(pages: DataFrame, model: TreeModel, html_col: str = "html", o
             texts = [extract(model, h.as_py()) for h in batch.column(batch.schema.names.index(html_col))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())], names=[*batch.schema.names, out_col])
 
-    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField(out_col, T.StringType(), False)]))
+    return in_arrow(pages, run, T.StructType([*pages.schema.fields, T.StructField(out_col, T.StringType(), False)]))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text and its length in code points; null html has an empty text."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return with_main_text(pages, train(labelled_pages())).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
