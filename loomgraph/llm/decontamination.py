@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import free_name
+from loomgraph.llm.common import free_name, in_arrow
 
 #: Word edits allowed as a share of an item's words: a match is 0.8 alike or more.
 EDIT_SHARE = 0.2
-#: Items with fewer words than a shingle are no evidence of a leak and aren't searched for.
+#: Items with fewer words than a shingle are no evidence of a leak inside other text: they are found as whole lines only.
 MIN_WORDS = 5
 #: Characters of items that one scan of the documents searches for; more items take more scans.
 BLOCK_CHARS = 4_000_000
@@ -66,10 +66,13 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int | None, str | None]], share: float, min_words: int):
         self.items = []
+        self.short: dict[tuple[str, ...], list[int | None]] = {}
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             words = words_of(text)
             if len(words) < min_words:
+                if words:
+                    self.short.setdefault(tuple(words), []).append(item_id)
                 continue
             budget = int(share * len(words))
             for at, run in pieces_of(words, budget):
@@ -82,9 +85,25 @@ class Matcher:
             self.search.make_automaton()
         self.any = bool(pieces)
 
+    def whole_lines(self, text: str) -> list[dict]:
+        """The short items that are a line of the text, word by word, each where it is first."""
+        out: dict[tuple[str, ...], int] = {}
+        at = 0
+        for line in text.splitlines():
+            words = tuple(words_of(line))
+            if words in self.short:
+                out.setdefault(words, at)
+            at += len(words)
+        return [{"item_id": i, "distance": 0, "item_words": len(w), "start_word": at, "end_word": at + len(w)} for w, at in out.items() for i in self.short[w]]
+
     def leaks(self, text: str | None) -> list[dict]:
-        if not self.any or not text:
+        if not text:
             return []
+        lines = self.whole_lines(text) if self.short else []
+        return lines + self.passages(text) if self.any else lines
+
+    def passages(self, text: str) -> list[dict]:
+        """The longer items that the text holds within their budgets, each at its best match."""
         words = words_of(text)
         line = f" {' '.join(words)} "
         found: dict[int, list[tuple[int, int]]] = {}
@@ -131,9 +150,9 @@ def with_leaks(
 
     Words are lower-cased runs of letters, digits and underscores. An item of n words may differ by floor(share * n) words;
     it is split into one run more than that, so a match holds one run unchanged, and every such hit is verified. Each item is
-    listed once, at its best match. Null or empty texts hold no leak, null items and those below min_words match nothing;
-    rows of docs stay as they are, repeated ones too; a column
-    that is named out_col already is replaced. The whole text is searched. Items are taken in blocks of BLOCK_CHARS,
+    listed once, at its best match. Items of fewer words than min_words are found where they are a whole line of the text.
+    Null or empty texts hold no leak, null and wordless items match nothing; rows of docs stay as they are, repeated ones too;
+    a column that is named out_col already is replaced. The whole text is searched. Items are taken in blocks of BLOCK_CHARS,
     each with a scan of its own, so a worker's automaton has a bounded size.
     """
     docs = docs.drop(out_col)
@@ -152,7 +171,7 @@ def with_leaks(
                 columns[out_col] = pa.array(found, type=_ARROW)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = in_arrow(docs, run, schema)
     return docs
 
 
