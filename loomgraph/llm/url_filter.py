@@ -15,8 +15,10 @@ DEPTH = 4
 LITERAL_ROWS, LITERAL_SHARE = 8, 0.02
 #: Sibling branches merge if their labelled block rates differ by less than this many standard errors.
 SIMILAR_Z = 1.96
-#: Rows of a neutral prior (half blocked) added to a template's labels, and the purity from which it is rejected.
+#: Rows of the parent's purity that are added to a node's own labels, and the purity from which a template is rejected.
 PRIOR_ROWS, REJECT = 2.0, 0.8
+#: A row without a label counts as so much of an allowed one: where rules block a part of a host, the rest isn't guilty by it.
+UNLABELLED = 0.25
 
 
 def with_address(df: DataFrame, url: str = "url") -> DataFrame:
@@ -51,14 +53,32 @@ def _branches(rows: DataFrame) -> DataFrame:
     return grouped.select(*node, "seg", "size", F.array_join(F.array_sort(F.collect_list("seg").over(same)), "|").alias("branch"))
 
 
+def _purities(rows: DataFrame) -> DataFrame:
+    """(host, template) -> size, labelled and purity, from the whole table down to the templates."""
+    levels = [f"_branch{k}" for k in range(DEPTH)]
+    leaves = rows.groupBy("host", *levels, "template").agg(F.count(F.lit(1)).alias("size"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("_blocked"))
+    domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+    leaves = cut(leaves.withColumn("_domain", F.when(domain != "", domain).otherwise(F.col("host"))))
+    counts = [F.sum("_blocked").alias("_b"), (F.sum("labelled") + UNLABELLED * (F.sum("size") - F.sum("labelled"))).alias("_n")]
+    smoothed = lambda parent: (F.col("_b") + PRIOR_ROWS * parent) / (F.col("_n") + PRIOR_ROWS)
+    above = leaves.agg(*counts).select(smoothed(F.lit(0.5))).first()[0]  # null for an empty table
+    out = leaves.withColumn("purity", F.lit(above))
+    for key in (["_domain"], ["host"], *(["host", *levels[: k + 1]] for k in range(DEPTH)), ["host", *levels, "template"]):
+        # A node has one parent, so its rows carry one purity.
+        nodes = out.groupBy(*key).agg(*counts, F.max("purity").alias("_above")).select(*key, smoothed(F.col("_above")).alias("purity"))
+        out = out.drop("purity").join(nodes, key)
+    return out.select("host", "template", "size", "labelled", "purity")
+
+
 def judge_urls(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """df with host, path, rule, template, labelled, purity and verdict.
 
     The rules' verdicts are the labels. Level by level, each host's tree keeps frequent segments, generalises all others to
-    '*' and merges branches whose label rates don't differ; a template's purity is its blocked share of labelled rows under
-    a neutral prior. A row gets its rule's verdict, else block if its template's purity is REJECT or more, else allow.
-    Templates without labels are allowed. Null, empty and malformed urls have an empty host and path and are judged alike;
-    every row stays. Columns of df named like those that are added are replaced.
+    '*' and merges branches whose label rates don't differ. A node's purity is its blocked share, rows without a label
+    counting UNLABELLED as allowed, smoothed by PRIOR_ROWS of its parent's: template, the branches above it, host, domain,
+    the whole table, one half. A row gets its rule's verdict, else block if its template's purity is REJECT or more, else
+    allow. Null, empty and malformed urls have an empty host and path and are judged alike; every row stays, repeated ones
+    too. Columns of df named like those that are added are replaced.
     """
     new = ["host", "path", "rule", "verdict", "template", "labelled", "purity"]
     packed = df.select(F.struct(*[c for c in df.columns if c not in new]).alias("_row"), F.col(url).alias("_url"))
@@ -70,16 +90,15 @@ def judge_urls(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]
         rows = rows.withColumn("seg", F.when(F.col("path") != "", F.get("_segs", F.lit(level))))
         rows = join_groups(rows, cut(_branches(rows)), ["host", "template", "seg"], "size", total).drop("size")
         step = F.when(F.col("seg").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
-        rows = rows.withColumn("template", F.concat("template", step)).drop("seg", "branch")
+        rows = rows.withColumn("template", F.concat("template", step)).withColumn(f"_branch{level}", F.col("template")).drop("seg", "branch")
     rows = rows.withColumn("template", F.when(F.size("_segs") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_segs")
-    purity = ((F.coalesce(F.sum("blocked"), F.lit(0)) + PRIOR_ROWS / 2) / (F.count("blocked") + PRIOR_ROWS)).alias("purity")
-    judged = cut(rows.groupBy("host", "template").agg(F.count(F.lit(1)).alias("size"), F.count("blocked").alias("labelled"), purity))
-    rows = join_groups(rows, judged, ["host", "template"], "size", total)
+    rows = join_groups(rows, cut(_purities(rows)), ["host", "template"], "size", total)
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
     return rows.select("_row.*", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "template", "labelled", "purity")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict by the production rules, with its template, labels and purity."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge_urls(pages).drop("url")
 
