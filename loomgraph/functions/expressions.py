@@ -17,6 +17,23 @@ ASKS_LOWEST = r"(?i)\blowest\b|\bminimum\b|\bsmallest\b|\bweakest\b"
 ASKS_ACROSS = r"(?i)\bwhich\b(?:\s+\w+){0,3}\s+(?:bank|banks|company|companies)\b"
 TEXT_NUMBER = r"(?<![A-Za-z\d])(\d[\d,]*(?:\.\d+)?%?)"
 KEYWORD = r"([a-z][a-z\-]{3,})"
+SOURCE_GROWTH = r"(?i)(deposits?|advances|loan book)[^.]{0,80}?up\s+([\d.]+)\s*%|(deposits?|advances)\s+([\d.]+)\s*%"
+DATE_WORD = r"(?i)\b(date|dated|period)\b"
+#: Phrases by which a summary admits that something is missing.
+GAP_PHRASES = [
+    "not cover", "do not contain", "does not contain", "not disclos",
+    "not available", "not found", "not provide", "not specified", "not confirmed",
+    "no data", "not reported", "not mention", "not identify", "cannot be determined",
+    "cannot be made", "fails to", "unable to", "not include", "not state", "not indicate",
+    "insufficient", "not address", "lacks the", "lack the", "not determined", "does not detail",
+    "not detail", "no information", "not clear from", "not explicitly", "genuinely unclear",
+    "was not found", "were not found", "not verified", "could not be confirmed",
+]
+ANALYTICAL = (
+    r"(?i)\b(competitive advantage|key strength|main (?:weakness|vulnerability)|primary (?:weakness|strength|advantage)|opportunit(?:y|ies)|"
+    r"\bthreats?\b|valuation[- ]relevant|risk driver)\b"
+)
+ATTRIBUTE_STYLE = r"(?i)\bticker\b|\bexchange(?:s)?\b|\blegal name\b|\blisted\b|\bheadquarter|\bincorporated\b|\bfounded\b|\bfounding\b|\bstock symbol\b"
 #: Bookkeeping properties that an attribute lookup leaves out.
 BOOKKEEPING = ["uuid", "name", "name_embedding", "group_id", "created_at", "summary", "labels"]
 #: A percentage can't be larger.
@@ -97,17 +114,22 @@ def extract_numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda x: six_digits(as_number(x))))
 
 
+def quoted_pattern(literal: str) -> str:
+    """A Java pattern that matches the literal, whatever it holds."""
+    return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def mask_terms(text: Column, terms: list[str], with_: str = " ") -> Column:
     """text without the terms, longest first, in any case; white space collapsed."""
-    quoted = ["\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in sorted({t for t in terms if t}, key=lambda t: (-len(t), t))]
+    quoted = [quoted_pattern(t) for t in sorted({t for t in terms if t}, key=lambda t: (-len(t), t))]
     out = F.regexp_replace(text, "(?iu)" + "|".join(quoted), with_) if quoted else text
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
 def mask_types(text: Column, entities: list[tuple[str, str]]) -> Column:
     """text in which each (name, type) is replaced by <TYPE>, longest names first."""
-    for name, kind in sorted(entities, key=lambda e: (-len(e[0]), e[0])):
-        text = F.regexp_replace(text, r"(?iu)\b\Q" + name + r"\E\b", f"<{kind}>")
+    for name, kind in sorted({e for e in entities if e[0]}, key=lambda e: (-len(e[0]), e[0])):
+        text = F.regexp_replace(text, rf"(?iu)(?<!\w){quoted_pattern(name)}(?!\w)", f"<{kind}>")
     return text
 
 
@@ -129,16 +151,16 @@ def threshold(text: Column) -> Column:
 
 
 def growth_amount(text: Column) -> Column:
-    """The percentage of a change, written after or before the word for it."""
-    pattern = r"(?i)(?:(?:grew|rose|up|increased|growth of|declined|fell|down)\s+(?:by\s+)?(\d+(?:\.\d+)?)\s*%)|(?:(\d+(?:\.\d+)?)\s*%\s+(?:growth|increase|decline|rise))"
-    return F.coalesce(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(text, pattern, 2), F.lit(""))).cast("double")
+    """The first percentage by which a text says that deposits, advances or the loan book grew."""
+    group = lambda k: F.nullif(F.regexp_extract(text, SOURCE_GROWTH, k), F.lit(""))
+    return F.coalesce(group(2), group(4)).try_cast("double")
 
 
 def name_variants(name: Column) -> Column:
-    """A name without its article and legal suffix, where at least two words and three letters are left."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(name, r"(?i)^the\s+", ""), r"(?i)\s+(?:pvt\.?\s+|private\s+)?(?:limited|ltd\.?)$", ""))
-    cut = F.array_distinct(F.array(name, bare, F.trim(F.regexp_replace(name, r"(?i)^the\s+", ""))))
-    return F.filter(cut, lambda x: (x == name) | ((F.length(x) >= 3) & (F.size(F.split(x, r"\s+")) >= 2)))
+    """A name, and behind it the name without article and legal suffix where that has three letters and two words."""
+    bare = F.regexp_replace(F.regexp_replace(name, r"(?i)\s+(?:limited|ltd\.?|pvt\.?\s*ltd\.?)\s*$", ""), r"(?i)^\s*the\s+", "")
+    distinctive = (bare != name) & (F.length(bare) >= 3) & (F.size(F.split(F.trim(bare), r"\s+")) >= 2)
+    return F.when(distinctive, F.array(name, bare)).otherwise(F.array(name))
 
 
 def outcome(label: Column, rows: Column, recall: Column, hit: float = 0.99) -> Column:
@@ -149,10 +171,12 @@ def outcome(label: Column, rows: Column, recall: Column, hit: float = 0.99) -> C
     )
 
 
-def real_gap(summary: Column, phrases: str) -> Column:
-    """Whether a sentence of the summary matches a gap phrase and isn't only about a missing date."""
-    sentences = F.split(summary, r"(?<=[.!?])\s+")
-    return F.exists(F.filter(sentences, lambda s: ~s.rlike(r"(?i)\bdate\b|\bas of\b|\bwhen\b")), lambda s: s.rlike(phrases))
+def real_gap(summary: Column, phrases: list[str] = GAP_PHRASES) -> Column:
+    """Whether a summary admits a gap. A sentence in which only a date is missing doesn't count, unless it is all there is."""
+    missing = "(?i)" + "|".join(map(quoted_pattern, phrases))
+    said = F.split(F.regexp_replace(summary, r"^\s+|\s+$", ""), r"(?<=[.!?])\s+")
+    left = F.array_join(F.filter(said, lambda s: ~(s.rlike(missing) & s.rlike(DATE_WORD))), " ")
+    return F.when(F.trim(left) == "", F.lit(True)).otherwise(left.rlike(missing))
 
 
 def row_text(columns: list[str]) -> Column:

@@ -28,8 +28,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 @dataclass(frozen=True)
 class PropertyGraph:
+    """reverse: the same edges laid out by dst, where they are stored twice; a search for a node's in-edges reads these."""
+
     nodes: DataFrame
     edges: DataFrame
+    reverse: DataFrame | None = None
 
     @staticmethod
     def of(nodes: DataFrame, edges: DataFrame) -> PropertyGraph:
@@ -45,9 +48,14 @@ class PropertyGraph:
     def adjacency(self, *rels: str) -> DataFrame:
         """Every edge once in each orientation, a self-loop once; `forward` tells the stored one."""
         out = self.with_rel(*rels).withColumn("forward", F.lit(True))
-        back = self.with_rel(*rels).filter("src <> dst").withColumn("_s", F.col("dst")).withColumn("dst", F.col("src")).withColumn("src", F.col("_s")).drop("_s").withColumn("forward", F.lit(False))
+        stored = self.edges if self.reverse is None else self.reverse
+        back = (stored.filter(F.col("rel").isin(*rels)) if rels else stored).filter("src <> dst").withColumn("_s", F.col("dst")).withColumn("dst", F.col("src")).withColumn("src", F.col("_s")).drop("_s").withColumn("forward", F.lit(False))
         return out.unionByName(back)
 
+    def sql(self, text: str, **parameters) -> DataFrame:
+        """The rows of a query over {nodes} and {edges}, whose :names are bound to values, never written into the text."""
+        return self.nodes.sparkSession.sql(text, args=parameters, nodes=self.nodes, edges=self.edges)
+
     def cached(self) -> PropertyGraph:
         return PropertyGraph(self.nodes.cache(), self.edges.cache())
 

@@ -6,25 +6,16 @@ paths; lineage is cut by a checkpoint every few levels.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import PropertyGraph
+from loomgraph.storage import cut
 
 #: Levels between checkpoints.
 CUT_EVERY = 3
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint in the folder that the session names; one of our own where it names none."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-checkpoints-"))
-    return df.checkpoint()
-
-
 def distances(g: PropertyGraph, source: str, most: int = 12, rels: list[str] | None = None, target: str | None = None, directed: bool = False) -> DataFrame:
     """(id, hops, path_nodes, path_rels, path_facts) for each node within `most` hops of source: one shortest path each, the
     least by its node ids. Ends early when the target is found."""
@@ -37,12 +28,12 @@ def distances(g: PropertyGraph, source: str, most: int = 12, rels: list[str] | N
         path = F.struct(F.concat("path_nodes", F.array("dst")).alias("n"), F.concat("path_rels", F.array("rel")).alias("r"), F.concat("path_facts", F.array("fact")).alias("f"))
         found = steps.groupBy(F.col("dst").alias("id")).agg(F.min(path).alias("p")).join(reached.select("id"), "id", "left_anti")
         frontier = found.select("id", F.lit(level).alias("hops"), F.col("p.n").alias("path_nodes"), F.col("p.r").alias("path_rels"), F.col("p.f").alias("path_facts"))
-        frontier = _cut(frontier)
+        frontier = cut(frontier)
         if not frontier.limit(1).count():
             break
         reached = reached.unionByName(frontier)
         if level % CUT_EVERY == 0:
-            reached = _cut(reached)
+            reached = cut(reached)
         if target is not None and frontier.filter(F.col("id") == target).limit(1).count():
             break
     return reached
@@ -76,13 +67,19 @@ def compare_pair(g: PropertyGraph, a: str, b: str, most: int = 8, approx: bool =
 
 
 def trails(g: PropertyGraph, source: str, target: str | None, rels: list[str] | None = None, most: int = 10, limit: int | None = 10) -> DataFrame:
-    """Directed trails of 1 to `most` edges, no edge twice, shortest first; ends once `limit` are found."""
+    """Directed trails of 1 to `most` edges, no edge twice, shortest first; ends once `limit` are found. With a target, a trail
+    only goes on where the target is still within reach."""
     edges = g.with_rel(*(rels or [])).select("edge_id", "src", "dst", "rel")
+    left = None
+    if target is not None:
+        turned = PropertyGraph(g.nodes, g.with_rel(*(rels or [])).select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", F.lit(None).cast("string").alias("fact")))
+        left = distances(turned, target, most, directed=True).select(F.col("id").alias("dst"), F.col("hops").alias("_left"))
     frontier = g.nodes.filter(F.col("id") == source).select(F.col("id").alias("at"), F.array("id").alias("path_nodes"), F.array().cast("array<bigint>").alias("path_edges"), F.array().cast("array<string>").alias("path_rels"))
     out = None
     for level in range(1, most + 1):
         steps = frontier.join(edges, frontier["at"] == edges["src"]).filter(~F.array_contains("path_edges", F.col("edge_id")))
-        frontier = _cut(steps.select(F.col("dst").alias("at"), F.concat("path_nodes", F.array("dst")).alias("path_nodes"), F.concat("path_edges", F.array("edge_id")).alias("path_edges"), F.concat("path_rels", F.array("rel")).alias("path_rels")))
+        steps = steps if left is None else steps.join(left, "dst").filter(F.col("_left") + level <= most)
+        frontier = cut(steps.select(F.col("dst").alias("at"), F.concat("path_nodes", F.array("dst")).alias("path_nodes"), F.concat("path_edges", F.array("edge_id")).alias("path_edges"), F.concat("path_rels", F.array("rel")).alias("path_rels")))
         hits = (frontier if target is None else frontier.filter(F.col("at") == target)).withColumn("hops", F.lit(level))
         out = hits if out is None else out.unionByName(hits)
         if not frontier.limit(1).count() or limit is not None and out.limit(limit).count() >= limit:

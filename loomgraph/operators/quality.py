@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.functions.expressions import extract_numbers, growth_amount, screaming_snake
+from loomgraph.functions.expressions import extract_numbers, growth_amount, real_gap, screaming_snake, six_digits
 from loomgraph.graph import PropertyGraph
 
 
@@ -63,9 +63,12 @@ def capture(source: Column, stored: Column) -> Column:
 
 
 def extraction_coverage(rows: DataFrame, group: str, source: str, stored: str) -> DataFrame:
-    """For each group the captured share of the source's numbers, worst first."""
-    n = rows.select(group, F.size(extract_numbers(F.col(source))).alias("w"), F.size(F.array_intersect(extract_numbers(F.col(source)), extract_numbers(F.col(stored)))).alias("f"), growth_amount(F.col(source)).isNotNull().cast("int").alias("g"))
-    out = n.groupBy(group).agg(F.sum("w").alias("wanted"), F.sum("f").alias("found"), F.sum("g").alias("growth_rows"))
+    """For each group the captured share of the source's numbers and growth rates, worst first."""
+    wanted, held = extract_numbers(F.col(source)), extract_numbers(F.col(stored))
+    rate = six_digits(growth_amount(F.col(source)))
+    n = rows.select(group, wanted.alias("w"), held.alias("h"), rate.alias("g"))
+    n = n.select(group, F.size("w").alias("w"), F.size(F.array_intersect("w", "h")).alias("f"), F.col("g").isNotNull().cast("int").alias("g"), F.coalesce(F.array_contains("h", F.col("g")), F.lit(False)).cast("int").alias("gf"))
+    out = n.groupBy(group).agg(F.sum("w").alias("wanted"), F.sum("f").alias("found"), F.sum("g").alias("growth_rows"), F.sum("gf").alias("growth_found"))
     return out.withColumn("captured", F.when(F.col("wanted") > 0, F.round(F.col("found") / F.col("wanted"), 4))).orderBy("captured", group)
 
 
@@ -76,11 +79,14 @@ def data_gaps(g: PropertyGraph, kind: str, rels: list[str]) -> DataFrame:
 
 
 def majority(votes: DataFrame, key: str, label: str, order: list[str]) -> DataFrame:
-    """The label with most votes of each key; ties go to the one in the middle of `order`, then to the first."""
-    place = F.array_position(F.array(*map(F.lit, order)), F.col(label)).cast("int")
-    n = votes.groupBy(key, label).agg(F.count(F.lit(1)).alias("votes")).withColumn("off", F.abs(place - (len(order) + 1) / 2)).withColumn("place", place)
-    best = Window.partitionBy(key).orderBy(F.col("votes").desc(), "off", "place")
-    return n.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(key, label, "votes")
+    """The label with most votes of each key. Of several the middle one in `order` wins, of two middle ones the upper; labels
+    that aren't in `order` come first. A key has one entry for each label, however many votes there are."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col(label)), F.lit(0))
+    n = votes.groupBy(key, label).agg(F.count(F.lit(1)).alias("votes"))
+    tally = n.groupBy(key).agg(F.max("votes").alias("votes"), F.collect_list(F.struct(place.alias("place"), F.col(label).alias("label"), F.col("votes").alias("n"))).alias("_t"))
+    winners = F.array_sort(F.filter("_t", lambda t: t["n"] == F.col("votes")))
+    middle = F.get(winners, F.floor(F.size(winners) / 2).cast("int"))
+    return tally.select(key, middle["label"].alias(label), "votes")
 
 
 def report(rows: DataFrame, by: str) -> DataFrame:
@@ -89,23 +95,80 @@ def report(rows: DataFrame, by: str) -> DataFrame:
     return n.withColumn("percent", F.round(F.col("n") * 100 / F.sum("n").over(Window.partitionBy()), 2))
 
 
-def validate_knowledge_base(entities: DataFrame, relationships: DataFrame, claims: DataFrame) -> DataFrame:
-    """(problem, id) for duplicate ids, dangling ends, and claims without confidence or rationale."""
+def validate_knowledge_base(entities: DataFrame, relationships: DataFrame, claims: DataFrame, forbidden: list[str] = ()) -> DataFrame:
+    """(problem, id) for duplicate ids, dangling ends, entities of forbidden types, and claims without confidence or rationale."""
     ids = entities.select("entity_id")
-    twice = ids.groupBy("entity_id").count().filter("count > 1").select(F.lit("duplicate id").alias("problem"), F.col("entity_id").alias("id"))
+    problem = lambda rows, what, key: rows.select(F.lit(what).alias("problem"), F.col(key).alias("id"))
+    twice = problem(ids.groupBy("entity_id").count().filter("count > 1"), "duplicate id", "entity_id")
     ends = relationships.select(F.explode(F.array("source_id", "target_id")).alias("entity_id")).distinct()
-    dangling = ends.join(ids, "entity_id", "left_anti").select(F.lit("dangling end").alias("problem"), F.col("entity_id").alias("id"))
-    bare = claims.filter("confidence IS NULL OR rationale IS NULL OR rationale = ''").select(F.lit("claim without grounds").alias("problem"), F.col("claim_id").alias("id"))
-    return twice.unionByName(dangling).unionByName(bare)
+    dangling = problem(ends.join(ids, "entity_id", "left_anti"), "dangling end", "entity_id")
+    bare = problem(claims.filter("confidence IS NULL OR rationale IS NULL OR rationale = ''"), "claim without grounds", "claim_id")
+    found = twice.unionByName(dangling).unionByName(bare)
+    return found.unionByName(problem(entities.filter(F.col("type").isin(*forbidden)), "forbidden type", "entity_id")) if forbidden else found
+
+
+#: The least or most that a graph and its sources must reach.
+GATES = {"unmapped": 0.05, "captured": 0.85, "growth": 0.85, "least_captured": 0.40}
+
+
+def contract_verdict(found: DataFrame, most_unmapped: float = GATES["unmapped"]) -> DataFrame:
+    """(check, value, ok) from contract()'s rows: the share of edges of unknown relations, and nothing without name, fact or
+    type. An empty graph fails for lack of edges."""
+    of = lambda metric: F.coalesce(F.max(F.when(F.col("metric") == metric, F.col("value"))), F.lit(0))
+    one = found.agg(*[of(m).alias(m) for m in ("edges", "unmapped_edges", "edges_without_fact", "nodes_without_name", "nodes_without_type")])
+    share = F.round(F.when(F.col("edges") > 0, F.col("unmapped_edges") / F.col("edges")), 6)
+    checks = [("edges", F.col("edges").cast("double"), F.col("edges") > 0), ("unmapped_share", share, F.coalesce(share <= most_unmapped, F.lit(False)))]
+    checks += [(m, F.col(m).cast("double"), F.col(m) == 0) for m in ("edges_without_fact", "nodes_without_name", "nodes_without_type")]
+    rows = F.array(*[F.struct(F.lit(name).alias("check"), value.alias("value"), ok.alias("ok")) for name, value, ok in checks])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def coverage_gates(coverage: DataFrame, group: str) -> DataFrame:
+    """(gate, value, ok) from extraction_coverage()'s rows: captured numbers and growth rates of all groups, and the worst
+    group's captured numbers. A gate without anything wanted holds."""
+    one = coverage.agg(F.sum("wanted").alias("w"), F.sum("found").alias("f"), F.sum("growth_rows").alias("g"), F.sum("growth_found").alias("h"), F.min("captured").alias("least"))
+    share = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 6)
+    gates = [("captured", share("f", "w"), GATES["captured"]), ("growth", share("h", "g"), GATES["growth"]), ("least_captured", F.round("least", 6), GATES["least_captured"])]
+    rows = F.array(*[F.struct(F.lit(name).alias("gate"), value.alias("value"), F.coalesce(value >= least, F.lit(True)).alias("ok")) for name, value, least in gates])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def admitted_gaps(gaps: DataFrame, summaries: DataFrame, key: str = "id", summary: str = "summary") -> DataFrame:
+    """data_gaps()'s rows with admitted: whether the answer to a node without data says that something is missing. Nodes with
+    data, and those without an answer, have null."""
+    said = summaries.select(F.col(key), real_gap(F.col(summary)).alias("_said"))
+    return gaps.join(said, key, "left").withColumn("admitted", F.when(F.col("is_gap"), F.col("_said"))).drop("_said")
+
+
+# -- changes of a graph -----------------------------------------------------------------------------------------------
+def relabelled(g: PropertyGraph, names: dict[str, str] | None = None) -> PropertyGraph:
+    """g with its relations renamed: as told, or each spelling to the preferred one of its relation."""
+    if names is not None:
+        table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
+        return PropertyGraph(g.nodes, g.edges.withColumn("rel", F.coalesce(F.try_element_at(table, F.col("rel")), F.col("rel"))) if names else g.edges)
+    best = preferred_casing(g.edges.select("rel")).select("rel", "preferred")
+    columns = g.edges.columns
+    return PropertyGraph(g.nodes, g.edges.join(best, "rel").withColumn("rel", F.col("preferred")).select(*columns))
+
+
+def conforming(g: PropertyGraph, edge_types: DataFrame, allowed: DataFrame) -> PropertyGraph:
+    """g without the edges that break the ontology."""
+    broken = conformance(g, edge_types, allowed).select("edge_id")
+    return PropertyGraph(g.nodes, g.edges.join(broken, "edge_id", "left_anti"))
 
 
 # -- names, which need the places of matches --------------------------------------------------------------------------
-_RUN = re.compile(r"\b[A-Z][\w&.'-]*(?:\s+(?:(?:of|and|for|the|de|van)\s+)?[A-Z][\w&.'-]*)*")
-# Capitalised words that are no names.
-NO_NAMES = frozenset(
-    "the this that these those a an as at by for from in into of on to with and or but if it its was were is are be been has have had no not none there their they he she we you "
-    "however although while based according per both each overall further also such during after before yes data information source note reference answer".split()
-)
+# What a run of capitalised words is, and capitalised words that are no names.
+_RUN = re.compile(r"\b[A-Z][\w&.'-]*(?:\s+(?:of|and|for|the|de|van)\s+[A-Z][\w&.'-]*|\s+[A-Z][\w&.'-]*)*")
+NO_NAMES = {
+    "the", "this", "that", "these", "those", "a", "an", "as", "at", "by", "for",
+    "from", "in", "into", "of", "on", "to", "with", "and", "or", "but", "if",
+    "it", "its", "was", "were", "is", "are", "be", "been", "has", "have", "had",
+    "no", "not", "none", "there", "their", "they", "he", "she", "we", "you",
+    "however", "although", "while", "based", "according", "per", "both", "each",
+    "overall", "further", "also", "such", "during", "after", "before",
+    "yes", "data", "information", "source", "note", "reference", "answer",
+}
 
 
 def names_of(text: str | None) -> list[str]:

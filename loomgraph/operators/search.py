@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.graph import union_all
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double."""
@@ -82,9 +84,80 @@ def merged(primary: DataFrame, extra: DataFrame, key: list[str], position: str,
 
 def linked(scored: DataFrame, span: str, name: Column, kind: Column, preferred: list[str], key: str, short: int = 4, short_floor: float = 0.85, candidates: int = 15) -> DataFrame:
     """The best node for a span: its 15 most similar, an exact name worth 0.35 more, a preferred type 0.2 more; short spans
-    need a high similarity."""
+    need a high score after that."""
     best = top_k(scored, candidates, key)
-    if len(span) <= short:
-        best = best.filter(F.col("sim") >= short_floor)
     boosted = F.col("sim") + F.when(F.lower(name) == span.lower(), 0.35).otherwise(0.0) + F.when(kind.isin(*preferred), 0.2).otherwise(0.0)
-    return best.withColumn("boosted", F.round(boosted, 6)).orderBy(F.col("boosted").desc(), key).limit(1)
+    best = best.withColumn("boosted", F.round(boosted, 6))
+    best = best.orderBy(F.col("boosted").desc(), key).limit(1)
+    return best.filter(F.col("boosted") >= short_floor) if len(span) <= short else best
+
+
+def joined_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, key: str, embedding: str = "embedding", floor: float | None = None, digits: int = 6, at_once: int = 1024) -> DataFrame:
+    """(query_id, key, sim): the k best rows of corpus for each query. Queries are taken in blocks of at_once, each a matrix
+    that every task multiplies its rows by; a task passes on its own k best for each query, so the last ranking sees no more
+    than k rows for each query and task. Null vectors match nothing."""
+    import numpy as np
+    import pyarrow as pa
+
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(embedding).cast("array<double>").alias("v")).filter("q IS NOT NULL AND v IS NOT NULL")
+    rows = corpus.select(F.col(key).cast("long").alias("k"), F.col(embedding).cast("array<double>").alias("v")).filter("k IS NOT NULL AND v IS NOT NULL")
+    blocks = max(1, -(-asked.count() // at_once))
+    found = []
+    for b in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").collect()  # about at_once rows
+        if not block:
+            continue
+        ids, matrix = np.array([r["q"] for r in block], dtype=np.int64), np.array([r["v"] for r in block], dtype=np.float64)
+
+        def best(batches, ids=ids, matrix=matrix):
+            kept_k, kept_s = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = batch.column(0).to_numpy()
+                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+                sims = np.round(matrix @ vectors.T, digits) + 0.0
+                kept_k, kept_s = np.concatenate([kept_k, np.broadcast_to(keys, sims.shape)], axis=1), np.concatenate([kept_s, sims], axis=1)
+                if kept_k.shape[1] > k:
+                    at = np.lexsort((kept_k, -kept_s), axis=1)[:, :k]
+                    kept_k, kept_s = np.take_along_axis(kept_k, at, 1), np.take_along_axis(kept_s, at, 1)
+            use = np.ones(kept_s.shape, dtype=bool) if floor is None else kept_s >= floor
+            row = np.nonzero(use)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(kept_k[use]), pa.array(kept_s[use])], names=["q", "k", "sim"])
+
+        found.append(rows.mapInArrow(best, "q long, k long, sim double"))
+    if not found:
+        return rows.select(F.lit(0).cast("long").alias(query_id), F.col("k").alias(key), F.lit(0.0).alias("sim")).limit(0)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("sim").desc(), "k"))
+    return union_all(found).withColumn("_r", rank).filter(F.col("_r") <= k).select(F.col("q").alias(query_id), F.col("k").alias(key), "sim")
+
+
+# -- what is added to a query's rows ----------------------------------------------------------------------------------
+# Rows that an answer takes, hits that are added, and their least similarity.
+MERGED, ENUMERATED, ADDED, ADDED_FLOOR = 40, 90, 8, 0.35
+ANALYTICAL_ADDED, ANALYTICAL_FLOOR, PROFILE_ROWS = 30, 0.20, 25
+
+
+def hybrid_supplement(rows: DataFrame, scored: DataFrame, subjects: list[str], key: str, subject: str = "subject_name", analytical: bool = False) -> DataFrame:
+    """rows and the best facts about the same subjects that they lack, by similarity, MERGED at most. rows and scored have the
+    same columns, sim among them; an analytical question takes more and weaker facts. Without subjects rows stay as they are."""
+    if not subjects:
+        return rows
+    most, floor = (ANALYTICAL_ADDED, ANALYTICAL_FLOOR) if analytical else (ADDED, ADDED_FLOOR)
+    extra = top_k(scored.filter(F.col(subject).isin(*subjects)), most, key, floor)
+    return ranked(merged(rows, extra, [key], key, MERGED).drop("source"), "sim", key, MERGED)
+
+
+def enumeration_supplement(rows: DataFrame, scored: DataFrame, key: str, subject: str = "subject_name", every: bool = False) -> DataFrame:
+    """rows and the best facts of many subjects; with every, also the two best of each subject, so none is missing. By
+    similarity, MERGED at most, or ENUMERATED with every."""
+    extra = diversified(scored, key, subject).drop("group_rank")
+    if every:
+        extra = merged(extra, top_each(scored, key, subject).select(*extra.columns), [key], key, ENUMERATED).drop("source")
+    most = ENUMERATED if every else MERGED
+    return ranked(merged(rows, extra, [key], key, most).drop("source"), "sim", key, most)
+
+
+def profile_append(rows: DataFrame, profiles: DataFrame, number: int, node: bool = False) -> DataFrame:
+    """rows with the subjects' profiles behind them, where the rows are few or the answer is a node itself."""
+    return rows.unionByName(profiles, allowMissingColumns=True) if node or number < PROFILE_ROWS else rows

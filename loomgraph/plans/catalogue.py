@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import expressions as X
@@ -205,9 +205,11 @@ graph_query(
     f=lambda g: paths.reachable(_places(g), "S1", 3, "REGION"),
 )
 for _how, _case in {"more": "CASE WHEN hops_a < hops_b THEN 'S1' ELSE 'S2' END AS more_exposed", "less": "CASE WHEN hops_a > hops_b THEN 'S1' ELSE 'S2' END AS less_exposed", "approx": ""}.items():
+    _shock = "BUILDING" if _how == "approx" else "R1"  # a segment is as far from most suppliers
     graph_query(
-        "+" + _BFS.format(start="R1", most=6)[1:] + f"---\nSELECT * {',' if _case else ''} {_case} FROM (SELECT CAST(max(CASE WHEN id = 'S1' THEN hops END) AS INTEGER) AS hops_a, CAST(max(CASE WHEN id = 'S2' THEN hops END) AS INTEGER) AS hops_b FROM near)" + (" WHERE abs(hops_a - hops_b) <= 1" if _how == "approx" else ""), "places", name=f"compare_shock_{_how}", recursive=True,
-        f=lambda g, how=_how: paths.compare_exposure(_places(g), "S1", "S2", "R1", how, 6).drop("facts_a", "facts_b"),
+        "+" + _BFS.format(start=_shock, most=6)[1:] + f"---\nSELECT * {',' if _case else ''} {_case} FROM (SELECT CAST(max(CASE WHEN id = 'S1' THEN hops END) AS INTEGER) AS hops_a, CAST(max(CASE WHEN id = 'S2' THEN hops END) AS INTEGER) AS hops_b FROM near)" + (" WHERE abs(hops_a - hops_b) <= 1" if _how == "approx" else ""),
+        "places", name=f"compare_shock_{_how}", recursive=True,
+        f=lambda g, how=_how, shock=_shock: paths.compare_exposure(_places(g), "S1", "S2", shock, how, 6).drop("facts_a", "facts_b"),
     )
 graph_query(
     "+" + _BFS.format(start="S1", most=6)[1:] + "---\nSELECT 'S1' AS a, 'S2' AS b, CAST(hops AS INTEGER) AS hops FROM near WHERE id = 'S2'", "places", name="compare_pair", recursive=True,
@@ -253,10 +255,9 @@ graph_query(
 t AS (SELECT *, ntile(10) OVER (ORDER BY parts DESC, s_suppkey) AS a, ntile(10) OVER (ORDER BY quantity DESC, s_suppkey) AS b FROM v) SELECT s_suppkey, parts, CAST(quantity AS BIGINT) AS quantity FROM t WHERE a = 1 AND b = 1"""
 )
 def top_decile_both(spark, sf_dir):
-    """Suppliers in the top decile of two measures. Deciles are of the aggregated suppliers: one row for each."""
+    """Suppliers in the top decile of two measures, numbered by ranges, not in one task."""
     v = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_distinct("l_partkey").alias("parts"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
-    tile = lambda c: F.ntile(10).over(Window.orderBy(F.col(c).desc(), "s_suppkey"))
-    return v.withColumn("a", tile("parts")).withColumn("b", tile("quantity")).filter("a = 1 AND b = 1").drop("a", "b")
+    return patterns.deciles(v, "s_suppkey", "parts", "quantity").filter("parts_part = 1 AND quantity_part = 1").select("s_suppkey", "parts", "quantity")
 
 
 # -- search -----------------------------------------------------------------------------------------------------------
@@ -336,10 +337,14 @@ def row_text(spark, sf_dir):
     return rows.select("edge_id", X.row_text(rows.columns).alias("text"))
 
 
-@query("SELECT conv_id, turn, TRY_CAST(nullif(regexp_extract(text, '\\b(\\d+(?:\\.\\d+)?)', 1), '') AS DOUBLE) AS number FROM conversations WHERE regexp_matches(text, '\\b\\d')")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) ELSE p_size + 0.25 END AS number FROM part WHERE p_partkey % 3 <> 2 UNION ALL SELECT p_partkey, 0.5 FROM part WHERE p_partkey % 3 = 2")
 def question_thresholds(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter(F.col("text").rlike(r"\b\d"))
-    return c.select("conv_id", "turn", X.threshold(F.col("text")).alias("number"))
+    """The bounds of questions: whole, with a fraction, or in words."""
+    p = table(spark, sf_dir, "part")
+    amount = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".25")))
+    asked = F.when(F.col("p_partkey") % 3 == 2, F.lit("Is more than half of it sold?")).otherwise(F.concat(F.lit("Is its size at least "), amount, F.lit("% of all?")))
+    return p.select("p_partkey", X.threshold(asked).alias("number"))
 
 
 from loomgraph.plans import catalogue_more, catalogue_whole  # noqa: E402, F401  registers the rest
+from loomgraph.plans import catalogue_control  # noqa: E402, F401  isort: skip

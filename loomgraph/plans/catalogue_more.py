@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -15,6 +14,7 @@ from loomgraph.plans import routing
 from loomgraph.plans.catalogue import graph_query, query
 from loomgraph.plans.testgraph import table, testgraph
 from loomgraph.sources import files
+from loomgraph.storage import shared_dir
 from loomgraph.streaming import updates
 
 # -- contract and ontology --------------------------------------------------------------------------------------------
@@ -73,8 +73,9 @@ query(f"SELECT count(*) AS rows, count(recall) AS scored, round(avg(recall), 6)
     lambda spark, d: _outcomes(spark, d).agg(F.count(F.lit(1)).alias("rows"), F.count("recall").alias("scored"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.avg((F.col("recall") >= 0.99).cast("double")), 6).alias("hit_rate"))
 )
 query(
-    """SELECT user_id, event_type AS label, votes FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, abs(place - 3), place) AS k FROM (
-SELECT user_id, event_type, count(*) AS votes, list_position(['click', 'error', 'login', 'purchase', 'view'], event_type) AS place FROM events GROUP BY ALL)) WHERE k = 1""", name="majority_vote",
+    """SELECT user_id, event_type AS label, votes FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place) AS k, count(*) OVER (PARTITION BY user_id) AS winners FROM (
+SELECT *, max(votes) OVER (PARTITION BY user_id) AS most FROM (
+SELECT user_id, event_type, count(*) AS votes, list_position(['click', 'error', 'login', 'purchase', 'view'], event_type) AS place FROM events GROUP BY ALL)) WHERE votes = most) WHERE k = winners // 2 + 1""", name="majority_vote",
 )(lambda spark, d: quality.majority(table(spark, d, "events"), "user_id", "event_type", ["click", "error", "login", "purchase", "view"]).withColumnRenamed("event_type", "label"))
 
 
@@ -141,22 +142,26 @@ query("SELECT event_id, ts AS valid_at, lead(ts) OVER (PARTITION BY user_id, eve
 )
 
 
-def _stream(spark, sf_dir, build, mode):
-    """The table of a streaming query over events, run over what is there. Its checkpoints are in the shared folder."""
+def _stream(spark, sf_dir, build, mode, key=()):
+    """The table of a streaming query over events, run over what is there. Its checkpoints and rows are in the shared folder."""
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-stream-")
+    top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"s{uuid.uuid4().hex}"
-    return updates.run_available(build(stream), f"{top}/{name}", name, mode)
+    return updates.run_available(build(stream), f"{top}/state", f"{top}/rows", mode, key)
+
+
+def _tumbling(stream):
+    windows = updates.tumbling(stream, "ts", "1 day", "2 days", ["event_type"])
+    return windows.select(F.col("w.start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", name="stream_tumbling")(
-    lambda spark, d: _stream(spark, d, lambda s: updates.tumbling(s, "ts", "1 day", None, ["event_type"]), "complete").select(F.col("w.start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    lambda spark, d: _stream(spark, d, _tumbling, "update", ["day", "event_type"])
 )
 query(
     """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM (
 SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k""", name="stream_session",
-)(lambda spark, d: updates.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", ["user_id"]).select("user_id", F.col("w.start").alias("start"), "n"))
+)(lambda spark, d: _stream(spark, d, lambda s: updates.sessions(s, "ts", "6 hours", ["user_id"], "2 days").select("user_id", F.col("w.start").alias("start"), "n"), "complete"))
 query("SELECT event_type, count(*) AS n FROM events GROUP BY 1", name="stream_dedup")(
-    lambda spark, d: _stream(spark, d, lambda s: s.unionByName(s).dropDuplicates(["event_id", "event_type"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "complete")
+    lambda spark, d: _stream(spark, d, lambda s: updates.distinct_events(s.unionByName(s), "ts", ["event_id", "event_type"], "60 days").select("event_id", "event_type"), "append").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 )

@@ -23,10 +23,18 @@ class Rule:
     segment_counts: bool = False
 
 
-#: Words of a question that name a group of companies.
-SEGMENTS = {"Public Sector Banks": ("public sector bank",), "Private Sector Banks": ("private sector bank",), "Small Finance Banks": ("small finance bank",)}
+# Words of a question that name a group of companies.
+SEGMENTS = {
+    "Public Sector Banks": ("public sector bank", "psu bank", "psb"),
+    "Private Sector Banks": ("private sector bank",),
+    "Small Finance Banks": ("small finance bank",),
+}
 _BEST = ("highest", "lowest", "max", "min", "maximum", "minimum", "largest", "smallest")
 _COMPARE = ("compare", "peer", " vs ", " versus ")
+_RANKS = (
+    "which bank", "which company", "which public sector bank", "which private sector bank", "which small finance bank",
+    "report the highest", "report the lowest", "reports the highest", "reports the lowest",
+)
 _AMOUNT = ("how many", "how much", "number of", "count of")
 # The decision list, first match wins.
 RULES = [
@@ -37,9 +45,9 @@ RULES = [
     Rule("F_GroupAggregate", least_segments=2),
     Rule("F_GroupAggregate", ("as a group compare", "compare... as a group")),
     Rule("F_GroupAggregate", ("average",), also=_BEST, least_segments=1),
-    Rule("F_GroupAggregate", ("average",), also=_BEST, no=(), segment_counts=True),
-    Rule("F_GlobalRank", ("which bank", "which company", "which public sector bank", "which private sector bank", "which small finance bank", "report the highest", "report the lowest", "reports the highest", "reports the lowest"), also=("across all", "all 39", "all listed", "all banks")),
-    Rule("F_GlobalRank", ("which bank", "which company", "which public sector bank", "which private sector bank", "which small finance bank", "report the highest", "report the lowest", "reports the highest", "reports the lowest"), least_segments=1),
+    Rule("F_GroupAggregate", ("average",), also=_BEST, segment_counts=True),
+    Rule("F_GlobalRank", _RANKS, also=("across all", "all 39", "all listed", "all banks")),
+    Rule("F_GlobalRank", _RANKS, least_segments=1),
     Rule("F_CompLess", _COMPARE, also=("less", "lower", "fewer"), or_domains=("T_CompareExposure",)),
     Rule("F_CompApprox", _COMPARE, also=("approximately", "around", "similar"), or_domains=("T_CompareExposure",)),
     Rule("F_CompMore", _COMPARE, or_domains=("T_CompareExposure",)),

@@ -6,8 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.graph import PropertyGraph, union_all
+from loomgraph.storage import signature, written_once
 
 _BIG = 1_000_000_000
 
@@ -20,7 +22,34 @@ def _id(prefix: str, key: str) -> Column:
     return F.concat(F.lit(prefix), F.col(key).cast("string"))
 
 
+#: What the graph is made of.
+TABLES = ["region", "nation", "supplier", "customer", "part", "orders", "lineitem"]
+
+
 def testgraph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The tables' graph, written once and read from then on: nodes by id; edges in a folder for each relation, by src, and
+    once more by dst. It is written anew when a table changes."""
+
+    def write(path: str) -> None:
+        g = derived(spark, sf_dir)
+        g.nodes.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/nodes")
+        for name, by in (("edges", "src"), ("reverse", "dst")):
+            rows = g.edges if name == "edges" else spark.read.schema(g.edges.schema).parquet(f"{path}/edges")
+            rows.repartitionByRange("rel", by, "edge_id").sortWithinPartitions("rel", by, "edge_id").write.partitionBy("rel").parquet(f"{path}/{name}")
+
+    path = written_once(spark, "graph-" + signature(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]), write)
+    edges = T.StructType([T.StructField(f.name, f.dataType) for f in _edge_schema()])
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    return PropertyGraph(read("nodes", "id string, name string, type string, labels array<string>"), read("edges", edges), read("reverse", edges))
+
+
+def _edge_schema() -> list[T.StructField]:
+    kinds = {"edge_id": T.LongType(), "src": T.StringType(), "dst": T.StringType(), "rel": T.StringType(), "fact": T.StringType(), "value": T.DoubleType(), "share": T.DoubleType(), "valid_at": T.TimestampType()}
+    return [T.StructField(name, kind) for name, kind in kinds.items()]
+
+
+def derived(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The same as a plan over the tables; a filter on a relation or type leaves only the tables that it needs."""
     t = lambda name: table(spark, sf_dir, name)
     node = lambda df, i, name, kind, label: df.select(i.alias("id"), name.alias("name"), F.lit(kind).alias("type"), F.array(F.lit("Entity"), F.lit(label)).alias("labels"))
     nodes = [

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,12 +24,19 @@ RESULT_FIELDS = (
 
 
 def read_queries(spark: SparkSession, path: str, offset: int = 0, limit: int | None = None, text: str = "text") -> DataFrame:
-    """Questions of a CSV file with header, numbered in the order of the file, from offset on. The file's own order is kept
-    by its position, which Spark numbers without moving rows to one task."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in spark.read.csv(path, header=True, multiLine=True, escape='"').columns])
-    rows = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"').withColumn("query_idx", F.monotonically_increasing_id()).filter(F.col(text).isNotNull())
-    rows = rows.filter(F.col("query_idx") >= offset)
-    return rows if limit is None else rows.orderBy("query_idx").limit(limit)
+    """Questions of CSV files with header, numbered (query_idx) in the order of the files' paths and of the rows in each, from
+    offset on, limit of them at most. Rows without a question take a number, but aren't returned. A file is read by one task
+    as its rows may hold line breaks, and numbered there; the files before it are added."""
+    columns = spark.read.csv(path, header=True, multiLine=True, escape='"').columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    rows = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
+    rows = rows.withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each file
+    rows = rows.join(starts.drop("_n"), "_file").withColumn("query_idx", F.col("_before") + F.col("_at") - F.col("_first"))
+    wanted = (F.col("query_idx") >= offset) & F.col(text).isNotNull()
+    wanted = wanted if limit is None else wanted & (F.col("query_idx") < offset + limit)
+    return rows.filter(wanted).select(*columns, "query_idx")
 
 
 def without_done(queries: DataFrame, done: DataFrame, text: str = "text") -> DataFrame:
@@ -36,7 +45,8 @@ def without_done(queries: DataFrame, done: DataFrame, text: str = "text") -> Dat
 
 
 def write_results(rows: DataFrame, path: str, form: str = "json", mode: str = "append", ordered: bool = False) -> None:
-    """Appends result records; nested fields are JSON text in CSV. ordered sorts by query_idx first."""
+    """Appends result records; nested fields are JSON text in CSV. ordered sorts by query_idx first, by ranges, so files hold
+    the rows in order."""
     rows = rows.orderBy("query_idx") if ordered else rows
     if form == "csv":
         nested = [f.name for f in rows.schema if isinstance(f.dataType, T.StructType | T.ArrayType | T.MapType)]
@@ -45,6 +55,21 @@ def write_results(rows: DataFrame, path: str, form: str = "json", mode: str = "a
         rows.write.mode(mode).format(form).save(path)
 
 
+def rewrite_ordered(spark: SparkSession, path: str, to: str, schema: T.StructType | str, form: str = "json") -> None:
+    """The records that were appended as they were ready, written anew to another folder in the order of the questions."""
+    write_results(spark.read.schema(schema).format(form).load(path), to, form, "overwrite", ordered=True)
+
+
+def read_catalogue(spark: SparkSession, path: str) -> dict:
+    """A JSON catalogue, such as templates or aliases, wherever Spark can read it. It is one small document."""
+    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def aliases_of(catalogue: dict[str, dict[str, str]]) -> dict[str, tuple[str, str]]:
+    """phrase -> (id, type) of an alias catalogue, whose entries hold id and type (and a name)."""
+    return {phrase: (entry["id"], entry["type"]) for phrase, entry in catalogue.items()}
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.json(path)
@@ -125,10 +150,38 @@ def episodes(texts: DataFrame, text: str = "value", most: int = EPISODE_CHARS) -
     return each.select(F.concat(F.lit("["), "title", F.lit("] "), "head", suffix).alias("name"), "content")
 
 
-def sections(lines: DataFrame, line: str = "value", order: str = "line_no") -> DataFrame:
-    """(ticker, line_no, line) of lines under headings NAME (ticker X ...)."""
-    ticker = F.nullif(F.regexp_extract(line, r"\(ticker\s+([A-Z0-9&-]+)", 1), F.lit(""))
-    return lines.withColumn("ticker", F.last(ticker, ignorenulls=True).over(Window.partitionBy("path").orderBy(order)))
+def sections(texts: DataFrame, text: str = "value") -> DataFrame:
+    """(company, ticker, section) of texts with headings NAME (ticker X: each section is its heading with all up to the next."""
+    marked = F.regexp_replace(F.col(text), r"(?m)^(?=[A-Z][A-Z&.' ]{3,60}\s*\(ticker\s+[A-Z0-9&]+)", "\u0001")
+    parts = texts.select(F.explode(F.slice(F.split(marked, "\u0001"), 2, 1_000_000_000)).alias("section"))
+    head = lambda k: F.regexp_extract("section", r"^([A-Z][A-Z&.' ]{3,60})\s*\(ticker\s+([A-Z0-9&]+)", k)
+    return parts.select(F.initcap(F.trim(head(1))).alias("company"), head(2).alias("ticker"), "section")
+
+
+def facts_in(texts: DataFrame, pattern: str, rel: str, text: str = "content") -> DataFrame:
+    """(subject, rel, object, fact): what a pattern with groups subject and object finds in texts; the default extractor."""
+    found = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("fact"))
+    part = lambda k: F.trim(F.regexp_extract("fact", pattern, k))
+    return found.select(part(1).alias("subject"), F.lit(rel).alias("rel"), part(2).alias("object"), "fact")
+
+
+def ingested(texts: DataFrame, extract: Callable[[DataFrame], DataFrame], known: PropertyGraph | None = None) -> PropertyGraph:
+    """The graph of the facts (subject, rel, object, fact) that extract() finds in episodes, merged into a known graph. Nodes
+    are one for each name in any case, edges one for each triple and fact; ids are hashes, so the same episode again changes
+    nothing."""
+    key = lambda name: F.concat(F.lit("N"), F.hex(F.xxhash64(F.lower(name))))
+    facts = extract(texts).filter("subject <> '' AND object <> ''").select("subject", "rel", "object", "fact").distinct()
+    names = facts.select(F.explode(F.array("subject", "object")).alias("name"))
+    nodes = names.groupBy(key(F.col("name")).alias("id")).agg(F.min("name").alias("name")).withColumn("type", F.lit("ENTITY"))
+    edges = facts.select(key(F.col("subject")).alias("src"), key(F.col("object")).alias("dst"), "rel", "fact").distinct()
+    edges = edges.withColumn("edge_id", F.xxhash64("src", "rel", "dst", "fact"))
+    fresh = PropertyGraph.of(nodes, edges)
+    if known is None:
+        return fresh
+    old = PropertyGraph.of(known.nodes, known.edges)
+    more = fresh.nodes.join(old.nodes.select("id"), "id", "left_anti").select(*old.nodes.columns)
+    added = fresh.edges.join(old.edges.select("edge_id"), "edge_id", "left_anti").select(*old.edges.columns)
+    return PropertyGraph(old.nodes.unionByName(more), old.edges.unionByName(added))
 
 
 def article_paragraphs(html: str = "html") -> Column:

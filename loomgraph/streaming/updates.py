@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest(facts: DataFrame, key: list[str], at: str, tie: str) -> DataFrame:
@@ -59,8 +60,29 @@ def distinct_events(events: DataFrame, at: str, key: list[str], late: str) -> Da
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
-def run_available(stream: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a streaming aggregate over what is there, and returns its table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, checkpoint: str, out: str, mode: str = "complete", key: list[str] = ()) -> DataFrame:
+    """Runs a streaming query over what is there, and returns its table. Each batch's rows go to files under out/batch=<n>, and
+    a batch that is run again writes the same folder anew, so nothing passes through the driver. complete: the last batch
+    is the table; update: each key's row of the latest batch; append: all rows."""
+    spark = stream.sparkSession
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.filter(F.col("batch") == F.lit(last))
+    elif mode == "update":
+        rows = latest(rows, list(key), "batch", "batch")
+    return rows.select(*stream.columns)
+
+
+def append_results(stream: DataFrame, out: str, checkpoint: str, form: str = "json"):
+    """Appends results as they are ready; files and checkpoint together make each row appear once. Returns when all that is
+    there has been written."""
+    q = stream.writeStream.format(form).option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return q

@@ -12,7 +12,9 @@ from loomgraph.plans import catalogue
 SF = "/root/testdata/sf0.001"
 CORE = [
     "graph_node_index", "neighbors_simple", "log_intersection", "log_difference", "count_atleast", "quant_max", "segment_rank_max", "comp_to_group_avg", "shortest_path_hops", "causal_trails",
-    "vec_diversified", "merge_rank_cap", "casing_drift", "value_recovery", "ontology_conformance", "majority_vote", "route_rules", "asof_latest_fact", "stream_tumbling", "episodes_chunk", "gazetteer_link",
+    "vec_diversified", "merge_rank_cap", "casing_drift", "value_recovery", "ontology_conformance", "majority_vote", "route_rules", "asof_latest_fact", "stream_tumbling", "episodes_chunk", "gazetteer_link", "parameterised_sql", "csv_questions", "results_rewritten", "stream_append", "sections_parsed", "episode_ingest",
+    "graph_conforming", "thematic_ownershipstructure", "thematic_single", "stock_impact", "causal_chain_to", "thematic_parameters", "gazetteer_candidates", "alias_links", "resolved_entities", "merged_matches",
+    "matched_companies", "relations_inferred", "entity_positions", "slots_filled", "vec_join", "hybrid_supplement", "enumeration_supplement", "row_lines", "contract_verdict", "kb_validation", "classifier_report", "shuffled_split",
 ]
 
 

@@ -161,8 +161,8 @@ def test_merge_gains_one_row_when_full(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    from loomgraph.plans.testgraph import testgraph
+    from loomgraph.plans.testgraph import derived
 
-    g = testgraph(spark, "/root/testdata/sf0.001")
+    g = derived(spark, "/root/testdata/sf0.001")
     plan = g.with_rel("IN_REGION").select("src", "dst")._jdf.queryExecution().executedPlan().toString()
     assert "nation.parquet" in plan and "lineitem" not in plan and "n_name" not in plan
