@@ -80,8 +80,8 @@ def data_gaps(g: PropertyGraph, kind: str, rels: list[str]) -> DataFrame:
 
 def majority(votes: DataFrame, key: str, label: str, order: list[str]) -> DataFrame:
     """The label with most votes of each key. Of several the middle one in `order` wins, of two middle ones the upper; labels
-    that aren't in `order` come first. A key has one entry for each label, however many votes there are."""
-    place = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col(label)), F.lit(0))
+    that aren't in `order` come last. A key has one entry for each label, however many votes there are."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col(label)), F.lit(0)), F.lit(len(order) + 1))
     n = votes.groupBy(key, label).agg(F.count(F.lit(1)).alias("votes"))
     tally = n.groupBy(key).agg(F.max("votes").alias("votes"), F.collect_list(F.struct(place.alias("place"), F.col(label).alias("label"), F.col("votes").alias("n"))).alias("_t"))
     winners = F.array_sort(F.filter("_t", lambda t: t["n"] == F.col("votes")))

@@ -408,7 +408,7 @@ _LABELS = ["F_Simple", "F_LogUnion", "F_CompMore", "F_GlobalRank", "F_QuantMax",
 
 
 @query(
-    """SELECT p_partkey, label, CASE label WHEN 'F_GlobalRank' THEN NULL ELSE p_brand END AS first, CASE WHEN label IN ('F_Simple', 'F_LogUnion') THEN 'P' || p_partkey ELSE p_type END AS second,
+    """SELECT p_partkey, label, CASE label WHEN 'F_GlobalRank' THEN NULL ELSE p_brand END AS first, CASE WHEN label IN ('F_Simple', 'F_LogUnion') OR (label IN ('F_CompMore', 'F_QuantMax') AND contains(p_name, lower(p_type))) THEN 'P' || p_partkey ELSE p_type END AS second,
 CASE WHEN label IN ('F_CompMore', 'F_GlobalRank', 'F_CompToGroupAverage') THEN p_type END AS metric, 'HAS_SIZE' AS relation, ['HAS_SIZE', 'SELLS'] AS relations, CAST(regexp_extract(p_brand, '[0-9]+') AS DOUBLE) AS threshold,
 CASE label WHEN 'F_CompMore' THEN 'compare_metric_named' WHEN 'F_GlobalRank' THEN 'global_ranking_max' WHEN 'F_CompToGroupAverage' THEN 'comp_to_group_avg' END AS mode
 FROM (SELECT *, ['F_Simple', 'F_LogUnion', 'F_CompMore', 'F_GlobalRank', 'F_QuantMax', 'F_CompToGroupAverage'][p_partkey % 6 + 1] AS label FROM part)"""
