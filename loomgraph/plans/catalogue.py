@@ -321,9 +321,16 @@ def value_recovery(spark, sf_dir):
     return g.with_rel("SUPPLIES").select("edge_id", X.number_from_fact(F.col("fact")).alias("number"), X.usable_value(F.col("value"), F.col("fact")).alias("usable"))
 
 
-@query()
+def numbers_sql(text: str) -> str:
+    """The distinct numbers of a text that matter, as SQL: runs glued to a letter are blanked first."""
+    found = f"regexp_extract_all(' ' || regexp_replace(coalesce({text}, ''), '[A-Za-z][0-9][0-9,]*(\\.[0-9]+)?%?', 'A', 'g'), '[0-9][0-9,]*(?:\\.[0-9]+)?%?')"
+    valued = f"list_transform({found}, lambda x: {{'raw': x, 'v': CAST(regexp_replace(x, '[,%]', '', 'g') AS DOUBLE)}})"
+    return f"list_sort(list_distinct(list_transform(list_filter({valued}, lambda x: ends_with(x.raw, '%') OR x.v >= 10 OR x.v <> floor(x.v)), lambda x: printf('%g', x.v))))"
+
+
+@query(f"SELECT doc_id, {numbers_sql('text')} AS numbers FROM documents")
 def extract_numbers(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.extract_numbers(F.col("text")).alias("numbers"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(X.extract_numbers(F.col("text"))).alias("numbers"))
 
 
 @query(r"SELECT s_suppkey, trim(regexp_replace(regexp_replace(s_name || ' in the AFRICA and asia', '(?i)middle east|supplier|africa|asia', ' ', 'g'), '\s+', ' ', 'g')) AS masked FROM supplier")

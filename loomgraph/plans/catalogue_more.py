@@ -11,7 +11,7 @@ from loomgraph.functions import expressions as X
 from loomgraph.graph import PropertyGraph
 from loomgraph.operators import quality, search
 from loomgraph.plans import routing
-from loomgraph.plans.catalogue import graph_query, query
+from loomgraph.plans.catalogue import graph_query, numbers_sql, query
 from loomgraph.plans.testgraph import table, testgraph
 from loomgraph.sources import files
 from loomgraph.storage import shared_dir
@@ -44,7 +44,10 @@ def ontology_conformance(spark, sf_dir):
 graph_query("SELECT 'C' || c_custkey AS id, c_name AS name, c_custkey NOT IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) AS is_gap FROM customer", name="data_gap_check", f=lambda g: quality.data_gaps(g, "CUSTOMER", ["ORDERED"]))
 
 
-@query()
+@query(
+    f"""WITH n AS (SELECT source, {numbers_sql('text')} AS w, {numbers_sql("split_part(text, chr(10), 1)")} AS h FROM documents), c AS (SELECT source, sum(len(w)) AS wanted, sum(len(list_intersect(w, h))) AS found FROM n GROUP BY 1)
+SELECT source, CAST(wanted AS BIGINT) AS wanted, CAST(found AS BIGINT) AS found, 0 AS growth_rows, 0 AS growth_found, CASE WHEN wanted > 0 THEN round(found / CAST(wanted AS DOUBLE), 4) END AS captured FROM c"""
+)
 def extraction_coverage(spark, sf_dir):
     """How many of a document's numbers its source's first line holds."""
     d = table(spark, sf_dir, "documents").select("source", "text")
@@ -93,7 +96,10 @@ def page_scan(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", (F.length("html") > 0).alias("has_html"))
 
 
-@query()
+@query(
+    r"""SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(html, '(?i)<p\b[^>]*>')[2:], lambda p: trim(regexp_replace(regexp_replace(regexp_replace(p, '(?is)(</p>|</article>|</div>).*$', ''),
+'(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g'))), lambda p: length(p) > 50), chr(10) || chr(10)) AS content FROM pages"""
+)
 def article_paragraphs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", files.article_paragraphs().alias("content"))
 
