@@ -20,12 +20,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import Remembered, in_arrow, text_slices
+from loomgraph.llm.common import KEPT, Remembered, in_arrow, text_slices
 
 #: Bytes of the longest piece whose tree is built beside others', and leaves of the trees that are worked on at a time.
 WIDE, LEAVES_AT_ONCE = 256, 1 << 17
 #: Bytes of encoded chunks in each of the two generations that a task remembers; bytes of text that it handles at a time.
-REMEMBERED, BYTES_AT_ONCE = 24_000_000, 2_000_000
+REMEMBERED, BYTES_AT_ONCE = 16_000_000, 1_000_000
 
 _AMBIGUOUS = re.compile(r"\s\s|\s\Z")
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
@@ -90,8 +90,10 @@ class Codec:
         self.pairs = PairTable(np.array(keys, dtype=np.int64), np.array(ids, dtype=np.int64))
         self.none = 1 << 40
         #: Letters to Python but not to the pattern, or the other way round.
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        self.odd_letters = {c for c in every if c.isalpha()} ^ set(regex.sub(r"\P{L}+", "", every))
+        self.odd_letters = set()
+        for lo in range(0, 0x110000, 0x800):
+            some = "".join(map(chr, range(lo, lo + 0x800))) if lo != 0xD800 else ""
+            self.odd_letters |= set(filter(str.isalpha, some)) ^ set(regex.findall(r"\p{L}", some))
         self.forget()
 
     def forget(self) -> None:
@@ -275,16 +277,12 @@ def read_ranks(path: str) -> list[bytes | None]:
     return [ranks.get(i) for i in range(max(ranks) + 1)]
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
-
-
 def _codec(tokens: list[bytes | None], pattern: str) -> Codec:
     """The worker's codec for a vocabulary, kept from task to task; what it remembers of texts isn't."""
     key = (hash(tuple(tokens)), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(tokens, pattern)
-    return _CODECS[key]
+    if "codec" not in KEPT or KEPT["codec"][0] != key:
+        KEPT["codec"] = (key, Codec(tokens, pattern))
+    return KEPT["codec"][1]
 
 
 def _with_codec(df: DataFrame, path: str, pattern: str, text_col: str, out: list[T.StructField], make: Callable) -> DataFrame:
@@ -303,7 +301,7 @@ def _with_codec(df: DataFrame, path: str, pattern: str, text_col: str, out: list
         finally:
             codec.forget()
 
-    return in_arrow(df, run, T.StructType([*df.schema.fields, *out]))
+    return in_arrow(df, run, T.StructType([*df.schema.fields, *out]), keep="codec")
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:

@@ -14,13 +14,16 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a side that may be broadcast after they have been counted; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes of a side that may be broadcast after they have been counted; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32_000_000
+#: Least and most bits of a table that tells which ids may be among others; the most take 16 MB.
+LIKELY_BITS = (16, 27)
 #: A key is hot when it has more than 1 / HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 512
 #: Rows and bytes of a batch that goes to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8_000_000
+BATCH_ROWS, BATCH_BYTES = 1_000, 4_000_000
 #: Upper-case ASCII and the lower-case letters it becomes (the contracts lower-case A-Z only).
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,9 +56,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has been counted to have limit rows at most, else df for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark keeps it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables that an operator writes on its way; they go when it has what it needs behind a checkpoint."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+
+
+def _width(f: T.StructField):
+    """The bytes of a column's value, about."""
+    if isinstance(f.dataType, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(f.name), F.lit(0)) + 16
+    if isinstance(f.dataType, T.ArrayType | T.MapType):
+        return F.greatest(F.size(f.name), F.lit(0)) * 16 + 16
+    return F.lit(8)
+
+
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether df has been counted to have limit (BROADCAST_ROWS) rows and BROADCAST_BYTES at most."""
+    limit = BROADCAST_ROWS if limit is None else limit
+    some = df.limit(limit + 1)
+    rows, size = some.agg(F.count(F.lit(1)), F.sum(sum((_width(f) for f in df.schema.fields), F.lit(0)))).first()
+    return rows <= limit and (size or 0) <= BROADCAST_BYTES
+
+
+def small_or_not(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it is small, else df for a shuffled join."""
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
@@ -67,7 +113,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     dealt to; the groups of hot keys are repeated once for each part (2 * HOT_SHARE rows at most).
     """
     parts = F.ceil(F.col(size) * HOT_SHARE / F.lit(max(total, 1))).cast("int")
-    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(groups):
         return rows.join(F.broadcast(groups), keys, "left")
     groups = groups.withColumn("_parts", F.when(F.col(size) * HOT_SHARE > total, parts).otherwise(F.lit(1)))
     hot = groups.filter("_parts > 1").select(*keys, "_parts")
@@ -77,6 +123,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return rows.join(dealt, [*keys, "_part"], "left").drop("_part")
 
 
+def table_bits(keys: int) -> int:
+    """Bits of a table for so many keys, so that about one other key in 16 or less meets a bit that is set."""
+    return min(max((16 * keys).bit_length(), LIKELY_BITS[0]), LIKELY_BITS[1])
+
+
 def bitmap(keys: DataFrame, key: str, bits: int) -> DataFrame:
     """A table of fixed size (2 ** bits bits in rows of 4 KB) in which the bit of each 64-bit key is set."""
     at = F.pmod(F.col(key), F.lit(1 << bits))
@@ -96,6 +147,28 @@ def in_bitmap(df: DataFrame, key: str, table: DataFrame, bits: int, out: str) ->
     return df.withColumn("_page", F.shiftright(at, 15)).join(F.broadcast(table), "_page", "left").withColumn(out, found).drop("_page", "_map")
 
 
+def _marked(df: DataFrame, ids: DataFrame, key: str, out: str) -> DataFrame:
+    """df with the boolean out: false where key is none of ids, by a table of bits sized from their number."""
+    bits = table_bits(ids.count())
+    hashed = F.xxhash64(F.col(key).cast("string"))  # the same for an id of any type
+    table = cut(bitmap(ids.select(hashed.alias("_h")), "_h", bits))
+    return in_bitmap(df.withColumn("_h", hashed), "_h", table, bits, out).drop("_h")
+
+
+def likely_among(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of df whose key is among ids, and few others where ids are many; wide rows aren't shuffled for it."""
+    return df.join(F.broadcast(ids), key, "left_semi") if is_small(ids) else _marked(df, ids, key, "_in").filter("_in").drop("_in")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of df whose key isn't among ids, null keys too. Where ids are many, only rows that may be among them are shuffled."""
+    if is_small(ids):
+        return df.join(F.broadcast(ids), key, "left_anti")
+    columns = df.columns
+    marked = _marked(df, ids, key, "_in")
+    return marked.filter("NOT _in").select(*columns).unionByName(marked.filter("_in").drop("_in").join(ids, key, "left_anti").select(*columns))
+
+
 def fold(id_col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))), F.lit(modulus))
@@ -183,43 +256,55 @@ class Remembered(dict):
         self.bytes += sum(map(sys.getsizeof, keys)) + sum(map(sys.getsizeof, values)) + self.ENTRY * len(keys)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a number of bytes and to the end of the task."""
-
-    MOST_BYTES, ENTRY = 24_000_000, 180
-
-    def __init__(self):
-        super().__init__()
-        self.bytes = 0
-
-    def __missing__(self, word: bytes) -> int:
-        if self.bytes >= self.MOST_BYTES:
-            self.forget()
-        value = xxhash.xxh3_64_intdigest(word) - (1 << 63)
-        if len(word) <= 256:
-            self.bytes += self.ENTRY + len(word)
-            self[word] = value
-        return value
-
-    def forget(self) -> None:
-        self.clear()
-        self.bytes = 0
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
-
-
-#: The worker's hashes, which all operators share.
-WORDS = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return WORDS.of(words)
+#: Bytes of text whose words are hashed at once; a longer word is hashed by itself.
+_CHUNK = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+_LOW = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def hashed_words(text: str | None) -> np.ndarray:
+    """64-bit hashes (uint64) of the text's words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, in order. A word's hash depends on its
+    bytes alone: the sum of their values times the powers of an odd base, which is found for all words at once."""
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            _POWERS.append(np.cumprod(np.full(_CHUNK, base, dtype=np.uint64)))
+    data = (text or "").encode("utf-8", "surrogatepass")
+    out, at = [], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > _CHUNK:
+            end = max(data.rfind(c, at, at + _CHUNK + 1) for c in _SPACES)
+            if end < 0:  # a word that is longer
+                after = [e for c in _SPACES if (e := data.find(c, at)) >= 0]
+                end = min(after, default=len(data))
+                out.append(np.array([xxhash.xxh3_64_intdigest(data[at:end].lower())], dtype=np.uint64))
+                at = end
+                continue
+            end = max(end, at + 1)
+        out.append(_hashed(np.frombuffer(data, np.uint8, end - at, at)))
+        at = end
+    return out[0] if len(out) == 1 else np.concatenate([*out, np.zeros(0, dtype=np.uint64)])
+
+
+_SPACES = [bytes([c]) for c in (9, 10, 11, 12, 13, 32)]
+
+
+def _hashed(b: np.ndarray) -> np.ndarray:
+    space = _SPACE[b]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edges = edges if space[0] else np.concatenate(([0], edges))
+    if not len(edges):
+        return np.zeros(0, dtype=np.uint64)
+    value = _LOW[b].astype(np.uint64)
+    value += np.uint64(1)
+    value *= _POWERS[0][: len(b)]
+    return mixed(np.add.reduceat(value, edges)[::2] * _POWERS[1][edges[::2]])
 
 
 def release() -> None:
     """Gives memory that a task no longer needs back to the system: workers live on from stage to stage."""
-    WORDS.forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -227,10 +312,21 @@ def release() -> None:
         pass
 
 
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema) over batches of bounded bytes, whose worker gives its memory back at the end of the task."""
+#: What a worker keeps from task to task of one kind, such as a vocabulary; it goes when a task of another kind comes.
+KEPT: dict[str, object] = {}
+
+
+def keep_only(kind: str | None) -> None:
+    for other in [k for k in KEPT if k != kind]:
+        del KEPT[other]
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep: str | None = None) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of bounded bytes, whose worker gives its memory back at the end of the task. keep:
+    the kind of task, which may leave something in KEPT."""
 
     def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(keep)
         try:
             yield from run(batches)
         finally:

@@ -16,15 +16,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bitmap, components, cut, in_arrow, join_groups, mixed, pack, plain_words, small_or_not, unpack, word_hashes, written
+from loomgraph.llm.common import Scratch, bitmap, components, cut, hashed_words, in_arrow, join_groups, likely_among, mixed, pack, small_or_not, table_bits, text_slices, unpack, without, written
 
 #: Partners of one document that one task verifies.
 PARTNERS_A_TASK = 256
 #: Members of a bucket up to which its pairs are listed; larger ones are refined, LEVELS times at most. What is still large
 #: then shares rare differences again and again, and is listed too.
 LISTED, LEVELS = 32, 4
-#: Entries that one task counts, and bits of the table that tells which keys are shared (8 MB).
-BUCKET_ENTRIES, SHARED_BITS = 500_000, 26
+#: Entries that one task counts.
+BUCKET_ENTRIES = 500_000
 #: What looking at a pair costs, in index entries.
 PAIR_COST = 2
 
@@ -33,10 +33,9 @@ _FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uin
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """The sorted 64-bit hashes of the distinct n-word shingles; of the whole sequence where there are fewer words."""
-    words = plain_words(text)
-    if not words:
+    h = hashed_words(text)
+    if not len(h):
         return np.zeros(0, dtype=np.uint64)
-    h = word_hashes(words)
     k = min(n, len(h))
     total = np.full(len(h) - k + 1, np.uint64(k) * np.uint64(0x2545F4914F6CDD1D), dtype=np.uint64)
     for i in range(k):
@@ -129,23 +128,22 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return in_arrow(docs, run, "id long, n long, h1 long, h2 long")
 
 
-def _entries(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, int]]) -> DataFrame:
-    """(id, n, low, high): each row's keys on its own band's shelf, where it is the smaller, and on the shelf below. They
-    are as large as the texts, so they are made anew where they are read, not stored."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def _entries(batches: Iterator[pa.RecordBatch], n: int, percent: int, plan: dict[int, tuple[int, int]]) -> Iterator[tuple[np.ndarray, list, list, list]]:
+    """(ids, sizes, low, high) of batches (id, text): each row's keys on its own band's shelf, where it is the smaller, and on
+    the shelf below. They are as large as the texts, so they are made anew where they are read, not stored; a slice of the
+    rows at a time."""
+    none = np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for lo, hi in text_slices(batch.column(1)):
             size, low, high = [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), n)
+            for text in batch.column(1).slice(lo, hi - lo).to_pylist():
+                s = shingle_set(text, n)
                 band = _band(len(s), percent) if len(s) else -9
                 size.append(len(s))
                 for out, shelf in ((low, band), (high, band - 1)):
-                    out.append(index_keys(s, shelf, *plan[shelf]) if shelf in plan else ())
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(low, kind), pa.array(high, kind)], names=["id", "n", "low", "high"])
-
-    return in_arrow(docs, run, "id long, n long, low array<bigint>, high array<bigint>")
+                    out.append(index_keys(s, shelf, *plan[shelf]) if shelf in plan else none)
+            yield ids[lo:hi], size, low, high
 
 
 def _sketches(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, int]]) -> DataFrame:
@@ -170,7 +168,7 @@ def compare(texts: DataFrame, pairs: DataFrame, n: int, percent: int, difference
     PARTNERS_A_TASK of its partners, and these stream past it, so no task holds more than a's set and one partner."""
     pairs = cut(pairs.distinct())
     involved = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    texts = texts.join(small_or_not(involved), "id", "left_semi")
+    texts = likely_among(texts, involved)
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS_A_TASK).cast("int").alias("_parts"))
     wide = parts.filter("_parts > 1")  # at most pairs / PARTNERS_A_TASK rows
     partners = pairs.join(small_or_not(wide), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("_parts", F.lit(1))).cast("int"))
@@ -203,16 +201,25 @@ def compare(texts: DataFrame, pairs: DataFrame, n: int, percent: int, difference
 _COMPARED = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
 
 
-def _shared_keys(index: DataFrame, total: int) -> DataFrame:
-    """(key, size) of the keys that several sets have, one of them as the smaller. Keys are counted in packed sorted arrays,
-    one for each batch and hash bucket, so a key is sent once for each batch, however many sets have it."""
+def _marks(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A mark of so many bits for each key."""
+    return mixed(keys.view(np.uint64)) >> np.uint64(64 - bits)
+
+
+def _shared_keys(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, int]], total: int) -> tuple[DataFrame, int]:
+    """(mark, size) of the marks of keys that several sets have, one of them as the smaller, and the bits of a mark: so many
+    that hardly any two of the keys have one mark, and those that do only add entries to look at. Marks are counted in packed
+    sorted arrays, one for each part of a task's rows and range of marks, so a key is sent once for each part, however many
+    sets have it, and in about as many bytes as tell it from the next."""
     buckets = max(16, -(-int(total) // BUCKET_ENTRIES))
+    bits = min(max(int(total).bit_length() + 12, 32), 56)
+    width = -(-(1 << bits) // buckets)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held, size = ([], []), 0
-        for batch in batches:
-            for i, some in enumerate(held):
-                some.append(batch.column(i).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        for _, _, *lists in _entries(batches, n, percent, plan):
+            for some, keys in zip(held, lists):
+                some.append(_marks(np.concatenate(keys), bits))
                 size += len(some[-1])
             if size >= BUCKET_ENTRIES:
                 yield tuple(map(np.concatenate, held))
@@ -222,53 +229,55 @@ def _shared_keys(index: DataFrame, total: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low, high in gathered(batches):
-            keys, place = np.unique(np.concatenate([low, high]), return_inverse=True)
-            n, small = np.bincount(place, minlength=len(keys)), np.bincount(place[: len(low)], minlength=len(keys))
-            bucket = (mixed(keys) >> np.uint64(24)) % np.uint64(buckets)
-            order = np.lexsort((keys, bucket))
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.nonzero(np.diff(ends))[0]:
-                at = order[ends[b] : ends[b + 1]]
-                row = [int(b), pack(keys[at]), n[at].astype("<u4").tobytes(), (small[at] > 0).astype(np.uint8).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["bucket", "keys", "n", "small"])
+            marks, place = np.unique(np.concatenate([low, high]), return_inverse=True)
+            often, small = np.bincount(place, minlength=len(marks)), np.bincount(place[: len(low)], minlength=len(marks)) > 0
+            ends = np.searchsorted(marks, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(width))
+            held = np.nonzero(np.diff(ends))[0].tolist()
+            parts = [slice(ends[b], ends[b + 1]) for b in held]
+            packed = [pack(marks[at] - np.uint64(b * width)) for b, at in zip(held, parts)]
+            counts = [often[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for at in parts]
+            bits_of = [np.packbits(small[at]).tobytes() for at in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), *(pa.array(c, pa.binary()) for c in (packed, counts, bits_of))], names=["bucket", "marks", "n", "small"])
 
     def count(rows: pa.Table) -> pa.Table:
-        keys, place = np.unique(np.concatenate([unpack(b.as_py()) for b in rows["keys"]]), return_inverse=True)
-        n = np.bincount(place, np.concatenate([np.frombuffer(b.as_py(), "<u4") for b in rows["n"]]))
-        small = np.bincount(place, np.concatenate([np.frombuffer(b.as_py(), np.uint8) for b in rows["small"]]))
-        use = (n > 1) & (small > 0)
-        return pa.table({"key": keys[use].view(np.int64), "size": n[use].astype(np.int64)})
-
-    asked = in_arrow(index.select("low", "high"), ask, "bucket long, keys binary, n binary, small binary")
-    return cut(asked.groupBy("bucket").applyInArrow(count, "key long, size long"))
-
-
-def _shared_entries(index: DataFrame, shared: DataFrame) -> DataFrame:
-    """The index's entries under shared keys: (key, id, n, index, open). A bit table of fixed size sorts out nearly all
-    others before any row is made of them; the join with the keys decides."""
-    table = np.zeros(1 << (SHARED_BITS - 3), dtype=np.uint8)
-    for page, bits in bitmap(shared, "key", SHARED_BITS).collect():
-        table[page * 4096 : (page + 1) * 4096] = np.frombuffer(bits, dtype=np.uint8)
+        each = [unpack(b.as_py()) for b in rows["marks"]]
+        marks, place = np.unique(np.concatenate(each), return_inverse=True)
+        often = np.bincount(place, np.concatenate([np.frombuffer(b.as_py(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for b in rows["n"]]))
+        small = np.bincount(place, np.concatenate([np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=len(e)) for b, e in zip(rows["small"], each)]))
+        use = (often > 1) & (small > 0)
+        start = np.uint64(rows["bucket"][0].as_py() * width)
+        return pa.table({"mark": (marks[use] + start).view(np.int64), "size": often[use].astype(np.int64)})
+
+    asked = in_arrow(docs.select("id", "text"), ask, "bucket long, marks binary, n binary, small binary")
+    return cut(asked.groupBy("bucket").applyInArrow(count, "mark long, size long")), bits
+
+
+def _shared_entries(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, int]], shared: DataFrame, bits: int) -> DataFrame:
+    """The index's entries whose marks are shared: (mark, key, id, n, index, open). A bit table, sized from the number of
+    shared marks up to 16 MB, sorts out nearly all others before any row is made of them; the join with the marks decides."""
+    size = table_bits(shared.count())
+    table = np.zeros(1 << (size - 3), dtype=np.uint8)
+    for page, found in bitmap(shared, "mark", size).collect():
+        table[page * 4096 : (page + 1) * 4096] = np.frombuffer(found, dtype=np.uint8)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for i, small in ((2, True), (3, False)):
-                lists = batch.column(i)
-                row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-                keys = lists.flatten().to_numpy(zero_copy_only=False)
-                at = keys & ((1 << SHARED_BITS) - 1)
+        for ids, sizes, low, high in _entries(batches, n, percent, plan):
+            for lists, small in ((low, True), (high, False)):
+                keys = np.concatenate(lists)
+                marks = _marks(keys, bits).view(np.int64)
+                at = marks & ((1 << size) - 1)
                 use = table[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
-                k = int(use.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array(ids[row[use]]), pa.array(sizes[row[use]]), pa.array([small] * k, pa.bool_()), pa.array([True] * k, pa.bool_())], names=["key", "id", "n", "index", "open"])
+                row = np.repeat(np.arange(len(ids)), list(map(len, lists)))[use]
+                flag = lambda v: pa.array(np.full(len(row), v))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(marks[use]), pa.array(keys[use]), pa.array(ids[row]), pa.array(np.array(sizes, dtype=np.int64)[row]), flag(small), flag(True)], names=["mark", "key", "id", "n", "index", "open"])
 
-    return in_arrow(index.select("id", "n", "low", "high"), pick, "key long, id long, n long, index boolean, open boolean")
+    return in_arrow(docs.select("id", "text"), pick, "mark long, key long, id long, n long, index boolean, open boolean")
 
 
-def _live(buckets: DataFrame) -> DataFrame:
+def _live(buckets: DataFrame, scratch: Scratch) -> DataFrame:
     """buckets (key, id, n, index, open) with their size, less those that hold no pair to look at."""
     counts = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if("index").alias("_i"), F.count_if("open").alias("_o")).filter("size > 1 AND _i > 0 AND _o > 0").select("key", "size"))
-    return written(_fewer(join_groups(buckets, counts, ["key"], "size", max(1, counts.count())).filter("size IS NOT NULL")), "buckets")
+    return scratch.written(_fewer(join_groups(buckets, counts, ["key"], "size", max(1, counts.count())).filter("size IS NOT NULL")), "buckets")
 
 
 def _fewer(buckets: DataFrame) -> DataFrame:
@@ -310,8 +319,9 @@ def _token_counts(compared: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarra
             heads, linked, diff = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
             sizes = pc.list_value_length(diff).to_numpy()
             slots = _slots(np.repeat(heads, sizes), diff.flatten().to_numpy().view(np.uint64), bits)
-            table[0] += np.bincount(slots, minlength=1 << bits).astype(np.uint32)
-            table[1] += np.bincount(slots[np.repeat(~linked, sizes)], minlength=1 << bits).astype(np.uint32)
+            for counts, some in zip(table, (slots, slots[np.repeat(~linked, sizes)])):
+                at, n = np.unique(some, return_counts=True)
+                counts[at] += n.astype(np.uint32)
         pages = table.reshape(2, -1, _PAGE)
         for p in np.nonzero(pages[0].any(axis=1))[0]:
             yield pa.RecordBatch.from_arrays([pa.array([int(p)]), pa.array([pages[0, p].tobytes()]), pa.array([pages[1, p].tobytes()])], names=["page", "every", "open"])
@@ -382,7 +392,12 @@ def _next_buckets(compared: DataFrame, percent: int) -> DataFrame | None:
 
 def near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) that connect all linked ids among the representatives of different sets in `sets`: every linked pair is
-    listed or joined by a path of listed ones."""
+    listed or joined by a path of listed ones. What is written on the way is deleted."""
+    with Scratch(texts.sparkSession) as scratch:
+        return _near_links(texts, sets, n, percent, scratch)
+
+
+def _near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     classes = cut(sets.filter("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")))
     per_size = classes.groupBy("n").agg(F.count(F.lit(1)).alias("sets"))
     by_band = {}
@@ -404,17 +419,17 @@ def near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     known = join_groups(sets, classes, ["n", "h1", "h2"], "size", max(1, sets.count())).filter("rep IS NOT NULL")
     twins = known.groupBy("id").agg(F.bool_and(F.col("id") != F.col("rep")).alias("twin")).filter("twin").select("id")  # their representatives stand for them
     texts = texts.filter("id IS NOT NULL")
-    indexed = texts.join(small_or_not(cut(twins)), "id", "left_anti").select("id", "text")
-    index = _entries(indexed, n, percent, plan)
-    shared = _shared_keys(index, total)
-    entries = _shared_entries(index, shared)
-    buckets = written(_fewer(written(join_groups(entries, shared, ["key"], "size", max(1, shared.count())).filter("size IS NOT NULL"), "entries")), "buckets")
+    indexed = without(texts.select("id", "text"), cut(twins))
+    shared, bits = _shared_keys(indexed, n, percent, plan, total)
+    entries = _shared_entries(indexed, n, percent, plan, shared, bits)
+    entries = join_groups(entries, shared, ["mark"], "size", max(1, shared.count())).filter("size IS NOT NULL").drop("mark")
+    buckets = scratch.written(_fewer(scratch.written(entries, "entries")), "buckets")
     involved = cut(buckets.select("id").distinct())
-    sketches = written(_sketches(indexed.join(small_or_not(involved), "id", "left_semi"), n, percent, plan), "sketches")
+    sketches = scratch.written(_sketches(likely_among(indexed, involved), n, percent, plan), "sketches")
     repeated = sketches.groupBy("id").count().filter("count > 1").select("id")
     sketches = sketches.join(small_or_not(repeated), "id", "left_anti")  # an id with several sets has no one sketch
     buckets = buckets.join(sketches, "id", "left").withColumn("sketch", F.when(F.col("index"), F.col("low_sketch")).otherwise(F.col("high_sketch"))).drop("low_sketch", "high_sketch")
-    buckets = written(buckets, "buckets")
+    buckets = scratch.written(buckets, "buckets")
     links, candidates = None, None
     for level in range(LEVELS + 1):
         refined = F.col("size") > (LISTED if level < LEVELS else 1 << 62)
@@ -432,16 +447,16 @@ def near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
         heads = cut(scored.groupBy("key").agg(best.alias("h"), F.max("size").alias("rows")).select("key", "rows", (-F.col("h.minus")).alias("a"), "h.head_n", "h.head_sketch"))
         headed = join_groups(large, heads, ["key"], "rows", max(1, heads.count()))
         near = F.coalesce(_apart("sketch", "head_sketch") * (100 + percent) <= (F.col("n") + F.col("head_n")) * (100 - percent), F.lit(True))
-        headed = written(headed.withColumn("near", near).drop("head_sketch", "rows"), "headed")
+        headed = scratch.written(headed.withColumn("near", near).drop("head_sketch", "rows"), "headed")
         candidates = candidates.unionByName(_listed(headed.filter("NOT near"), headed, percent))
         grouped = headed.filter("near AND a <> id").select("a", F.col("id").alias("b"))
-        compared = written(compare(texts, grouped, n, percent, differences=True), "compared")
+        compared = scratch.written(compare(texts, grouped, n, percent, differences=True), "compared")
         found = compared.filter("linked").select("a", "b").distinct()
         links = found if links is None else links.unionByName(found)
         buckets = _next_buckets(compared, percent)
         if buckets is None:
             break
-        buckets = _live(buckets)
+        buckets = _live(buckets, scratch)
     found = compare(texts, candidates, n, percent).filter("linked").select("a", "b").distinct()
     return cut(found if links is None else links.unionByName(found).distinct())
 
@@ -476,10 +491,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with one document of each component, the one of smallest id; all columns stay, and so do rows with a null id."""
     found = jaccard_components(docs, id_col, text_col, n, percent)
     gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(small_or_not(gone), id_col, "left_anti")
+    return without(docs, cut(gone), id_col)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of three-word shingles and the least id that links of 0.9 reach from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_components(docs)
 
