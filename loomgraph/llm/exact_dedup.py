@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bitmap, cut, in_bitmap, join_groups
+from loomgraph.llm.common import bitmap, cut, in_bitmap, join_groups, table_bits
 
 #: Characters of the prefix that the second step hashes.
 PREFIX_CHARS = 64
-#: Bits of the tables that carry the surviving lengths and (length, prefix) keys to the next scan: 2 MB each at most.
-SURVIVOR_BITS = 24
 
 
 def _narrowed(docs: DataFrame, id_col: str, text_col: str, carry: dict[str, Column]) -> DataFrame:
@@ -20,22 +18,29 @@ def _narrowed(docs: DataFrame, id_col: str, text_col: str, carry: dict[str, Colu
     return docs.select(F.col(id_col).alias("_id"), text.alias("_text"), length.alias("_len"), prefix.alias("_prefix"), *(c.alias(k) for k, c in carry.items()))
 
 
+def _with_survivors(rows: DataFrame) -> DataFrame:
+    """rows with _same_len and _same_prefix: whether another row may have the same length, and the same prefix too. What
+    recurs goes to the next scan as a table of bits, sized from the number of keys up to 16 MB."""
+    lengths = cut(rows.groupBy("_len").count().filter("count > 1").select("_len"))
+    bits = table_bits(lengths.count())
+    rows = in_bitmap(rows, "_len", cut(bitmap(lengths, "_len", bits)), bits, "_same_len")
+    prefixes = cut(rows.filter("_same_len").groupBy("_len", "_prefix").count().filter("count > 1").select("_prefix"))
+    bits = table_bits(prefixes.count())
+    return in_bitmap(rows, "_prefix", cut(bitmap(prefixes, "_prefix", bits)), bits, "_same_prefix")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size (rows with that text), kept, and the carried columns.
 
     Step 1 counts lengths; step 2 counts (length, hash of the first PREFIX_CHARS characters) for rows whose length recurs;
     step 3 computes SHA-256 of the whole text only for rows whose (length, prefix hash) recurs. What survives a step goes to
-    the next scan as a bit table of fixed size, so no step shuffles texts; a false bit only lets a row into a later step.
+    the next scan as a table of bits, so no step shuffles texts; a false bit only lets a row into a later step.
 
     Null text counts as empty. Of equal texts the row with the largest id stays, null ids last; of rows that repeat both id
     and text exactly one is kept. An empty table gives no rows. Columns of docs other than id, text and carry are ignored.
     """
-    rows = _narrowed(docs, id_col, text_col, carry or {})
+    rows = _with_survivors(_narrowed(docs, id_col, text_col, carry or {}))
     extra = list(carry or {})
-    lengths = rows.groupBy("_len").count().filter("count > 1").select("_len")
-    rows = in_bitmap(rows, "_len", bitmap(lengths, "_len", SURVIVOR_BITS), SURVIVOR_BITS, "_same_len")
-    prefixes = rows.filter("_same_len").groupBy("_len", "_prefix").count().filter("count > 1").select("_prefix")
-    rows = in_bitmap(rows, "_prefix", cut(bitmap(prefixes, "_prefix", SURVIVOR_BITS)), SURVIVOR_BITS, "_same_prefix")
     survives = F.col("_same_len") & F.col("_same_prefix")
 
     full = cut(rows.filter(survives).select("_id", "_len", F.sha2("_text", 256).alias("_full"), F.monotonically_increasing_id().alias("_row"), *extra))
@@ -56,10 +61,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = docs.columns
     packed = docs.select(F.struct(*names).alias("_all"))
     rows = _narrowed(packed.select("_all", F.col(f"_all.{id_col}").alias("_i"), F.col(f"_all.{text_col}").alias("_t")), "_i", "_t", {"_all": F.col("_all")})
-    lengths = rows.groupBy("_len").count().filter("count > 1").select("_len")
-    rows = in_bitmap(rows, "_len", bitmap(lengths, "_len", SURVIVOR_BITS), SURVIVOR_BITS, "_same_len")
-    prefixes = rows.filter("_same_len").groupBy("_len", "_prefix").count().filter("count > 1").select("_prefix")
-    rows = in_bitmap(rows, "_prefix", cut(bitmap(prefixes, "_prefix", SURVIVOR_BITS)), SURVIVOR_BITS, "_same_prefix")
+    rows = _with_survivors(rows)
     survives = F.col("_same_len") & F.col("_same_prefix")
     # max_by keeps one row for each text: copies collapse in the tasks that read them, so a hot text moves once for each task.
     best = rows.filter(survives).groupBy("_len", F.sha2("_text", 256).alias("_full")).agg(F.max_by("_all", F.struct("_id", F.xxhash64(F.to_json("_all")))).alias("_all"))
@@ -67,6 +69,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts, with the digest of its text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     return exact_groups(docs, carry={"text_sha256": digest})
