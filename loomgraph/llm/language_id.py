@@ -167,11 +167,14 @@ def identify(
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """identify() for the columns of documents: lang is declared, source stands for the host."""
-    return identify(docs, "text", declared=F.col("lang"), host=F.col("source"))
+    """identify() for the columns of documents: lang is declared, source stands for the host. Where a source is an address, its
+    parent and its suffix are evidence too."""
+    part = lambda pattern: F.nullif(F.lower(F.regexp_extract(F.col("source"), pattern, 1)), F.lit(""))
+    return identify(docs, "text", F.col("lang"), F.col("source"), part(r"([^./\s]+\.[^./\s]+)$"), part(r"\.([^./\s]+)$"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, how sure it is, its letters, and whether it is kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     return identify_documents(docs).select("doc_id", "lang_id", "lang_confidence", "lang_letters", "lang_kept")
 

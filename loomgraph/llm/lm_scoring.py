@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import BROADCAST_ROWS, fold, in_arrow, mixed, plain_words, word_hashes, written
+from loomgraph.llm.common import BROADCAST_ROWS, fold, hashed_words, in_arrow, mixed, written
 
 #: Tokens of a block of documents (a longer document is a block of its own), and bytes of text that one count bucket stands for.
 BLOCK_TOKENS, BUCKET_BYTES = 1_500_000, 6_000_000
@@ -84,9 +84,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for i, part, text in zip(batch.column(0), batch.column(1), batch.column(2)):
-                words = plain_words(text.as_py())
+                words = hashed_words(text.as_py())
                 h = np.empty(len(words) + 1, dtype=np.uint64)
-                h[:-1] = word_hashes(words) & ~np.uint64(1)
+                h[:-1] = words & ~np.uint64(1)
                 h[-1] = _END & ~np.uint64(1)
                 deleted = part.as_py() == DELETED
                 for x, v in zip(held[deleted], (i.as_py(), part.as_py(), len(h), h)):
@@ -263,6 +263,7 @@ _NO_ID = -(1 << 63)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, base score and log10 probability by the model of all training documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored = score_texts(docs, fold(F.col("doc_id"), FOLDS))
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -187,6 +187,7 @@ def with_quality(docs: DataFrame, model: Gam, text_col: str = "text", out_col: s
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learnt from labelled rows that aren't held out, and its prediction."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = fold(F.col("doc_id"), 5) == 0
