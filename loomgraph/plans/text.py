@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.expressions import date_text
 
+# The words of the lines below, "Profile of", "RANKED RESULT --", "Supporting fact:", "Segment average" and their like,
+# are what readers of these lines look for. Columns that are no part of a line of columns:
 _SKIPPED = ("facts", "facts_a", "facts_b", "valid_ats", "pairs", "position")
 
 
