@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, bitmap, components, cut, hashed_words, in_arrow, join_groups, likely_among, mixed, pack, small_or_not, table_bits, text_slices, unpack, without, written
+from loomgraph.llm.common import Scratch, bitmap, components, cut, hashed_words, in_arrow, is_small, join_groups, likely_among, mixed, pack, small_or_not, table_bits, text_slices, unpack, without, written
 
 #: Partners of one document that one task verifies.
 PARTNERS_A_TASK = 256
@@ -25,8 +25,8 @@ PARTNERS_A_TASK = 256
 LISTED, LEVELS = 32, 4
 #: Entries that one task counts.
 BUCKET_ENTRIES = 500_000
-#: What looking at a pair costs, in index entries.
-PAIR_COST = 2
+#: What looking at a pair costs, in index entries: a pair is a row of a join and two sketches, an entry some three bytes.
+PAIR_COST = 20
 
 _FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 
@@ -293,13 +293,45 @@ def _apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
 
 
+def _apart_still(buckets: DataFrame) -> DataFrame:
+    """Of buckets (key, id, comp, ...) those whose members are of several components."""
+    kinds = buckets.groupBy("key").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most"), F.count(F.lit(1)).alias("_rows"))
+    several = cut(kinds.filter("_least <> _most").select("key", "_rows"))
+    return join_groups(buckets, several, ["key"], "_rows", max(1, several.count())).filter("_rows IS NOT NULL").drop("_rows")
+
+
+def _with_components(rows: DataFrame, labels: DataFrame | None, key: str = "id", out: str = "comp") -> DataFrame:
+    """rows with the component of each id, the id itself where it is linked with none."""
+    if labels is None:
+        return rows.withColumn(out, F.col(key))
+    named = labels.select(F.col("node").alias(key), F.col("label").alias("_label"))
+    joined = rows.join(F.broadcast(named) if is_small(named) else named, key, "left")
+    return joined.withColumn(out, F.coalesce("_label", key)).drop("_label")
+
+
+def _first_links(texts: DataFrame, buckets: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """Links of the members of large buckets with one head each: of the most connected members of their buckets the one that is
+    most connected, the original where its copies are there. Most of a group is one component after it."""
+    large = buckets.filter(F.col("size") > LISTED)
+    if not large.limit(1).count():
+        return None
+    score = cut(large.groupBy("id").agg(F.sum("size").alias("score")))
+    best = F.max(F.struct("score", (-F.col("id")).alias("minus"), F.col("n").alias("head_n"), F.col("index").alias("head_index"), F.col("sketch").alias("head_sketch")))
+    heads = cut(large.join(score, "id").groupBy("key").agg(best.alias("h"), F.max("size").alias("rows")))
+    headed = join_groups(large, heads, ["key"], "rows", max(1, heads.count()))
+    near = F.coalesce(_apart("sketch", "h.head_sketch") * (100 + percent) <= (F.col("n") + F.col("h.head_n")) * (100 - percent), F.lit(True))
+    own = headed.filter(near & (-F.col("h.minus") != F.col("id"))).groupBy("id").agg(F.max(F.struct("h.score", "h.minus")).alias("h"))
+    pairs = own.select((-F.col("h.minus")).alias("a"), F.col("id").alias("b"))
+    return cut(compare(texts, pairs, n, percent).filter("linked").select("a", "b").distinct())
+
+
 def _listed(some: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a member of `some` and one of `others` in one bucket, one an index entry, one open, whose sizes and
-    sketches allow a link."""
+    """The pairs of a member of `some` and one of `others` in one bucket, one an index entry, one open, of two components, whose
+    sizes and sketches allow a link."""
     x, y = some.alias("x"), others.alias("y")
     fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     most = F.floor((F.col("x.n") + F.col("y.n")) * (100 - percent) / (100 + percent))
-    fits = fits & F.coalesce(_apart("x.sketch", "y.sketch") <= most, F.lit(True))
+    fits = fits & F.coalesce(_apart("x.sketch", "y.sketch") <= most, F.lit(True)) & (F.col("x.comp") != F.col("y.comp"))
     wanted = (F.col("x.index") | F.col("y.index")) & (F.col("x.open") | F.col("y.open")) & (F.col("x.id") < F.col("y.id") if some is others else F.col("x.id") != F.col("y.id")) & fits
     return x.join(y, (F.col("x.key") == F.col("y.key")) & wanted).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
@@ -345,8 +377,8 @@ _PAGE, TABLE_BITS = 1 << 13, (14, 22)
 def _next_buckets(compared: DataFrame, percent: int) -> DataFrame | None:
     """Buckets that cover the pairs of members of one head that aren't yet decided; None if all are.
 
-    D(x) is what x's set and the head's differ in; x and y differ in D(x) xor D(y). Members linked to the head are in one
-    component, so one of a pair must be open (not linked to it); heads without open members are done. U is what two linked
+    D(x) is what x's set and the head's differ in; x and y differ in D(x) xor D(y). Of a pair one must be open, that is not
+    linked to the head, nor by others (`linked` says so); heads without open members are done. U is what two linked
     sets can differ in, so x's link with any y takes |D(x)| - U common tokens, and |D(x)| - U / 2 if D(x) is the smaller; as
     an open y has |D(y)| > U(y, head), one of a linked x with it takes (|D(x)| + 1) / 2 (less where x is larger than the
     head). With o the number that it takes, and one order of the tokens, rare ones first, the first |D(x)| - o + 1 of both
@@ -430,7 +462,10 @@ def _near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int, scratch
     sketches = sketches.join(small_or_not(repeated), "id", "left_anti")  # an id with several sets has no one sketch
     buckets = buckets.join(sketches, "id", "left").withColumn("sketch", F.when(F.col("index"), F.col("low_sketch")).otherwise(F.col("high_sketch"))).drop("low_sketch", "high_sketch")
     buckets = scratch.written(buckets, "buckets")
-    links, candidates = None, None
+    links, candidates = _first_links(texts, buckets, n, percent), None
+    labels = None if links is None else components(links)
+    buckets = _with_components(buckets, labels)
+    buckets = scratch.written(buckets if links is None else _apart_still(buckets), "buckets")
     for level in range(LEVELS + 1):
         refined = F.col("size") > (LISTED if level < LEVELS else 1 << 62)
         small = buckets.filter(~refined)
@@ -439,8 +474,8 @@ def _near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int, scratch
         large = buckets.filter(refined)
         if not large.limit(1).count():
             break
-        # In a large bucket, everyone near the most connected member is compared with it: the original, where its copies are
-        # there. Those that its sketch tells apart have few partners; these are listed by their sketches.
+        # In a large bucket, everyone near the most connected member is compared with it. Those that its sketch tells apart
+        # have few partners; these are listed by their sketches.
         score = cut(large.drop("sketch").groupBy("id").agg(F.sum("size").alias("score")))
         scored = large.join(score, "id")
         best = F.max(F.struct("index", "score", (-F.col("id")).alias("minus"), F.col("n").alias("head_n"), F.col("sketch").alias("head_sketch")))
@@ -453,10 +488,12 @@ def _near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int, scratch
         compared = scratch.written(compare(texts, grouped, n, percent, differences=True), "compared")
         found = compared.filter("linked").select("a", "b").distinct()
         links = found if links is None else links.unionByName(found)
-        buckets = _next_buckets(compared, percent)
+        of_both = _with_components(_with_components(compared, labels, "b", "_b"), labels, "a", "_a")
+        buckets = _next_buckets(of_both.withColumn("linked", F.col("linked") | (F.col("_a") == F.col("_b"))).select(*compared.columns), percent)
         if buckets is None:
             break
-        buckets = _live(buckets, scratch)
+        buckets = _apart_still(_with_components(scratch.written(buckets, "picked"), labels))
+        buckets = scratch.written(_with_components(_live(buckets.drop("comp"), scratch), labels), "buckets")
     found = compare(texts, candidates, n, percent).filter("linked").select("a", "b").distinct()
     return cut(found if links is None else links.unionByName(found).distinct())
 
