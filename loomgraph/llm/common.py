@@ -327,6 +327,7 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only(keep)
+        pa.set_memory_pool(pa.system_memory_pool())  # whose memory release() can give back
         try:
             yield from run(batches)
         finally:
