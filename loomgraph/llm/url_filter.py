@@ -15,7 +15,7 @@ DEPTH = 4
 LITERAL_ROWS, LITERAL_SHARE = 8, 0.02
 #: Sibling branches merge if their labelled block rates differ by less than this many standard errors.
 SIMILAR_Z = 1.96
-#: Rows of the parent's purity that are added to a node's own labels, and the purity from which a template is rejected.
+#: Rows of the parent's expectation that are added to a node's own labels, and the purity from which a template is rejected.
 PRIOR_ROWS, REJECT = 2.0, 0.8
 #: A row without a label counts as so much of an allowed one: where rules block a part of a host, the rest isn't guilty by it.
 UNLABELLED = 0.25
@@ -56,28 +56,33 @@ def _branches(rows: DataFrame) -> DataFrame:
 def _purities(rows: DataFrame) -> DataFrame:
     """(host, template) -> size, labelled and purity, from the whole table down to the templates."""
     levels = [f"_branch{k}" for k in range(DEPTH)]
-    leaves = rows.groupBy("host", *levels, "template").agg(F.count(F.lit(1)).alias("size"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("_blocked"))
+    blocked = F.coalesce(F.sum("blocked"), F.lit(0))
+    leaves = rows.groupBy("host", *levels, "template").agg(F.count(F.lit(1)).alias("size"), F.count("blocked").alias("labelled"), blocked.alias("_blocked"))
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     leaves = cut(leaves.withColumn("_domain", F.when(domain != "", domain).otherwise(F.col("host"))))
     counts = [F.sum("_blocked").alias("_b"), (F.sum("labelled") + UNLABELLED * (F.sum("size") - F.sum("labelled"))).alias("_n")]
-    smoothed = lambda parent: (F.col("_b") + PRIOR_ROWS * parent) / (F.col("_n") + PRIOR_ROWS)
-    above = leaves.agg(*counts).select(smoothed(F.lit(0.5))).first()[0]  # null for an empty table
-    out = leaves.withColumn("purity", F.lit(above))
+    whole = leaves.agg(*counts).first()  # nulls for an empty table
+    out = leaves.select("*", F.lit(0.5).alias("_prior"), F.lit(whole["_b"]).alias("_above_b"), F.lit(whole["_n"]).alias("_above_n"))
     for key in (["_domain"], ["host"], *(["host", *levels[: k + 1]] for k in range(DEPTH)), ["host", *levels, "template"]):
-        # A node has one parent, so its rows carry one purity.
-        nodes = out.groupBy(*key).agg(*counts, F.max("purity").alias("_above")).select(*key, smoothed(F.col("_above")).alias("purity"))
-        out = out.drop("purity").join(nodes, key)
-    return out.select("host", "template", "size", "labelled", "purity")
+        # A node has one parent, so its rows carry one prior. What a node expects is learnt from the parent's other rows; a
+        # parent without other rows is the same node and only hands its own prior down.
+        nodes = out.groupBy(*key).agg(*counts, F.max("_prior").alias("_prior"), F.max("_above_b").alias("_ab"), F.max("_above_n").alias("_an"))
+        prior = (F.col("_ab") - F.col("_b") + PRIOR_ROWS * F.col("_prior")) / (F.col("_an") - F.col("_n") + PRIOR_ROWS)
+        nodes = nodes.select(*key, prior.alias("_prior"), F.col("_b").alias("_above_b"), F.col("_n").alias("_above_n"))
+        out = out.drop("_prior", "_above_b", "_above_n").join(nodes, key)
+    purity = (F.col("_above_b") + PRIOR_ROWS * F.col("_prior")) / (F.col("_above_n") + PRIOR_ROWS)
+    return out.select("host", "template", "size", "labelled", purity.alias("purity"))
 
 
 def judge_urls(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """df with host, path, rule, template, labelled, purity and verdict.
 
     The rules' verdicts are the labels. Level by level, each host's tree keeps frequent segments, generalises all others to
-    '*' and merges branches whose label rates don't differ. A node's purity is its blocked share, rows without a label
-    counting UNLABELLED as allowed, smoothed by PRIOR_ROWS of its parent's: template, the branches above it, host, domain,
-    the whole table, one half. A row gets its rule's verdict, else block if its template's purity is REJECT or more, else
-    allow. Null, empty and malformed urls have an empty host and path and are judged alike; every row stays, repeated ones
+    '*' and merges branches whose label rates don't differ. A template's purity is its blocked share, rows without a label
+    counting UNLABELLED as allowed, smoothed by PRIOR_ROWS rows of what its parent expects. A node expects the blocked share of
+    its rows outside the child, smoothed in the same way by what the node above expects: template, the branches above it, host,
+    domain, the whole table, one half. So no row counts twice, and nodes with the same rows are one. A row gets its rule's
+    verdict, else block if its template's purity is REJECT or more, else allow. Null, empty and malformed urls have an empty host and path and are judged alike; every row stays, repeated ones
     too. Columns of df named like those that are added are replaced.
     """
     new = ["host", "path", "rule", "verdict", "template", "labelled", "purity"]

@@ -211,19 +211,33 @@ def plain_tree(rows):
         node += [("branch", host, *(("/" + s) for s in segs[: level + 1]), min(level + 1, len(segs))) for level in range(u.DEPTH)]
         node.append(("leaf", host, "".join("/" + s for s in segs) + ("/**" if deeper[k] else "")))
         keys.append(node)
-    blocked, rest, labelled = collections.Counter(), collections.Counter(), collections.Counter()
-    for node, (_, _, b) in zip(keys, rows):
+    members = collections.defaultdict(set)
+    for k, node in enumerate(keys):
         for key in node:
-            blocked[key] += b or 0
-            rest[key] += u.UNLABELLED if b is None else 1
-            labelled[key] += b is not None
-    out = []
-    for node in keys:
-        rate = 0.5
-        for key in node:
-            rate = (blocked[key] + u.PRIOR_ROWS * rate) / (rest[key] + u.PRIOR_ROWS)
-        out.append((node[-1][2], labelled[node[-1]], round(rate, 9)))
-    return out
+            members[key].add(k)
+
+    def share(some, prior):
+        blocked = sum(rows[k][2] or 0 for k in some)
+        return (blocked + u.PRIOR_ROWS * prior) / (sum(u.UNLABELLED if rows[k][2] is None else 1 for k in some) + u.PRIOR_ROWS)
+
+    purity = {}
+    for node in set(map(tuple, keys)):
+        expected = 0.5
+        for outer, inner in itertools.pairwise(members[key] for key in node):
+            expected = share(outer - inner, expected) if outer != inner else expected
+        purity[node[-1]] = share(members[node[-1]], expected)
+    return [(node[-1][2], sum(rows[k][2] is not None for k in members[node[-1]]), round(purity[node[-1]], 9)) for node in keys]
+
+
+def test_one_blocked_row_is_no_evidence_but_ten_are(spark):
+    rules = [("block", "bad.org", "/x")]
+    judge = lambda urls: url_filter.judge_urls(spark.createDataFrame(enumerate(urls), "page_id int, url string"), rules=rules)
+    assert [r.purity for r in judge(["http://bad.org/x"]).collect()] == [pytest.approx(2 / 3)]
+    for others in range(3):
+        got = judge(["http://bad.org/x", *(f"http://bad.org/{'yz'[k]}" for k in range(others))]).collect()
+        assert max(r.purity for r in got) < url_filter.REJECT
+    got = judge([f"http://bad.org/x{k}" for k in range(10)]).collect()
+    assert all(r.purity == pytest.approx(11 / 12) for r in got)
 
 
 def test_templates_and_purity_against_a_plain_tree(spark):
