@@ -198,3 +198,36 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_prefix_trie": op13_prefix_trie}
+
+#: CRC-32 of the decimal ids by its table of 256 entries, whole paths as node keys, and every node's ancestors as its prefixes.
+SQL = {
+    "op13_prefix_trie": """
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+), crc(c, k, v) AS (
+  SELECT DISTINCT conv_id, 0, CAST(4294967295 AS BIGINT) FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL
+  SELECT c, crc.k + 1, xor(bits.v, crc.v >> 8) FROM crc JOIN bits ON bits.k = 8 AND bits.i = (xor(crc.v, ascii(substr(CAST(c AS VARCHAR), crc.k + 1, 1))) & 255)
+  WHERE crc.k < length(CAST(c AS VARCHAR))
+), heads AS (SELECT c, xor(v, 4294967295) % 9 AS h FROM crc WHERE k = length(CAST(c AS VARCHAR))),
+said AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), whole AS (
+  SELECT said.c, coalesce(s.turns[1:h], []) || coalesce(said.turns[h + 1:], []) AS turns
+  FROM said JOIN heads ON heads.c = said.c LEFT JOIN said s ON s.c = said.c - said.c % 5
+), member AS (SELECT c, d, turns[1:d] AS node, len(turns) = d AS last FROM whole, LATERAL (SELECT unnest(range(len(turns) + 1)) AS d)),
+nodes AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(node[d].t) END AS saved,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS ends
+  FROM member GROUP BY node, d
+), family AS (SELECT a.node, count(b.node) AS children FROM nodes a LEFT JOIN nodes b ON b.d = a.d + 1 AND b.node[1:a.d] = a.node GROUP BY a.node),
+below AS (
+  SELECT node[1:k] AS node, CAST(sum(saved) AS BIGINT) AS saved, count(*) FILTER (WHERE children = 0) AS leaves
+  FROM (SELECT nodes.node, saved, children, unnest(range(d + 1)) AS k FROM nodes JOIN family ON family.node = nodes.node) GROUP BY 1
+)
+SELECT a.conv_id, a.d AS depth, p.conv_id AS parent_conv_id, a.n AS n_convs, family.children AS n_children, below.leaves AS n_leaves, below.saved AS saved_tokens, a.ends AS ends_sha256
+FROM nodes a JOIN family ON family.node = a.node JOIN below ON below.node = a.node LEFT JOIN nodes p ON p.d = a.d - 1 AND p.node = a.node[1:a.d - 1]
+"""
+}
