@@ -79,7 +79,11 @@ def trails(g: PropertyGraph, source: str, target: str | None, rels: list[str] |
     for level in range(1, most + 1):
         steps = frontier.join(edges, frontier["at"] == edges["src"]).filter(~F.array_contains("path_edges", F.col("edge_id")))
         steps = steps if left is None else steps.join(left, "dst").filter(F.col("_left") + level <= most)
-        frontier = cut(steps.select(F.col("dst").alias("at"), F.concat("path_nodes", F.array("dst")).alias("path_nodes"), F.concat("path_edges", F.array("edge_id")).alias("path_edges"), F.concat("path_rels", F.array("rel")).alias("path_rels")))
+        longer = steps.select(
+            F.col("dst").alias("at"), F.concat("path_nodes", F.array("dst")).alias("path_nodes"), F.concat("path_edges", F.array("edge_id")).alias("path_edges"), F.concat("path_rels", F.array("rel")).alias("path_rels")
+        )
+        # Without a target every beginning is itself a trail, so the first ones of a level are all that it can give.
+        frontier = cut(longer if target is not None or limit is None else longer.orderBy("path_edges").limit(limit))
         hits = (frontier if target is None else frontier.filter(F.col("at") == target)).withColumn("hops", F.lit(level))
         out = hits if out is None else out.unionByName(hits)
         if not frontier.limit(1).count() or limit is not None and out.limit(limit).count() >= limit:

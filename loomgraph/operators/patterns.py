@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.graph import PropertyGraph, union_all
-from loomgraph.operators import paths
+from loomgraph.operators import many, paths
 from loomgraph.storage import numbered
 
 
@@ -127,7 +127,9 @@ def macro_transmission(g: PropertyGraph, macro: str, company: str | None = None,
 
 def causal_chain(g: PropertyGraph, source: str, target: str | None, most: int = 10) -> DataFrame:
     """The ten shortest directed chains of cause and effect."""
-    return paths.trails(g, source, target, CAUSAL, most)
+    if target is None:
+        return paths.trails(g, source, None, CAUSAL, most)
+    return many.best_trails(g, source, target, 10, CAUSAL, most)
 
 
 def chain(g: PropertyGraph, rels: list[str], anchor: str | None = None) -> DataFrame:

@@ -30,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a side that may be broadcast after they have been counted; beyond them the join shuffles.
+BROADCAST_ROWS = 100_000
+
+
+def small_or_not(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has been counted to have `most` rows (BROADCAST_ROWS) at most, else df for a shuffled join."""
+    most = BROADCAST_ROWS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _files(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
