@@ -119,18 +119,6 @@ query("SELECT event_type, event_id, CAST(k AS INTEGER) AS k FROM (SELECT *, row_
 )
 
 # -- routing and linking ----------------------------------------------------------------------------------------------
-_QUESTIONS = [
-    "What is the ticker of the bank?", "Which bank lends to steel or cement?", "What does it fund but not own?", "Compare the margins of both banks", "Is it lower versus its peer?", "How many branches are there?",
-    "How much more than 5 is it?", "Across all 39 listed banks, which bank reports the highest margin?", "Which segment has the highest average margin?", "What is the largest exposure?", "What is at most 5%?", "What is roughly 5?",
-]
-_LABELS = ["F_Simple", "F_LogUnion", "F_LogDifference", "F_CompMore", "F_CompLess", "F_QuantCount", "F_CompCountMore", "F_GlobalRank", "F_GroupAggregate", "F_QuantMax", "F_QuantAtmost", "F_QuantApprox"]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("('" + q.replace("'", "''") + f"', '{label}')" for q, label in zip(_QUESTIONS, _LABELS)) + ") AS t(question, label)")
-def route_rules(spark, sf_dir):
-    return spark.createDataFrame([(q,) for q in _QUESTIONS], "question string").select("question", routing.route_column(F.col("question")).alias("label"))
-
-
 @query("SELECT conv_id, turn, len(list_filter(string_split_regex(lower(text), '[^\\pL\\pN_]+'), lambda w: w IN ('the', 'and', 'der', 'que'))) AS n FROM conversations")
 def gazetteer_link(spark, sf_dir):
     """Mentions of listed names in question texts, longest name first, on word boundaries."""
