@@ -153,8 +153,8 @@ class Batch:
             here = given.join(rows.select("plan").distinct(), "plan", "left_semi").select("_q")
             done = cut(here if done is None else done.unionByName(here))
         if not out:
-            empty = ", ".join(["strategy string", "level int", *(f"{c} {t}" for c, t in ANSWER.items())])
-            return q.sparkSession.createDataFrame([], T.StructType([T.StructField(query_id, q.schema["_q"].dataType), *T._parse_datatype_string(empty).fields]))
+            nothing = [F.lit(None).cast(t).alias(c) for c, t in {"strategy": "string", "level": "int", **ANSWER}.items()]
+            return q.select(F.col("_q").alias(query_id), *nothing).limit(0)
         return union_all(out).withColumnRenamed("_q", query_id)
 
     def _rows(self, plans: DataFrame, op: str) -> DataFrame:
