@@ -354,4 +354,4 @@ def question_thresholds(spark, sf_dir):
 
 
 from loomgraph.plans import catalogue_more, catalogue_whole  # noqa: E402, F401  registers the rest
-from loomgraph.plans import catalogue_batch, catalogue_control, catalogue_many, catalogue_text  # noqa: E402, F401  isort: skip
+from loomgraph.plans import catalogue_batch, catalogue_control, catalogue_ingest, catalogue_many, catalogue_text  # noqa: E402, F401  isort: skip
