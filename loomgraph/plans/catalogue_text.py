@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators import embedding, textsearch
 from loomgraph.operators import neighbourhood as N
-from loomgraph.operators import textsearch
 from loomgraph.plans.catalogue import graph_query, query
 from loomgraph.plans.testgraph import table, testgraph
 
@@ -59,3 +59,12 @@ def _facts(g):
     allowed = F.when(F.col("id") < "P5", F.array(F.lit("SUPPLIES"), F.lit("HAS_BRAND"))).otherwise(F.array(F.lit("ORDERED")))
     asked = parts.select(F.col("name").alias("query_id"), F.concat("name", F.lit(" supplies discount")).alias("text"), allowed.alias("allowed"), F.array(F.lit("PART")).alias("kinds"))
     return textsearch.bm25(asked.distinct(), on, 5, only={"rel": "allowed", "kind": "kinds"})
+
+
+@query("SELECT p_partkey AS span_id, p_name AS id FROM part")
+def spans_linked(spark, sf_dir):
+    """What spans that are almost parts' names mean, by text vectors that are trained on the names."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.col("p_name").alias("id"), F.col("p_name").alias("name"), F.lit("PART").alias("type")).union(part.select("p_brand", "p_brand", F.lit("BRAND"))).distinct()
+    spans = part.select(F.col("p_partkey").alias("span_id"), F.concat(F.upper("p_name"), F.lit("s of old")).alias("text"), F.array(F.lit("PART")).alias("kinds"))
+    return embedding.linked_spans(spans, names, embedding.trained(names, "name"), "kinds").select("span_id", "id")

@@ -77,3 +77,13 @@ def merged(rows: list[dict], extra: list[dict], most: int) -> list[dict]:
             seen.add(key)
             out.append(r)
     return out
+
+
+def embedded(model) -> Callable[[list[dict], str], float]:
+    """A scorer for the engine: how near the nearest row is to the question by a model's vectors (operators.embedding)."""
+
+    def score(rows: list[dict], question: str) -> float:
+        v = model.vectors([question, *map(said, rows)])
+        return float((v[1:] @ v[0]).max()) if rows else 0.0
+
+    return score
