@@ -62,15 +62,16 @@ def _purities(rows: DataFrame) -> DataFrame:
     leaves = cut(leaves.withColumn("_domain", F.when(domain != "", domain).otherwise(F.col("host"))))
     counts = [F.sum("_blocked").alias("_b"), (F.sum("labelled") + UNLABELLED * (F.sum("size") - F.sum("labelled"))).alias("_n")]
     whole = leaves.agg(*counts).first()  # nulls for an empty table
-    out = leaves.select("*", F.lit(0.5).alias("_prior"), F.lit(whole["_b"]).alias("_above_b"), F.lit(whole["_n"]).alias("_above_n"))
-    for key in (["_domain"], ["host"], *(["host", *levels[: k + 1]] for k in range(DEPTH)), ["host", *levels, "template"]):
-        # A node has one parent, so its rows carry one prior. What a node expects is learnt from the parent's other rows; a
-        # parent without other rows is the same node and only hands its own prior down.
-        nodes = out.groupBy(*key).agg(*counts, F.max("_prior").alias("_prior"), F.max("_above_b").alias("_ab"), F.max("_above_n").alias("_an"))
-        prior = (F.col("_ab") - F.col("_b") + PRIOR_ROWS * F.col("_prior")) / (F.col("_an") - F.col("_n") + PRIOR_ROWS)
-        nodes = nodes.select(*key, prior.alias("_prior"), F.col("_b").alias("_above_b"), F.col("_n").alias("_above_n"))
-        out = out.drop("_prior", "_above_b", "_above_n").join(nodes, key)
-    purity = (F.col("_above_b") + PRIOR_ROWS * F.col("_prior")) / (F.col("_above_n") + PRIOR_ROWS)
+    # Each level is counted from the leaves, so the plan has one aggregate and one join a level. A node has one parent: what it
+    # expects is learnt from the parent's other rows; a parent without other rows is the same node and only hands its own on.
+    out, prior, above = leaves, F.lit(0.5), (F.lit(whole["_b"]), F.lit(whole["_n"]))
+    for k, key in enumerate((["_domain"], ["host"], *(["host", *levels[: k + 1]] for k in range(DEPTH)), ["host", *levels, "template"])):
+        nodes = leaves.groupBy(*key).agg(*counts)
+        out = out.join(nodes.select(*key, F.col("_b").alias(f"_b{k}"), F.col("_n").alias(f"_n{k}")), key)
+        own = (F.col(f"_b{k}"), F.col(f"_n{k}"))
+        prior = (above[0] - own[0] + PRIOR_ROWS * prior) / (above[1] - own[1] + PRIOR_ROWS)
+        above = own
+    purity = (above[0] + PRIOR_ROWS * prior) / (above[1] + PRIOR_ROWS)
     return out.select("host", "template", "size", "labelled", purity.alias("purity"))
 
 
