@@ -519,7 +519,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if twice.limit(1).count():
         across = rows.join(twice, "id", "left_semi").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
         labels = components(links.unionByName(across).distinct())
-    sizes = cut(labels.withColumnRenamed("node", "rep").withColumn("size2", F.lit(1)))
+    # A representative stands for all rows of its classes: so many meet its label, and are dealt out if they are many.
+    held = equal.groupBy("rep").agg(F.sum("size").alias("size2"))
+    sizes = cut(labels.withColumnRenamed("node", "rep").join(held, "rep"))
     rows = join_groups(rows.drop("size"), sizes, ["rep"], "size2", total).drop("size2")
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "id").alias("component_id"))
 

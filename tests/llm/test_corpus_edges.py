@@ -350,3 +350,26 @@ def test_addresses_are_evidence(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     found = {r.page_id: r.lang_id for r in language_id.language_of_pages(spark, str(tmp_path)).collect()}
     assert found == {**{i: "xx" for i in range(60)}, **{i: "yy" for i in range(60, 120)}, **got, 300: "und", 301: "und"}
+
+
+# -- hot classes ------------------------------------------------------------------------------------------------------
+def test_a_class_of_copies_is_dealt_out_when_it_gets_its_label(spark, monkeypatch):
+    from loomgraph.llm import common, jaccard_join
+
+    rng = random.Random(12)
+    words = lambda k: " ".join(rng.choice("abcdefgh") + rng.choice("ijklmnop") for _ in range(k))
+    hot = words(60)
+    rows = [(k, hot) for k in range(2000)] + [(2000, hot + " x"), (2001, "y " + hot)] + [(3000 + k, words(40)) for k in range(200)]
+    asked = []
+    join_groups = common.join_groups
+
+    def spied(rows, groups, keys, size, total):
+        if keys == ["rep"]:
+            asked.append({r["rep"]: r[size] for r in groups.collect()})
+        return join_groups(rows, groups, keys, size, total)
+
+    monkeypatch.setattr(jaccard_join, "join_groups", spied)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i <= 2001 else i for i, _ in rows}
+    assert asked and asked[0][0] == 2000 and asked[0].keys() >= {0, 2000, 2001}
