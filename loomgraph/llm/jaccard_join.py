@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, bitmap, components, cut, hashed_words, in_arrow, is_small, join_groups, likely_among, mixed, pack, small_or_not, table_bits, text_slices, unpack, without, written
+from loomgraph.llm.common import Scratch, bitmap, components, cut, hashed_words, in_arrow, is_small, join_groups, likely_among, mixed, pack, release, small_or_not, table_bits, text_slices, unpack, without, written
 
 #: Partners of one document that one task verifies.
 PARTNERS_A_TASK = 256
@@ -215,22 +215,25 @@ def _shared_keys(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[in
     bits = min(max(int(total).bit_length() + 12, 32), 56)
     width = -(-(1 << bits) // buckets)
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        held, size = ([], []), 0
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """The marks of some rows, each with a last bit that tells whether its set is the smaller."""
+        held, size = [], 0
         for _, _, *lists in _entries(batches, n, percent, plan):
-            for some, keys in zip(held, lists):
-                some.append(_marks(np.concatenate(keys), bits))
-                size += len(some[-1])
+            for keys, small in zip(lists, (1, 0)):
+                held.append(_marks(np.concatenate(keys), bits) << np.uint64(1) | np.uint64(small))
+                size += len(held[-1])
             if size >= BUCKET_ENTRIES:
-                yield tuple(map(np.concatenate, held))
-                held, size = ([], []), 0
+                both, held, size = np.concatenate(held), [], 0
+                yield both
         if size:
-            yield tuple(map(np.concatenate, held))
+            yield np.concatenate(held)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for low, high in gathered(batches):
-            marks, place = np.unique(np.concatenate([low, high]), return_inverse=True)
-            often, small = np.bincount(place, minlength=len(marks)), np.bincount(place[: len(low)], minlength=len(marks)) > 0
+        for both in gathered(batches):
+            both.sort()  # in place: a mark's last entry has its bit set if any has
+            last = np.flatnonzero(np.append(both[1:] >> np.uint64(1) != both[:-1] >> np.uint64(1), True))
+            often, small = np.diff(last, prepend=-1), both[last] & np.uint64(1) > 0
+            marks = both[last] >> np.uint64(1)
             ends = np.searchsorted(marks, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(width))
             held = np.nonzero(np.diff(ends))[0].tolist()
             parts = [slice(ends[b], ends[b + 1]) for b in held]
@@ -241,12 +244,20 @@ def _shared_keys(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[in
 
     def count(rows: pa.Table) -> pa.Table:
         each = [unpack(b.as_py()) for b in rows["marks"]]
-        marks, place = np.unique(np.concatenate(each), return_inverse=True)
-        often = np.bincount(place, np.concatenate([np.frombuffer(b.as_py(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for b in rows["n"]]))
-        small = np.bincount(place, np.concatenate([np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=len(e)) for b, e in zip(rows["small"], each)]))
+        often = np.concatenate([np.frombuffer(b.as_py(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for b in rows["n"]])
+        small = np.concatenate([np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=len(e)) for b, e in zip(rows["small"], each)])
+        marks = np.concatenate(each)
+        del each
+        order = np.argsort(marks)
+        marks = marks[order]
+        first = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
+        often, small, marks = np.add.reduceat(often[order], first, dtype=np.int64), np.maximum.reduceat(small[order], first), marks[first]
         use = (often > 1) & (small > 0)
         start = np.uint64(rows["bucket"][0].as_py() * width)
-        return pa.table({"mark": (marks[use] + start).view(np.int64), "size": often[use].astype(np.int64)})
+        out = pa.table({"mark": (marks[use] + start).view(np.int64), "size": often[use]})
+        del order, first, marks, often, small
+        release()
+        return out
 
     asked = in_arrow(docs.select("id", "text"), ask, "bucket long, marks binary, n binary, small binary")
     return cut(asked.groupBy("bucket").applyInArrow(count, "mark long, size long")), bits
