@@ -216,7 +216,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), starts
 
 
-def slices(texts: list[str], chars: int = 1_000_000):
+def slices(texts: list[str], chars: int = 250_000):
     """(from, to) of runs of texts of about `chars` characters; a longer text is a run of its own."""
     lo = size = 0
     for hi, text in enumerate(texts):
@@ -317,8 +317,11 @@ KEPT: dict[str, object] = {}
 
 
 def keep_only(kind: str | None) -> None:
-    for other in [k for k in KEPT if k != kind]:
+    others = [k for k in KEPT if k != kind]
+    for other in others:
         del KEPT[other]
+    if others:
+        release()
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep: str | None = None) -> DataFrame:
