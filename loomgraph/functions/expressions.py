@@ -19,7 +19,7 @@ TEXT_NUMBER = r"(?<![A-Za-z\d])(\d[\d,]*(?:\.\d+)?%?)"
 KEYWORD = r"([a-z][a-z\-]{3,})"
 SOURCE_GROWTH = r"(?i)(deposits?|advances|loan book)[^.]{0,80}?up\s+([\d.]+)\s*%|(deposits?|advances)\s+([\d.]+)\s*%"
 DATE_WORD = r"(?i)\b(date|dated|period)\b"
-#: Phrases by which a summary admits that something is missing.
+#: Fixed values, for equal results: phrases by which a summary admits that something is missing.
 GAP_PHRASES = [
     "not cover", "do not contain", "does not contain", "not disclos",
     "not available", "not found", "not provide", "not specified", "not confirmed",
@@ -29,12 +29,13 @@ GAP_PHRASES = [
     "not detail", "no information", "not clear from", "not explicitly", "genuinely unclear",
     "was not found", "were not found", "not verified", "could not be confirmed",
 ]
+#: Fixed values, for equal results: what marks a question as one of judgement, and one about attributes.
 ANALYTICAL = (
     r"(?i)\b(competitive advantage|key strength|main (?:weakness|vulnerability)|primary (?:weakness|strength|advantage)|opportunit(?:y|ies)|"
     r"\bthreats?\b|valuation[- ]relevant|risk driver)\b"
 )
 ATTRIBUTE_STYLE = r"(?i)\bticker\b|\bexchange(?:s)?\b|\blegal name\b|\blisted\b|\bheadquarter|\bincorporated\b|\bfounded\b|\bfounding\b|\bstock symbol\b"
-#: Bookkeeping properties that an attribute lookup leaves out.
+#: Fixed values, for equal results: bookkeeping properties that an attribute lookup leaves out.
 BOOKKEEPING = ["uuid", "name", "name_embedding", "group_id", "created_at", "summary", "labels"]
 #: A percentage can't be larger.
 LARGEST_PERCENTAGE = 100

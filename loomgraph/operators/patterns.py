@@ -41,7 +41,7 @@ PATTERNS = {
     "T_SupplyDisruption": [Pattern(("NEEDS", "SOURCED_FROM", "SUPPLIES_TO"))],
     "T_TransitRisk": [Pattern(("TRANSITS",), "in")],
 }
-#: What they ask where one entity of a type is all that the question names; a first relation leads through a sector's members.
+#: Fixed values, for equal results: what they ask where one entity of a type is all that the question names; a first relation leads through a sector's members.
 SINGLE = {
     "T_Beneficiary": {"SECTOR": Pattern(("BENEFITS_FROM",), via="CONTAINS"), "default": Pattern(("BENEFITS_FROM",), "in", "COMPANY")},
     "T_ConstraintRisk": {"SECTOR": Pattern(("CONSTRAINED_BY", "HURT_BY", "NEEDS"), via="CONTAINS"), "default": Pattern(("CONSTRAINED_BY", "HURT_BY", "NEEDS"))},
