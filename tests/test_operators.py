@@ -30,6 +30,20 @@ def test_numbers(spark, text, want):
     assert one(spark, X.extract_numbers(F.col("s")), s=text) == want
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["a12.55", "a1,200 x", "x12.50.75", "a4.5%.75", "123456.5", "1234565", "12345.65", "99999.95", "0.1234565", "1" + "0" * 120, "9" * 400, "12.345675", "1234565" + "0" * 12, "x9,999.99,88", "", None],
+)
+def test_numbers_equal_their_sql(spark, text):
+    """What is glued to a letter goes as a whole, and halves are rounded as the double is in binary."""
+    import duckdb
+
+    from loomgraph.plans.catalogue import numbers_sql
+
+    want = duckdb.connect().execute(f"SELECT {numbers_sql('CAST(? AS VARCHAR)')}", [text]).fetchone()[0]
+    assert one(spark, F.array_sort(X.extract_numbers(F.col("s").cast("string"))), s=text) == want
+
+
 @pytest.mark.parametrize("fact, want", [("up 1,204.5% now", 1204.5), ("-3.5 % fell", -3.5), ("none", None), ("", None)])
 def test_number_from_fact(spark, fact, want):
     assert one(spark, X.number_from_fact(F.col("s")), s=fact) == want
