@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions import expressions as X
+from loomgraph.storage import cut, small_or_not
 
 #: Sources of a match, best first.
 PRIORITY = ["gazetteer", "alias", "semantic"]
@@ -57,12 +58,14 @@ def candidate_mentions(questions: DataFrame, names: DataFrame, question_id: str
     spelled = names.filter(F.length(name) >= LEAST).select(F.col(node_id).alias("_id"), F.col(name).alias("_name"), F.explode(X.name_variants(F.col(name))).alias("_variant"))
     spelled = spelled.select("_id", "_name", _tokens(F.col("_variant")).alias("_t")).filter(F.size("_t") > 0)
     keys = spelled.groupBy(F.array_join("_t", " ").alias("_key"), F.size("_t").alias("_n")).agg(F.min(F.struct("_id", "_name")).alias("_node"))
+    keys = cut(keys)
     longest = keys.agg(F.max("_n")).first()[0] or 0
     asked = questions.select(F.col(question_id).alias("_q"), _tokens(F.col(text)).alias("_t"))
     at = asked.select("_q", "_t", F.explode(F.sequence(F.lit(1), F.size("_t"))).alias("_s")).filter(F.size("_t") > 0) if longest else asked.withColumn("_s", F.lit(1)).limit(0)
     runs = at.select("_q", "_s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_t") - F.col("_s") + 1))).alias("_n"), "_t")
     runs = runs.select("_q", "_s", "_n", F.array_join(F.slice("_t", F.col("_s"), F.col("_n")), " ").alias("_key"))
-    hits = runs.join(keys, ["_key", "_n"])
+    # Neither side is broadcast by an estimate: a question's runs are many times what its row promises.
+    hits = runs.hint("merge").join(small_or_not(keys), ["_key", "_n"])
     ordered = F.array_sort(F.collect_list(F.struct((-F.length("_key")).alias("rank"), F.col("_s").alias("start"), F.col("_n").alias("length"), F.col("_node").alias("node"))))
     each = hits.groupBy("_q").agg(ordered.alias("_c"))
     apart = lambda a, b: (a["start"] + a["length"] <= b["start"]) | (b["start"] + b["length"] <= a["start"])
