@@ -105,17 +105,38 @@ def company_words(name: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(bare, "[^a-z ]", " "), r"\s+"), lambda w: w != "")
 
 
+def _rarest(sets: DataFrame, others: DataFrame) -> DataFrame:
+    """sets (_ws) with _w, the word of each that the fewest of the others have; less those with a word that none has."""
+    often = others.select(F.explode(F.array_distinct("_ws")).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
+    each = sets.select("_ws", F.explode(F.array_distinct("_ws")).alias("_w")).join(often, "_w")
+    found = each.groupBy("_ws").agg(F.min(F.struct("_df", "_w")).alias("_r"), F.count(F.lit(1)).alias("_known"))
+    return found.filter(F.col("_known") == F.size(F.array_distinct("_ws"))).select("_ws", F.col("_r._w").alias("_w"))
+
+
+def _held_pairs(ms: DataFrame, ns: DataFrame) -> DataFrame:
+    """(_mw, _nw): of two tables of words (_ws) the pairs of which one may hold all words of the other. Who does holds its rarest
+    one, so each side is joined by its rarest words with all words of the other."""
+    all_of = lambda df: df.select(F.col("_ws").alias("_other"), F.explode(F.array_distinct("_ws")).alias("_w"))
+    inside = _rarest(ms, ns).hint("merge").join(all_of(ns), "_w").select(F.col("_ws").alias("_mw"), F.col("_other").alias("_nw"))
+    around = _rarest(ns, ms).hint("merge").join(all_of(ms), "_w").select(F.col("_other").alias("_mw"), F.col("_ws").alias("_nw"))
+    return inside.unionByName(around)
+
+
 def matched_companies(mentions: DataFrame, names: DataFrame, mention: str = "mention", name: str = "name") -> DataFrame:
     """mentions with matched, the name whose words are the same, else the best of those that hold all words of the mention or
     that the mention holds all words of: a word in common counts 1, each word more or less takes 0.5, and it must be worth
-    more than nothing. Of equal ones the first by name. Candidates share a word; no other pair is made."""
-    m = mentions.select(F.col(mention).alias("_m")).distinct().withColumn("_mw", company_words(F.col("_m")))
-    n = names.select(F.col(name).alias("_n")).distinct().withColumn("_nw", company_words(F.col("_n")))
-    near = m.select("_m", "_mw", F.explode(F.array_distinct("_mw")).alias("_w")).join(n.select("_n", "_nw", F.explode(F.array_distinct("_nw")).alias("_w")), "_w")
-    common = near.groupBy("_m", "_n").agg(F.first("_mw").alias("_mw"), F.first("_nw").alias("_nw"), F.count(F.lit(1)).alias("_c"))
-    score = F.when(F.col("_mw") == F.col("_nw"), F.lit(1e9)).when(F.col("_c") == F.least(F.size("_mw"), F.size("_nw")), F.col("_c") - 0.5 * F.abs(F.size("_mw") - F.size("_nw")))
-    best = common.withColumn("_score", score).filter("_score > 0").groupBy("_m").agg(F.min(F.struct((-F.col("_score")).alias("s"), F.col("_n"))).alias("_best"))
-    return mentions.join(best.select(F.col("_m").alias(mention), F.col("_best._n").alias("matched")), mention, "left")
+    more than nothing. Of equal ones the first by name. Mentions and names of the same words are looked at once, and only pairs
+    that share the rarest word of either side are made."""
+    said = mentions.select(F.col(mention).alias("_m")).distinct().withColumn("_ws", company_words(F.col("_m")))
+    n = names.select(F.col(name).alias("_n")).distinct().withColumn("_ws", company_words(F.col("_n"))).groupBy("_ws").agg(F.min("_n").alias("_n"))
+    ms, ns = cut(said.select("_ws").distinct()), cut(n)
+    m, k = F.size("_mw"), F.size("_nw")
+    shared = F.size(F.array_intersect("_mw", "_nw"))
+    score = F.when(F.col("_mw") == F.col("_nw"), F.lit(1e9)).when(shared == F.least(m, k), shared - 0.5 * F.abs(m - k))
+    near = _held_pairs(ms, ns).withColumn("_score", score).filter("_score > 0")
+    ranked = near.join(ns.withColumnRenamed("_ws", "_nw").hint("merge"), "_nw").groupBy(F.col("_mw").alias("_ws")).agg(F.min(F.struct((-F.col("_score")).alias("s"), F.col("_n"))).alias("_best"))
+    best = said.join(ranked.hint("merge"), "_ws").select(F.col("_m").alias(mention), F.col("_best._n").alias("matched"))
+    return mentions.join(best, mention, "left")
 
 
 def match_company(mention: str, names: list[str]) -> str | None:
