@@ -129,7 +129,7 @@ def best_trails(g: PropertyGraph, source: str, target: str, k: int = 10, rels: l
     """
     edges = cut(g.with_rel(*(rels or [])).select("edge_id", "src", "dst", "rel"))
     turned = PropertyGraph(g.nodes, edges.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", F.lit(None).cast("string").alias("fact")))
-    away = cut(paths.distances(turned, target, most, directed=True).select(F.col("id").alias("dst"), F.col("hops").alias("_left")))
+    away = cut(paths.hop_counts(turned, target, most, directed=True).select(F.col("id").alias("dst"), F.col("hops").alias("_left")))
     edges = cut(edges.join(away, "dst"))  # what leads on to the target
     start = g.nodes.filter(F.col("id") == source).select(F.col("id").alias("at"), F.array("id").alias("path_nodes"), F.array().cast("array<string>").alias("path_rels"), F.array().cast("array<struct<edge:bigint,left:int>>").alias("_path"))
     first = away.filter(F.col("dst") == source).first()

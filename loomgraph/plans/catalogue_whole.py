@@ -47,7 +47,7 @@ def node_docs(g: PropertyGraph, most: int = NEIGHBOURS) -> DataFrame:
 graph_query(None, name="graph_node_docs_whole", f=node_docs)
 
 # -- paths over all relations, within the operators' own hop limits ----------------------------------------------------
-graph_query(None, name="shortest_path_hops_whole", f=lambda g: paths.distances(g, "R1").select("id", "hops"))
+graph_query(None, name="shortest_path_hops_whole", f=lambda g: paths.hop_counts(g, "R1"))
 graph_query(None, name="reachable_k_whole", f=lambda g: paths.reachable(g, "S1", kind="REGION"))
 for _how in ("more", "less", "approx"):
     graph_query(None, name=f"compare_shock_{_how}_whole", f=lambda g, how=_how: paths.compare_exposure(g, "S1", "S2", "R1", how))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import expressions as X
+from loomgraph import storage
 from loomgraph.graph import PropertyGraph
 from loomgraph.operators import paths, quality, search
 from loomgraph.plans import linking, routing
@@ -168,6 +169,30 @@ def test_as_of(spark):
     assert [r.edge_id for r in held.collect()] == [1]
 
 
+@pytest.mark.parametrize("few", [3])
+def test_searches_without_paths_equal_those_with(spark, monkeypatch, few):
+    """Whatever is broadcast: nodes by few ones reached, few ones left, or neither; ends that the nodes lack count too."""
+    import random
+
+    monkeypatch.setattr(paths, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", few)
+    random.seed(few)
+    nodes = spark.createDataFrame([(f"n{i}", f"name {i}", "T", ["Entity"]) for i in range(24)], "id string, name string, type string, labels array<string>")
+    edges = [(k, f"n{random.randint(0, 22)}", f"n{random.randint(0, 26)}", random.choice(["A", "B"]), random.choice(["x", "y", None])) for k in range(34)]
+    g = PropertyGraph.of(nodes, spark.createDataFrame(edges, "edge_id long, src string, dst string, rel string, fact string"))
+    for rels, directed in ((None, False), (["A"], True)):
+        want = {r.id: r.hops for r in paths.distances(g, "n1", 12, rels, None, directed).collect()}
+        assert {r.id: r.hops for r in paths.hop_counts(g, "n1", 12, rels, None, directed).collect()} == want
+    known = {r.id: r for r in paths.distances(g, "n1").collect()}
+    for target in ["n1", "n23", max(known, key=lambda i: (known[i].hops, i))]:
+        got = [tuple(r[c] for c in ("id", "hops", "path_nodes", "path_rels", "path_facts")) for r in paths.shortest_path(g, "n1", target).collect()]
+        assert got == [tuple(known[t][c] for c in ("id", "hops", "path_nodes", "path_rels", "path_facts")) for t in [target] if t in known and t != "n1"]
+    far = {r.id: r.hops for r in paths.distances(g, "n2").collect()}
+    for most in (4,):
+        want = {e for e, a, b, *_ in edges for u, v in ((a, b), (b, a)) if u in known and v in far and known[u].hops <= most >= far[v] and known[u].hops + 1 + far[v] <= most}
+        assert sorted(r.edge_id for r in paths.edges_between(g, "n1", "n2", most).collect()) == sorted(want)
+
+
 def test_merge_gains_one_row_when_full(spark):
     a, b = (spark.createDataFrame([(k, i) for i, k in enumerate(s)], "k string, pos int") for s in ("xy", "yz"))
     assert [r.k for r in search.merged(a, b, ["k"], "pos", 5).collect()] == ["x", "y", "z"]
