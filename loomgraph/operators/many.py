@@ -158,10 +158,10 @@ def walk_counts(g: PropertyGraph, source: str, most: int = 4, rels: list[str] |
     """(id, hops, walks): the number of walks of each length 1 to `most` from a node, as whole numbers of 38 digits. A walk may use
     an edge again, so where the relations have no cycle it is the number of trails. Numbers are summed along edges, level by level;
     no walk is written down."""
-    edges = cut((g.with_rel(*(rels or [])) if directed else g.adjacency(*(rels or []))).select("src", "dst"))
+    edges = (g.with_rel(*(rels or [])) if directed else g.adjacency(*(rels or []))).select("src", "dst")
     at = g.nodes.filter(F.col("id") == source).select("id", F.lit(1).cast("decimal(38,0)").alias("walks"))
     out = []
     for level in range(1, most + 1):
-        at = cut(at.join(edges, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum("walks").cast("decimal(38,0)").alias("walks")))
+        at = cut(edges.join(small_or_not(at), F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum("walks").cast("decimal(38,0)").alias("walks")))
         out.append(at.select("id", F.lit(level).alias("hops"), "walks"))
     return union_all(out)
