@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.operators.search import joined_top_k
-from loomgraph.storage import cut
+from loomgraph.storage import cut, small_or_not
 
 #: Buckets, directions, passes over the texts, and tasks that add up matrices. A matrix has WIDTH * RANK numbers (2 MB).
 WIDTH, RANK, PASSES, SUMMED_IN = 4096, 64, 6, 8
@@ -181,14 +181,20 @@ def linked_spans(spans: DataFrame, names: DataFrame, model: Embedding, preferred
     score after that. floor: the least boosted score of all. Ties go to the first id; spans that nothing is like have no row."""
     from pyspark.sql import Window
 
-    asked = spans.select(F.col(span_id).cast("long").alias("_q"), F.col(text).alias("_t"), (F.col(preferred) if preferred else F.array().cast("array<string>")).alias("_p"))
+    preferred_types = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(preferred), F.array().cast("array<string>"))))) if preferred else F.array().cast("array<string>")
+    asked = spans.select(F.col(span_id).cast("long").alias("_q"), F.col(text).alias("_t"), preferred_types.alias("_p")).filter("_q IS NOT NULL AND _t IS NOT NULL")
+    # Spans with equal text and types mean the same, so each text is embedded and searched once.
+    kinds = cut(asked.select("_t", "_p").distinct())
+    texts = cut(kinds.select("_t").distinct().withColumn("_n", F.monotonically_increasing_id()))
     numbered = cut(names.select("id", "name", "type").withColumn("_k", F.monotonically_increasing_id()))
     vectors = cut(model.embed(numbered.select("_k", "name"), "name", "embedding").select("_k", "embedding"))
-    near = joined_top_k(model.embed(asked.select("_q", "_t"), "_t", "embedding").select("_q", "embedding"), vectors, candidates, "_q", "_k")
-    rows = near.join(asked, "_q").join(numbered, "_k")
+    near = joined_top_k(model.embed(texts, "_t", "embedding").select("_n", "embedding"), vectors, candidates, "_n", "_k")
+    rows = near.join(texts, "_n").join(numbered, "_k").join(kinds, "_t")
     boosted = F.col("sim") + F.when(F.lower("name") == F.lower("_t"), 0.35).otherwise(0.0) + F.when(F.array_contains("_p", F.col("type")), 0.2).otherwise(0.0)
     rows = rows.withColumn("boosted", F.round(boosted, 6))
-    best = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy(F.col("boosted").desc(), "id"))).filter("_r = 1")
+    best = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_t", "_p").orderBy(F.col("boosted").desc(), "id"))).filter("_r = 1")
     kept = (F.length("_t") > short) | (F.col("boosted") >= short_floor)
     kept = kept if floor is None else kept & (F.col("boosted") >= floor)
-    return best.filter(kept).select(F.col("_q").alias(span_id), "id", "sim", "boosted")
+    best = cut(best.filter(kept).select("_t", "_p", "id", "sim", "boosted"))
+    linked = asked.join(small_or_not(best), ["_t", "_p"]).groupBy("_q").agg(F.min_by(F.struct("id", "sim", "boosted"), F.struct(-F.col("boosted"), F.col("id"))).alias("b"))
+    return linked.select(F.col("_q").alias(span_id), "b.id", "b.sim", "b.boosted")

@@ -66,6 +66,18 @@ def test_a_table_of_spans_is_linked(spark, topics):
     assert got[1].boosted == pytest.approx(got[1].sim + 0.55) and got[3].boosted >= 0.85
 
 
+def test_equal_spans_are_embedded_once(spark, topics, monkeypatch):
+    _, _, model = topics
+    names = spark.createDataFrame([("n1", "net interest", "METRIC"), ("n2", "net interest", "TOPIC")], "id string, name string, type string")
+    given = []
+    made = embedding.Embedding.embed
+    monkeypatch.setattr(embedding.Embedding, "embed", lambda self, df, *more: given.append(df.count()) or made(self, df, *more))
+    model = embedding.trained(names, "name", rank=4, width=64)
+    spans = spark.createDataFrame([(k, "net interest", ["TOPIC"] if k % 2 else [None]) for k in range(50)], "span_id long, text string, kinds array<string>")
+    got = {r.span_id: r.id for r in embedding.linked_spans(spans, names, model, "kinds").collect()}
+    assert got == {k: "n2" if k % 2 else "n1" for k in range(50)} and sorted(given) == [1, 2]
+
+
 def test_no_texts(spark):
     model = embedding.trained(spark.createDataFrame([(None,)], "text string"), "text", rank=4, width=64)
     assert isinstance(model, Embedding) and model.vectors(["a b"]).any() == np.False_
