@@ -10,8 +10,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomgraph.storage import cut, small_or_not
+from loomgraph.storage import BROADCAST_ROWS, cut, small_or_not
 
 #: How fast a word's repeats saturate, and how far a text's length counts.
 K1, B = 1.2, 0.75
@@ -52,12 +53,15 @@ class TextIndex:
         return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), about["texts"], about["mean"], tuple(about["kinds"]))
 
 
-def index(texts: DataFrame, key: str, text: str, kinds: tuple[str, ...] = ()) -> TextIndex:
-    """The index of a table of texts, each key once. Null and empty texts hold no word, and count among the texts."""
+def index(texts: DataFrame, key: str, text: str, kinds: tuple[str, ...] = (), asked: DataFrame | None = None) -> TextIndex:
+    """The index of a table of texts, each key once. Null and empty texts hold no word, and count among the texts. asked(term): the
+    only words that will be looked up; postings of others aren't made, whatever else is the same."""
     kept = [F.col(k) for k in kinds]
     split = texts.select(F.col(key).alias("id"), words(F.col(text)).alias("_w"), *kept)
     sizes = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_w")).alias("mean")).first()
     each = split.select("id", F.size("_w").alias("length"), F.explode("_w").alias("term"), *kept)
+    if asked is not None:
+        each = each.join(small_or_not(asked.select("term").distinct()), "term", "left_semi")
     postings = cut(each.groupBy("term", "id", "length", *kinds).agg(F.count(F.lit(1)).alias("tf")))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(sizes["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -107,6 +111,69 @@ def bm25(queries: DataFrame, on: TextIndex, k: int = 10, query_id: str = "query_
     return sums.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("_q").alias(query_id), "id", "score", "rank")
 
 
+def words_asked(queries: DataFrame, text: str = "text") -> DataFrame:
+    """(term): the distinct words of the queries."""
+    return cut(queries.select(F.explode(words(F.col(text))).alias("term")).distinct())
+
+
+def _alike(texts: DataFrame, asked: DataFrame, key: str, text: str, kinds: tuple[str, ...], k: int) -> DataFrame:
+    """(kinds, length, held, n, ids): texts that every query scores alike, their number and their k least keys. held: which of the
+    asked words they hold, and how often. Each batch is reduced in its task, so no more than its kinds of texts are shuffled."""
+    import numpy as np
+    import pyarrow as pa
+
+    every = asked.agg(F.collect_list("term").alias("_terms"))
+    rows = texts.select(F.col(key).cast("long").alias("id"), *kinds, words(F.col(text)).alias("_w")).crossJoin(F.broadcast(every))
+    often = lambda t: F.struct(t.alias("term"), F.size(F.filter("_w", lambda w: w == t)).cast("long").alias("tf"))
+    rows = rows.select("id", *kinds, F.size("_w").alias("length"), F.transform(F.array_sort(F.array_intersect("_w", "_terms")), often).alias("held"))
+    same = ["length", "held", *kinds]
+    rows = rows.select(F.xxhash64(*same).alias("_h"), "id", *same)
+
+    def reduced(batches):
+        for batch in batches:
+            h, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((ids, h))
+            h, ids = h[order], ids[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(h)))
+            least = np.minimum(n, k)
+            at = np.repeat(first, least) + np.arange(least.sum()) - np.repeat(np.cumsum(least) - least, least)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(least)).astype(np.int32)), pa.array(ids[at]))
+            kept = batch.take(pa.array(order[first]))
+            yield pa.RecordBatch.from_arrays([*kept.columns[2:], pa.array(n), lists], names=[*kept.schema.names[2:], "n", "ids"])
+
+    schema = T.StructType([*rows.select(*same).schema.fields, T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))])
+    grouped = rows.mapInArrow(reduced, schema).groupBy(*same).agg(F.sum("n").alias("n"), F.flatten(F.collect_list("ids")).alias("ids"))
+    return cut(grouped.withColumn("ids", F.slice(F.array_sort("ids"), 1, k)).withColumn("_c", F.monotonically_increasing_id()))
+
+
+def bm25_alike(queries: DataFrame, texts: DataFrame, key: str, k: int = 10, query_id: str = "query_id", text: str = "text", only: dict[str, str] | None = None) -> DataFrame:
+    """bm25() over texts(key, text and the kinds of only) without an index, for many short texts of few words: those that hold the
+    same asked words as often and are equally long score alike, so one of each is scored and the least keys stand for it. Keys are
+    whole numbers, each once. The asked words are broadcast; more than BROADCAST_ROWS of them are looked up by an index."""
+    only = only or {}
+    kinds = tuple(only)
+    wanted = words_asked(queries.filter(F.col(query_id).isNotNull()), text)
+    if wanted.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return bm25(queries, index(texts, key, text, kinds, wanted), k, query_id, text, only)
+    alike = _alike(texts, wanted, key, text, kinds, k)
+    sizes = alike.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("length")) / F.sum("n")).alias("mean")).first()
+    held = alike.select("_c", "n", "length", *kinds, F.inline("held"))
+    df = held.groupBy("term").agg(F.sum("n").alias("df"))
+    idf = F.log(1 + (F.lit(sizes["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    limits = [F.col(c).alias(f"_only_{kind}") for kind, c in only.items()]
+    asked = queries.select(F.col(query_id).alias("_q"), F.explode(words(F.col(text))).alias("term"), *limits).filter("_q IS NOT NULL").distinct()
+    rows = held.join(small_or_not(cut(asked.join(df.select("term", idf.alias("idf")), "term"))), "term")
+    for kind in kinds:
+        rows = rows.filter(F.col(f"_only_{kind}").isNull() | F.array_contains(f"_only_{kind}", F.col(kind)))
+    sums = rows.groupBy("_q", "_c", "n").agg(F.round(F.sum(_gain(sizes["mean"] or 0.0)), DIGITS).alias("score"))
+    # Texts with a higher score than these: where there are k, none of these is among the best.
+    above = F.sum("n").over(Window.partitionBy("_q").orderBy(F.col("score").desc())) - F.sum("n").over(Window.partitionBy("_q", "score"))
+    best = sums.withColumn("_above", above).filter(F.col("_above") < k).join(alike.select("_c", F.explode("ids").alias("id")), "_c")
+    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.col("score").desc(), "id"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("_q").alias(query_id), "id", "score", "rank")
+
+
 def fused(rankings: list[DataFrame], k: int = 10, query_id: str = "query_id", offset: int = RANK_OFFSET) -> DataFrame:
     """(query_id, id, score, rank) by reciprocal rank: each ranking (query_id, id, rank) gives 1 / (offset + rank); ties by id."""
     both = None

@@ -54,6 +54,29 @@ def test_bm25_equals_a_plain_one(spark, corpus, frequent, k):
         assert all(r.score == pytest.approx(want[r.query_id, r["rank"]][1], abs=2e-6) for r in rows)
 
 
+@pytest.mark.parametrize("k", [1, 5, 400])
+def test_bm25_of_texts_that_score_alike(spark, corpus, monkeypatch, k):
+    texts, queries, df, asked = corpus
+    texts = texts + [(1000 + i, *texts[i % 40][1:]) for i in range(200)]  # many of each
+    df = spark.createDataFrame(texts, "id long, text string, kind string")
+    for only in (None, {"kind": "allowed"}):
+        want = plain(texts, queries, k, only)
+        for most in (100_000, 3):
+            monkeypatch.setattr(textsearch, "BROADCAST_ROWS", most)
+            rows = textsearch.bm25_alike(asked, df, "id", k, only=only).collect()
+            assert {(r.query_id, r["rank"]): r.id for r in rows} == {key: i for key, (i, _) in want.items()}
+            assert all(r.score == pytest.approx(want[r.query_id, r["rank"]][1], abs=2e-6) for r in rows)
+
+
+def test_only_words_that_are_asked_have_postings(spark, corpus):
+    _, _, df, asked = corpus
+    few = asked.filter("query_id = 30")
+    on = textsearch.index(df, "id", "text", asked=textsearch.words_asked(few))
+    assert {r.term for r in on.postings.select("term").distinct().collect()} == {"w0", "w1"}
+    assert sorted(textsearch.bm25(few, on).collect()) == sorted(textsearch.bm25(few, textsearch.index(df, "id", "text")).collect())
+    assert textsearch.bm25_alike(few, df.limit(0), "id").count() == textsearch.bm25_alike(few.limit(0), df, "id").count() == 0
+
+
 def test_a_stored_index_and_few_rows(spark, corpus, tmp_path):
     _, _, df, asked = corpus
     on = textsearch.index(df, "id", "text")
