@@ -17,35 +17,77 @@ from loomgraph.storage import cut, numbered, small_or_not
 WORD = 63
 
 
+#: Relations that together have no more than this share of the edges are looked at first at the last level.
+FIRST_SHARE = 0.2
+
+
 def _steps(g: PropertyGraph, rels: list[str] | None, directed: bool, back: bool = False) -> DataFrame:
-    """The distinct (src, dst) that a search may go along; back: against the edges."""
+    """The (src, dst, rel) that a search may go along, as the graph has them stored; back: against the edges."""
     edges = g.with_rel(*(rels or [])) if directed else g.adjacency(*(rels or []))
     src, dst = ("dst", "src") if back and directed else ("src", "dst")
-    return edges.filter("src <> dst").select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+    return edges.filter("src <> dst").select(F.col(src).alias("src"), F.col(dst).alias("dst"), "rel")
+
+
+def _by_size(steps: DataFrame) -> list[DataFrame]:
+    """steps in two parts, small relations first."""
+    counts = sorted((r["n"], r["rel"] or "") for r in steps.groupBy("rel").agg(F.count(F.lit(1)).alias("n")).collect())  # an ontology's relations
+    first, room = [], FIRST_SHARE * sum(n for n, _ in counts)
+    for n, rel in counts:
+        room -= n
+        if room >= 0:
+            first.append(rel)
+    of = F.coalesce("rel", F.lit("")).isin(*first)
+    return [steps.filter(of), steps.filter(~of)] if first else [steps]
+
 
+def _known(g: PropertyGraph, pairs: DataFrame, column: str) -> DataFrame:
+    """The pairs whose column is a node of the graph."""
+    known = pairs.select(column).distinct().join(g.nodes.select(F.col("id").alias(column)), column, "left_semi").distinct()
+    return cut(pairs.join(small_or_not(cut(known)), column))
 
-def _search(g: PropertyGraph, steps: DataFrame, pairs: DataFrame, most: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(root, goal, hops, word, bit) for the pairs (root, goal) within reach, and for each level the nodes with the roots that reach
-    them there first (node, word, new). Ends when all goals are found or nothing new is reached."""
-    known = g.nodes.select(F.col("id").alias("root"))
-    roots = numbered(pairs.select("root").distinct().join(known, "root", "left_semi"), ["root"], "number")
+
+def _search(steps: DataFrame, pairs: DataFrame, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(root, goal, hops, word, bit) for the pairs (root, goal) within reach, and for each level but the last the nodes with the roots
+    that reach them there first (node, word, new). Ends when all goals are found or nothing new is reached.
+
+    Edges are read from where they are stored at each level, past few nodes without a shuffle. At the last level only goals count:
+    few of them are broadcast, and large relations are left out where the small ones have led to all."""
+    roots = numbered(pairs.select("root").distinct(), ["root"], "number")
     roots = roots.select("root", F.expr(f"number div {WORD}").alias("word"), F.expr(f"shiftleft(1L, cast(number % {WORD} as int))").alias("bit"))
     open_ = cut(pairs.join(small_or_not(roots), "root"))
     start = F.bit_or("bit")
     state = cut(roots.groupBy(F.col("root").alias("node"), "word").agg(start.alias("seen"), start.alias("new")))
     found, levels = [], []
+
+    def met(reached: DataFrame, level: int) -> None:
+        """Takes the open pairs whose goal is reached here among those found."""
+        nonlocal open_
+        here = open_.join(reached.withColumnRenamed("node", "goal"), ["goal", "word"]).filter(F.col("bit").bitwiseAND(F.col("new")) != 0)
+        here = cut(here.select("root", "goal", F.lit(level).alias("hops"), "word", "bit"))
+        found.append(here)
+        open_ = cut(open_.join(here.select("root", "goal"), ["root", "goal"], "left_anti"))
+
+    def onward(reached: DataFrame, along: DataFrame) -> DataFrame:
+        return small_or_not(reached).join(along, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("new").alias("got"))
+
     for level in range(most + 1):
         reached = state.filter("new <> 0").select("node", "word", "new")
         if level and not reached.limit(1).count():
             break
         levels.append(reached)
-        here = open_.join(reached.withColumnRenamed("node", "goal"), ["goal", "word"]).filter(F.col("bit").bitwiseAND(F.col("new")) != 0)
-        here = cut(here.select("root", "goal", F.lit(level).alias("hops"), "word", "bit"))
-        found.append(here)
-        open_ = cut(open_.join(here.select("root", "goal"), ["root", "goal"], "left_anti"))
-        if not open_.limit(1).count() or level == most:
+        met(reached, level)
+        if level == most or not open_.limit(1).count():
+            break
+        if level == most - 1:
+            few = small_or_not(reached) is not reached
+            for along in [steps] if few else _by_size(steps):
+                goals = open_.select(F.col("goal").alias("dst")).distinct()
+                ends = small_or_not(goals)
+                met(onward(reached, along if ends is goals else along.join(ends, "dst", "left_semi")).withColumnRenamed("got", "new"), most)
+                if not open_.limit(1).count():
+                    break
             break
-        got = reached.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "word", F.lit(0).cast("long").alias("seen"), F.col("new").alias("got"))
+        got = onward(reached, steps).select("node", "word", F.lit(0).cast("long").alias("seen"), "got")
         both = state.select("node", "word", "seen", F.lit(0).cast("long").alias("got")).unionByName(got).groupBy("node", "word").agg(F.bit_or("seen").alias("was"), F.bit_or("got").alias("got"))
         state = cut(both.select("node", "word", F.col("was").bitwiseOR(F.col("got")).alias("seen"), F.col("got").bitwiseAND(F.bitwise_not("was")).alias("new")))
     return union_all(found), levels
@@ -55,11 +97,17 @@ def hops(g: PropertyGraph, asked: DataFrame, most: int = 12, rels: list[str] | N
     """(source, target, hops) for each distinct pair of asked (source, target) that lies within `most` hops; a node is 0 hops from
     itself. Pairs with nulls or with ids that the graph lacks have no row.
 
-    The level's edges are joined once for all sources; a node has a row for every 63 sources, whatever the number of paths.
+    The level's edges are joined once for all sources; a node has a row for every 63 sources, whatever the number of paths. The search
+    goes out from the sources or against the edges from the targets, whichever are fewer.
     """
-    pairs = asked.select(F.col("source").alias("root"), F.col("target").alias("goal")).dropna().distinct()
-    found, _ = _search(g, cut(_steps(g, rels, directed)), pairs, most)
-    return found.select(F.col("root").alias("source"), F.col("goal").alias("target"), "hops")
+    root, goal = "source", "target"
+    pairs = _known(g, asked.select(root, goal).dropna().distinct(), root)
+    sides = pairs.agg(F.count_distinct(root).alias("sources"), F.count_distinct(goal).alias("targets")).first()
+    back = sides["targets"] < sides["sources"]
+    if back:
+        root, goal = goal, root
+    found, _ = _search(_steps(g, rels, directed, back), pairs.select(F.col(root).alias("root"), F.col(goal).alias("goal")), most)
+    return found.select(F.col("goal" if back else "root").alias("source"), F.col("root" if back else "goal").alias("target"), "hops")
 
 
 def shortest(g: PropertyGraph, asked: DataFrame, most: int = 12, rels: list[str] | None = None, directed: bool = False) -> DataFrame:
@@ -67,14 +115,14 @@ def shortest(g: PropertyGraph, asked: DataFrame, most: int = 12, rels: list[str]
 
     The search goes out from the targets; a path is then walked from its source, at each step to the least neighbour that is one
     hop nearer to the target."""
-    pairs = asked.select(F.col("target").alias("root"), F.col("source").alias("goal")).dropna().distinct()
-    forward = cut(_steps(g, rels, directed))
-    against = cut(_steps(g, rels, directed, back=True)) if directed else forward
-    found, levels = _search(g, against, pairs, most)
+    pairs = _known(g, asked.select(F.col("target").alias("root"), F.col("source").alias("goal")).dropna().distinct(), "root")
+    forward = _steps(g, rels, directed).select("src", "dst")
+    against = _steps(g, rels, directed, back=True)
+    found, levels = _search(against, pairs, most)
     layers = union_all([rows.withColumn("layer", F.lit(k)) for k, rows in enumerate(levels)])
     at = cut(found.select("root", "goal", "hops", "word", "bit", F.col("goal").alias("node")))
     walked = [at.select("root", "goal", "node", F.lit(0).alias("step"))]
-    for step in range(1, len(levels)):
+    for step in range(1, len(levels) + 1):
         on = at.filter(F.col("hops") >= step).join(forward, F.col("node") == F.col("src")).drop("node", "src")
         on = on.join(layers.select(F.col("node").alias("dst"), "word", "new", "layer"), ["dst", "word"]).filter((F.col("layer") == F.col("hops") - step) & (F.col("bit").bitwiseAND(F.col("new")) != 0))
         at = cut(on.groupBy("root", "goal", "hops", "word", "bit").agg(F.min("dst").alias("node")))

@@ -48,6 +48,22 @@ def test_hops_of_all_pairs(spark, drawn, monkeypatch, directed, most, word):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("directed, most", [(False, 2), (True, 3), (False, 3)])
+def test_hops_go_out_from_the_fewer_side_and_read_large_relations_last(spark, drawn, monkeypatch, directed, most):
+    """Many sources and two targets are one word of bits; small relations first, without broadcasts, gives the same."""
+    nodes, edges, g = drawn
+    searched = []
+    run = many._search
+    monkeypatch.setattr(many, "_search", lambda steps, pairs, most: searched.append(pairs.select("root").distinct().count()) or run(steps, pairs, most))
+    asked = spark.createDataFrame([(a, b) for a in nodes + ["absent"] for b in ("n5", "n11")], "source string, target string")
+    want = {(a, b, h) for a in nodes for b, h in plain_hops(edges, a, most, directed).items() if b in ("n5", "n11")}
+    for rows in (100_000, 0):
+        monkeypatch.setattr(many.small_or_not, "__defaults__", (rows,))
+        got = many.hops(g, asked, most, None, directed).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert searched == [2, 2]
+
+
 def test_paths_equal_those_of_one_search(spark, drawn):
     nodes, _, g = drawn
     targets = ["n5", "n11", "n21"]
