@@ -1,12 +1,12 @@
 """Paths for many questions at once: hops and paths of a table of pairs, the best trails between two nodes, numbers of walks.
 
 The search is bit-parallel: each node on the frontier carries a word of bits for every 63 roots, so one pass over the edges goes
-on for all of them. No path is carried along; those that are asked for are rebuilt from the levels, a node a step.
+on for all of them. No path is carried along; those that are asked for are made afterwards, from the levels that lead to a goal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.graph import PropertyGraph, union_all
@@ -19,6 +19,10 @@ WORD = 63
 
 #: Relations that together have no more than this share of the edges are looked at first at the last level.
 FIRST_SHARE = 0.2
+#: Rows of ids with a word of bits, or with the few ids of a path, that may be broadcast after they have been counted.
+NARROW = 400_000
+#: A level is sifted for what leads to a goal where it holds so many times the roots that goals beyond it have.
+SIFTED = 10
 
 
 def _steps(g: PropertyGraph, rels: list[str] | None, directed: bool, back: bool = False) -> DataFrame:
@@ -110,34 +114,73 @@ def hops(g: PropertyGraph, asked: DataFrame, most: int = 12, rels: list[str] | N
     return found.select(F.col("goal" if back else "root").alias("source"), F.col("root" if back else "goal").alias("target"), "hops")
 
 
+def _narrow(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has NARROW rows at most."""
+    return small_or_not(df, NARROW)
+
+
+def _bits_of(bits: str) -> Column:
+    """The bits of a word as an array of words with one bit each; most words that are asked for hold one."""
+    one = F.col(bits).bitwiseAND(F.col(bits) - 1) == 0
+    return F.when(one, F.array(bits)).otherwise(F.filter(F.array(*[F.lit(1 << i) for i in range(WORD)]), lambda b: b.bitwiseAND(F.col(bits)) != 0))
+
+
+def _needed(steps: DataFrame, found: DataFrame, levels: list[DataFrame], last: int) -> list[DataFrame]:
+    """For each level 0 to `last` the nodes with the roots (node, word, need) whose shortest paths to a goal may lead over them there.
+    A level is sifted only where it holds many more roots than there are goals beyond it."""
+    out: list[DataFrame] = []
+    for level in range(last, -1, -1):
+        need = found.filter(F.col("hops") == level).groupBy(F.col("goal").alias("node"), "word").agg(F.bit_or("bit").alias("need"))
+        if level < last:
+            layer = levels[level]
+            beyond = found.filter(F.col("hops") > level).count()
+            held = layer.agg(F.sum(F.bit_count("new"))).first()[0] or 0
+            if held > SIFTED * beyond:
+                onto = steps.join(_narrow(out[0]), F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node"), "word").agg(F.bit_or("need").alias("need"))
+                onto = layer.join(onto, ["node", "word"]).select("node", "word", F.col("need").bitwiseAND(F.col("new")).alias("need")).filter("need <> 0")
+            else:
+                onto = layer.select("node", "word", F.col("new").alias("need"))
+            need = need.unionByName(onto).groupBy("node", "word").agg(F.bit_or("need").alias("need"))
+        out.insert(0, cut(need))
+    return out
+
+
 def shortest(g: PropertyGraph, asked: DataFrame, most: int = 12, rels: list[str] | None = None, directed: bool = False) -> DataFrame:
     """hops() with path_nodes, path_rels and path_facts: of the shortest paths the least by node ids, as paths.distances has it.
 
-    The search goes out from the targets; a path is then walked from its source, at each step to the least neighbour that is one
-    hop nearer to the target."""
-    pairs = _known(g, asked.select(F.col("target").alias("root"), F.col("source").alias("goal")).dropna().distinct(), "root")
-    forward = _steps(g, rels, directed).select("src", "dst")
-    against = _steps(g, rels, directed, back=True)
-    found, levels = _search(against, pairs, most)
-    layers = union_all([rows.withColumn("layer", F.lit(k)) for k, rows in enumerate(levels)])
-    at = cut(found.select("root", "goal", "hops", "word", "bit", F.col("goal").alias("node")))
-    walked = [at.select("root", "goal", "node", F.lit(0).alias("step"))]
-    for step in range(1, len(levels) + 1):
-        on = at.filter(F.col("hops") >= step).join(forward, F.col("node") == F.col("src")).drop("node", "src")
-        on = on.join(layers.select(F.col("node").alias("dst"), "word", "new", "layer"), ["dst", "word"]).filter((F.col("layer") == F.col("hops") - step) & (F.col("bit").bitwiseAND(F.col("new")) != 0))
-        at = cut(on.groupBy("root", "goal", "hops", "word", "bit").agg(F.min("dst").alias("node")))
-        walked.append(at.select("root", "goal", "node", F.lit(step).alias("step")))
-    places = cut(union_all(walked))
-    legs = places.join(places.select("root", "goal", (F.col("step") - 1).alias("step"), F.col("node").alias("next")), ["root", "goal", "step"])
+    The search goes out from the side with fewer nodes. Then the nodes that lie on a shortest path to a goal get their least path
+    from or to each root, level by level: the least of their neighbours' on the level before."""
+    root, goal = "source", "target"
+    pairs = _known(g, asked.select(root, goal).dropna().distinct(), root)
+    sides = pairs.agg(F.count_distinct(root).alias("sources"), F.count_distinct(goal).alias("targets")).first()
+    back = sides["targets"] < sides["sources"]
+    if back:
+        root, goal = goal, root
+    steps = _steps(g, rels, directed, back)
+    found, levels = _search(steps, pairs.select(F.col(root).alias("root"), F.col(goal).alias("goal")), most)
+    found = cut(found)
+    steps = steps.select("src", "dst")
+    last = found.agg(F.max("hops")).first()[0] or 0
+    needs = _needed(steps, found, levels, last)
+    at = cut(found.select(F.col("root").alias("node"), "word", "bit", F.array("root").alias("path")).distinct())
+    told = [at]
+    for level in range(1, last + 1):
+        ways = steps.join(_narrow(needs[level - 1].select(F.col("node").alias("src"), F.col("word").alias("_word"), F.col("need").alias("_from"))), "src")
+        ways = ways.join(_narrow(needs[level].select(F.col("node").alias("dst"), "word", "need")), "dst").filter(F.col("word") == F.col("_word"))
+        ways = ways.withColumn("_both", F.col("_from").bitwiseAND(F.col("need"))).filter("_both <> 0").select("src", "dst", "word", F.explode(_bits_of("_both")).alias("bit"))
+        before = ways.join(_narrow(at.withColumnRenamed("node", "src")), ["src", "word", "bit"]).groupBy("dst", "word", "bit").agg(F.min("path").alias("path"))
+        whole = F.concat(F.array("dst"), "path") if back else F.concat("path", F.array("dst"))
+        at = cut(before.select(F.col("dst").alias("node"), "word", "bit", whole.alias("path")))
+        told.append(at)
+    at = union_all([rows.withColumn("hops", F.lit(k)) for k, rows in enumerate(told)]).withColumnRenamed("node", "goal")
+    out = cut(at.join(_narrow(found), ["goal", "word", "bit", "hops"]).select(F.col("goal" if back else "root").alias("source"), F.col("root" if back else "goal").alias("target"), "hops", F.col("path").alias("path_nodes")))
+    legs = out.filter("hops > 0").select("source", "target", "path_nodes", F.explode(F.sequence(F.lit(1), "hops")).alias("step"))
+    legs = legs.select("source", "target", "step", F.get("path_nodes", F.col("step") - 1).alias("node"), F.get("path_nodes", "step").alias("next"))
     edges = (g.with_rel(*(rels or [])) if directed else g.adjacency(*(rels or []))).select(F.col("src").alias("node"), F.col("dst").alias("next"), "rel", "fact")
-    said = edges.join(small_or_not(legs.select("node", "next").distinct()), ["node", "next"]).groupBy("node", "next").agg(F.min(F.struct("rel", "fact")).alias("said"))
-    told = legs.join(said, ["node", "next"]).groupBy("root", "goal").agg(F.array_sort(F.collect_list(F.struct("step", "said"))).alias("_legs"))
-    nodes = places.groupBy("root", "goal").agg(F.array_sort(F.collect_list(F.struct("step", "node"))).alias("_nodes"))  # most + 1 at most
-    out = found.join(nodes, ["root", "goal"]).join(told, ["root", "goal"], "left")
+    said = cut(edges.join(_narrow(legs.select("node", "next").distinct()), ["node", "next"]).groupBy("node", "next").agg(F.min(F.struct("rel", "fact")).alias("said")))
+    legs = legs.join(_narrow(said), ["node", "next"]).groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("step", "said"))).alias("_legs"))  # most at most
     legs_of = lambda k: F.coalesce(F.transform("_legs", lambda x: x["said"][k]), F.array().cast("array<string>"))
-    return out.select(
-        F.col("goal").alias("source"), F.col("root").alias("target"), "hops", F.transform("_nodes", lambda x: x["node"]).alias("path_nodes"), legs_of("rel").alias("path_rels"), legs_of("fact").alias("path_facts")
-    )
+    return out.join(legs, ["source", "target"], "left").select("source", "target", "hops", "path_nodes", legs_of("rel").alias("path_rels"), legs_of("fact").alias("path_facts"))
 
 
 def exposures(g: PropertyGraph, asked: DataFrame, most: int = 12) -> DataFrame:

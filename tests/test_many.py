@@ -64,6 +64,22 @@ def test_hops_go_out_from_the_fewer_side_and_read_large_relations_last(spark, dr
     assert searched == [2, 2]
 
 
+@pytest.mark.parametrize("directed, word, sifted", [(False, 63, 10), (True, 1, 0)])
+def test_paths_go_out_from_the_fewer_side(spark, drawn, monkeypatch, directed, word, sifted):
+    """Two sources and many targets are searched from the two; words of few roots, levels that are sifted and no broadcasts give the same."""
+    nodes, _, g = drawn
+    searched = []
+    run = many._search
+    monkeypatch.setattr(many, "WORD", word)
+    monkeypatch.setattr(many, "SIFTED", sifted)
+    monkeypatch.setattr(many, "NARROW", 0 if sifted == 0 else 400_000)
+    monkeypatch.setattr(many, "_search", lambda steps, pairs, most: searched.append(pairs.select("root").distinct().count()) or run(steps, pairs, most))
+    asked = spark.createDataFrame([(a, b) for a in ("n0", "n7") for b in nodes + ["absent"]], "source string, target string")
+    got = sorted((r.source, r.target, r.hops, r.path_nodes, r.path_rels, r.path_facts) for r in many.shortest(g, asked, 4, None, directed).collect())
+    want = [(a, r.id, r.hops, r.path_nodes, r.path_rels, r.path_facts) for a in ("n0", "n7") for r in paths.distances(g, a, 4, directed=directed).collect()]
+    assert got == sorted(want) and searched == [2]
+
+
 def test_paths_equal_those_of_one_search(spark, drawn):
     nodes, _, g = drawn
     targets = ["n5", "n11", "n21"]
