@@ -23,8 +23,10 @@ PARTNERS_A_TASK = 256
 #: Members of a bucket up to which its pairs are listed; larger ones are refined, LEVELS times at most. What is still large
 #: then shares rare differences again and again, and is listed too.
 LISTED, LEVELS = 32, 4
-#: Entries that one task counts.
-BUCKET_ENTRIES = 500_000
+#: Entries that one task counts, those whose marks are packed at once, and bytes of texts whose entries are made at once.
+BUCKET_ENTRIES, CHUNK_ENTRIES, SLICE_BYTES = 500_000, 900_000, 500_000
+#: Places in the table of bits for each key that several sets have.
+KEY_PLACES = 64
 #: What looking at a pair costs, in index entries: a pair is a row of a join and two sketches, an entry some three bytes.
 PAIR_COST = 20
 
@@ -135,7 +137,7 @@ def _entries(batches: Iterator[pa.RecordBatch], n: int, percent: int, plan: dict
     none = np.zeros(0, dtype=np.int64)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for lo, hi in text_slices(batch.column(1)):
+        for lo, hi in text_slices(batch.column(1), SLICE_BYTES):
             size, low, high = [], [], []
             for text in batch.column(1).slice(lo, hi - lo).to_pylist():
                 s = shingle_set(text, n)
@@ -222,23 +224,25 @@ def _shared_keys(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[in
             for keys, small in zip(lists, (1, 0)):
                 held.append(_marks(np.concatenate(keys), bits) << np.uint64(1) | np.uint64(small))
                 size += len(held[-1])
-            if size >= BUCKET_ENTRIES:
+            if size >= CHUNK_ENTRIES:
                 both, held, size = np.concatenate(held), [], 0
                 yield both
+                del both
         if size:
             yield np.concatenate(held)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for both in gathered(batches):
             both.sort()  # in place: a mark's last entry has its bit set if any has
-            last = np.flatnonzero(np.append(both[1:] >> np.uint64(1) != both[:-1] >> np.uint64(1), True))
-            often, small = np.diff(last, prepend=-1), both[last] & np.uint64(1) > 0
+            last = np.flatnonzero(np.append(both[1:] ^ both[:-1] > np.uint64(1), True))
+            often, small = np.diff(last, prepend=-1).astype("<u4"), both[last] & np.uint64(1) > 0
             marks = both[last] >> np.uint64(1)
+            del both, last
             ends = np.searchsorted(marks, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(width))
             held = np.nonzero(np.diff(ends))[0].tolist()
             parts = [slice(ends[b], ends[b + 1]) for b in held]
             packed = [pack(marks[at] - np.uint64(b * width)) for b, at in zip(held, parts)]
-            counts = [often[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for at in parts]
+            counts = [often[at].view(np.uint8).reshape(-1, 4).T.tobytes() for at in parts]
             bits_of = [np.packbits(small[at]).tobytes() for at in parts]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), *(pa.array(c, pa.binary()) for c in (packed, counts, bits_of))], names=["bucket", "marks", "n", "small"])
 
@@ -263,12 +267,19 @@ def _shared_keys(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[in
     return cut(asked.groupBy("bucket").applyInArrow(count, "mark long, size long")), bits
 
 
+def _set(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits are set at these places."""
+    return table[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
 def _shared_entries(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, int]], shared: DataFrame, bits: int) -> DataFrame:
     """The index's entries whose marks are shared: (mark, key, id, n, index, open). A bit table, sized from the number of
-    shared marks up to 16 MB, sorts out nearly all others before any row is made of them; the join with the marks decides."""
-    size = table_bits(shared.count())
+    shared marks up to 16 MB, sorts out nearly all others before any row is made of them; the join with the marks decides. A mark
+    has two bits there, by its lower and its upper end, so that hardly one in a thousand others meets both."""
+    size = min(table_bits(shared.count() * KEY_PLACES // 16), bits)
     table = np.zeros(1 << (size - 3), dtype=np.uint8)
-    for page, found in bitmap(shared, "mark", size).collect():
+    ends = shared.select(F.explode(F.array("mark", F.shiftright("mark", bits - size))).alias("mark"))
+    for page, found in bitmap(ends, "mark", size).collect():
         table[page * 4096 : (page + 1) * 4096] = np.frombuffer(found, dtype=np.uint8)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,8 +287,8 @@ def _shared_entries(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple
             for lists, small in ((low, True), (high, False)):
                 keys = np.concatenate(lists)
                 marks = _marks(keys, bits).view(np.int64)
-                at = marks & ((1 << size) - 1)
-                use = table[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+                use = np.flatnonzero(_set(table, marks & ((1 << size) - 1)))
+                use = use[_set(table, marks[use] >> (bits - size))]
                 row = np.repeat(np.arange(len(ids)), list(map(len, lists)))[use]
                 flag = lambda v: pa.array(np.full(len(row), v))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(marks[use]), pa.array(keys[use]), pa.array(ids[row]), pa.array(np.array(sizes, dtype=np.int64)[row]), flag(small), flag(True)], names=["mark", "key", "id", "n", "index", "open"])

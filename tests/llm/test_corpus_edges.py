@@ -373,3 +373,20 @@ def test_a_class_of_copies_is_dealt_out_when_it_gets_its_label(spark, monkeypatc
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 0 if i <= 2001 else i for i, _ in rows}
     assert asked and asked[0][0] == 2000 and asked[0].keys() >= {0, 2000, 2001}
+
+
+def test_index_rows_are_made_of_hardly_any_keys_but_the_shared_ones(spark):
+    """Entries that no other set has are sorted out before rows are made of them: few in a thousand may pass."""
+    from loomgraph.llm import jaccard_join as J
+
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randrange(10**9)) for _ in range(300)) for _ in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:6])], "id long, text string")
+    plan = {b: (0, 40) for b in range(J._band(296, 80) - 1, J._band(296, 80) + 1)}
+    total = len(texts) * 2 * (40 + 296)
+    shared, bits = J._shared_keys(docs, 5, 80, plan, total)
+    made = J._shared_entries(docs, 5, 80, plan, shared, bits).select("mark", "id").collect()
+    marks = {r["mark"] for r in shared.collect()}
+    of_copies = [r for r in made if r["id"] < 6 or r["id"] >= 60]
+    assert len(marks) > 6 * 296 and sum(r["mark"] in marks for r in of_copies) >= 12 * 296
+    assert sum(r["mark"] not in marks for r in made) * 200 < total
