@@ -390,3 +390,35 @@ def test_index_rows_are_made_of_hardly_any_keys_but_the_shared_ones(spark):
     of_copies = [r for r in made if r["id"] < 6 or r["id"] >= 60]
     assert len(marks) > 6 * 296 and sum(r["mark"] in marks for r in of_copies) >= 12 * 296
     assert sum(r["mark"] not in marks for r in made) * 200 < total
+
+
+def test_a_differing_passage_whose_seeds_all_have_earlier_holders(spark):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage = words(60)
+    rows = [(k + 1, " ".join(words(40) + passage[at : at + 30] + words(40))) for k, at in enumerate(range(0, 31, 3))]
+    changed = [w if k % 12 != 6 else "changed" for k, w in enumerate(passage)]
+    rows += [(100, " ".join(words(30) + passage + words(30))), (200, " ".join(words(30) + changed + words(30))), (300, " ".join(words(90)))]
+    got = {(r.doc_id, r.source_id, r.start_word, r.end_word, r.distance) for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert got == {(200, 100, 30, 90, 5)}
+
+
+def test_no_holder_of_a_passage_goes_for_its_runs_of_three_words():
+    rng = random.Random(5)
+    common = [f"w{k}" for k in range(12)]
+    words = lambda n: [rng.choice(common) if rng.random() < 0.5 else f"x{rng.randrange(10**6)}" for _ in range(n)]
+    seed, found = ["one", "two", "three", "four", "five"], 0
+    base = words(30) + seed + words(30)
+    holders, texts = substring_dedup.Holders(), []
+    for i in range(60):
+        text = words(40) + [w if w in seed or rng.random() > i / 150 else "y" for w in base] + words(40)
+        texts.append((i, text, text.index("one")))
+        holders.add(i, 0, texts[-1][2], np.frombuffer(substring_dedup.codes(" ".join(text)), np.uint8))
+    for i, text, at in texts:
+        near = {a for a, *_ in holders.near(i, at, np.frombuffer(substring_dedup.codes(" ".join(text)), np.uint8))}
+        for j, other, there in texts[:i]:
+            mine, theirs = ([w.encode() for w in t] for t in (text, other))
+            if substring_dedup.aligned(mine, theirs, (at, at + substring_dedup.SEED, there, there + substring_dedup.SEED)):
+                found += 1
+                assert j in near
+    assert found > 50
