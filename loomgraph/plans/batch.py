@@ -111,6 +111,8 @@ _USES = {
     "to_group": ("first", "metric"),
     **{f"value_{how}": ("threshold", "relations") for how in _MISSING}, **{f"count_{how}": ("threshold", "relations") for how in DEFAULTS},
 }
+#: The kinds of plans that rank metrics' rows, and those that take their totals by segment.
+_RANKED, _AVERAGED = ("rank_max", "rank_min", "topic_max", "topic_min"), ("groups", "all_groups", "to_group")
 _PARAMETERS = ("first", "second", "relations", "targets", "topics", "segments", "metric", "threshold")
 
 
@@ -124,6 +126,9 @@ class Batch:
     segment_rel: str | None = None
     real: list[str] = field(default_factory=list)
     known: dict[str, str] = field(default_factory=dict)
+    #: What the kinds of plans of a level share: the nodes that phrases name, and each phrase's totals by segment.
+    named: DataFrame | None = None
+    totals: DataFrame | None = None
 
     def answers(self, questions: DataFrame, query_id: str = "query_id") -> DataFrame:
         """(query_id, strategy, level and the columns of ANSWER) for a table with the columns of ASKED: the rows of each question's
@@ -146,7 +151,8 @@ class Batch:
             if not ops:
                 break
             plans = cut(todo.select("plan", "op", *_PARAMETERS).dropDuplicates(["plan"]))
-            rows = [self._rows(plans.filter(F.col("op") == op).drop("op"), op) for op in sorted(ops)]
+            mine = self._with_metrics(plans, ops)
+            rows = [mine._rows(plans.filter(F.col("op") == op).drop("op"), op) for op in sorted(ops)]
             rows = cut(union_all([r.select("plan", *[(F.col(c) if c in r.columns else F.lit(None)).cast(t).alias(c) for c, t in ANSWER.items()]) for r in rows]))
             given = todo.select("_q", "strategy", "level", "plan")
             out.append(given.join(rows, "plan").drop("plan"))
@@ -157,6 +163,15 @@ class Batch:
             return q.select(F.col("_q").alias(query_id), *nothing).limit(0)
         return union_all(out).withColumnRenamed("_q", query_id)
 
+    def _with_metrics(self, plans: DataFrame, ops: list[str]) -> Batch:
+        """This batch with what several kinds of plans about metrics need, found once for all of them."""
+        phrase = F.when(F.col("op").startswith("topic_"), F.try_element_at("topics", F.lit(-1))).otherwise(F.col("metric"))
+        ranked, averaged = (plans.filter(F.col("op").isin(*kinds)).select(phrase.alias("phrase")) for kinds in (_RANKED, _AVERAGED))
+        if not {*_RANKED, *_AVERAGED} & {*ops}:
+            return self
+        out = replace(self, named=cut(self._named(ranked.union(averaged), True)))
+        return replace(out, totals=cut(out._totals(averaged))) if {*_AVERAGED} & {*ops} else out
+
     def _rows(self, plans: DataFrame, op: str) -> DataFrame:
         stem, _, how = op.partition("_")
         if stem in ("extreme", "value", "count", "topic", "rank"):
@@ -307,30 +322,43 @@ class Batch:
         return self._best(rows.select("plan", "subject_name", "relationship", "object_name").distinct(), ["subject_name", "object_name", "relationship"], LISTED)
 
     # -- metrics ------------------------------------------------------------------------------------------------------
-    def _metrics(self, phrases: DataFrame) -> DataFrame:
-        """ranking.metric_rows for all phrases at once, with the phrase."""
+    def _metrics(self, phrases: DataFrame, about: DataFrame | None = None) -> DataFrame:
+        """ranking.metric_rows for all phrases at once, with the phrase; about: (src), the only subjects that are wanted."""
         g = self.graph
-        objects = self._named(phrases, True).select("phrase", F.col("id").alias("dst"), F.col("name").alias("object_name"))
+        phrases = phrases.select("phrase").dropna().distinct()
+        named = self._named(phrases, True) if self.named is None else self.named.join(small_or_not(phrases), "phrase", "left_semi")
+        objects = named.select("phrase", F.col("id").alias("dst"), F.col("name").alias("object_name"))
         subjects = g.of_type(self.kind).select(F.col("id").alias("src"), F.col("name").alias("subject_name"))
         rows = g.adjacency().filter(~is_growth(F.col("fact"))).withColumn("value", usable_value(value_of(g.edges.columns), F.col("fact"))).filter("value IS NOT NULL")
-        rows = rows.select("edge_id", "src", "dst", "fact", "value").join(small_or_not(objects), "dst").join(subjects, "src")
+        if about is not None:
+            rows, subjects = (df.join(small_or_not(about.distinct()), "src", "left_semi") for df in (rows, subjects))
+        rows = rows.select("edge_id", "src", "dst", "fact", "value").join(small_or_not(objects), "dst").join(small_or_not(subjects), "src")
         segment = F.lit(None).cast("string")
         if self.segment_rel:
             tags = g.with_rel(self.segment_rel).select("edge_id", "src", "dst").join(g.nodes.select(F.col("id").alias("dst"), F.col("name").alias("tag")), "dst")
             tags = (tags.filter(F.col("tag").isin(*self.real)) if self.real else tags).groupBy("src").agg(F.min_by("tag", "edge_id").alias("tag"))
             rows = rows.join(tags, "src", "left")
             segment = segment_of(F.col("subject_name"), F.col("tag"), self.real, self.known) if self.real else F.col("tag")
-        return rows.select("phrase", "edge_id", F.col("src").alias("subject_id"), "subject_name", "object_name", "fact", "value", segment.alias("segment"))
+        return rows.select("phrase", "edge_id", F.col("src").alias("subject_id"), "subject_name", F.col("dst").alias("_dst"), "value", segment.alias("segment"))
+
+    def _firsts(self, phrases: DataFrame, about: DataFrame | None = None) -> DataFrame:
+        return self._metrics(phrases, about).filter("segment IS NOT NULL").groupBy("phrase", "segment", "subject_id").agg(F.min_by("value", "edge_id").alias("value"))
 
-    def _firsts(self, phrases: DataFrame) -> DataFrame:
-        return self._metrics(phrases).filter("segment IS NOT NULL").groupBy("phrase", "segment", "subject_id").agg(F.min_by("value", "edge_id").alias("value"))
+    def _totals(self, phrases: DataFrame) -> DataFrame:
+        """(phrase, segment, mean, total, n) over one value for each subject."""
+        value = F.col("value")
+        return self._firsts(phrases).groupBy("phrase", "segment").agg(F.round(F.avg(value), 2).alias("mean"), F.sum(value.cast("decimal(30,8)")).alias("total"), F.count(F.lit(1)).alias("n"))
 
     def _rank(self, plans: DataFrame, how: str) -> DataFrame:
+        """The best row of each plan, whose fact and names are looked up when it is known."""
         wanted = plans.select("plan", F.col("metric").alias("phrase"), F.get("segments", F.lit(0)).alias("_segment"))
         rows = self._metrics(wanted).join(small_or_not(wanted), "phrase").filter(F.col("_segment").isNull() | (F.col("segment") == F.col("_segment")))
         key = F.struct("value", (-F.col("edge_id") if how == "max" else F.col("edge_id")).alias("_e"))
-        best = (F.max_by if how == "max" else F.min_by)(F.struct("subject_id", "subject_name", "object_name", "fact", "value"), key)
-        return rows.groupBy("plan").agg(best.alias("best")).select("plan", "best.*")
+        best = (F.max_by if how == "max" else F.min_by)(F.struct("edge_id", F.col("subject_id").alias("src"), F.col("_dst").alias("dst"), "value"), key)
+        best = small_or_not(cut(rows.groupBy("plan").agg(best.alias("best")).select("plan", "best.*")))
+        facts = self.graph.adjacency().select("edge_id", "src", "dst", "fact").join(best, ["edge_id", "src", "dst"])
+        facts = facts.join(self._names("src", "subject"), "src").join(self._names("dst", "object"), "dst")
+        return facts.select("plan", F.col("src").alias("subject_id"), "subject_name", "object_name", "fact", "value")
 
     def _topic(self, plans: DataFrame, how: str) -> DataFrame:
         """Ranks all subjects by the second node's words, whatever the first one is."""
@@ -338,8 +366,7 @@ class Batch:
 
     def _averages(self, plans: DataFrame) -> DataFrame:
         wanted = plans.select("plan", F.col("metric").alias("phrase"), "segments")
-        means = self._firsts(wanted).groupBy("phrase", "segment").agg(F.round(F.avg("value"), 2).alias("value"), F.count(F.lit(1)).alias("n"))
-        return means.join(wanted, "phrase")
+        return self.totals.select("phrase", "segment", F.col("mean").alias("value"), "n").join(wanted, "phrase")
 
     def _groups(self, plans: DataFrame) -> DataFrame:
         return self._averages(plans).filter(F.array_contains("segments", F.col("segment"))).select("plan", F.col("segment").alias("subject_name"), "value", "n")
@@ -349,8 +376,8 @@ class Batch:
 
     def _to_group(self, plans: DataFrame) -> DataFrame:
         wanted = plans.select("plan", F.col("metric").alias("phrase"), F.col("first").alias("subject_id"))
-        firsts = cut(self._firsts(wanted))
-        totals = firsts.groupBy("phrase", "segment").agg(F.sum(F.col("value").cast("decimal(30,8)")).alias("_total"), (F.count(F.lit(1)) - 1).alias("n"))
+        firsts = self._firsts(wanted, wanted.select(F.col("subject_id").alias("src")))
+        totals = self.totals.select("phrase", "segment", F.col("total").alias("_total"), (F.col("n") - 1).alias("n"))
         own = firsts.join(wanted, ["phrase", "subject_id"]).join(totals, ["phrase", "segment"])
         mean = F.when(F.col("n") > 0, F.round((F.col("_total").cast("double") - F.col("value")) / F.col("n"), 2))
         return own.select("plan", "subject_id", F.col("segment").alias("object_name"), "value", mean.alias("average"), "n")

@@ -95,3 +95,15 @@ def test_names_that_hold_phrases(spark, engine):
     assert rows == {(p, n) for p in phrases for n in names if holds(n.lower(), p.lower())}
     rows = {(r.phrase, r.name) for r in batch.Batch(g)._named(spark.createDataFrame([(p,) for p in phrases], "phrase string"), False).collect()}
     assert rows == {(p, n) for p in phrases for n in names if p.lower() in n.lower()}
+
+
+def test_kinds_about_metrics_share_the_names_and_totals(spark, monkeypatch):
+    """The best, all groups, two groups and one subject against its group: names are looked up once, totals by segment too."""
+    calls = {"_named": 0, "_firsts": []}
+    named, firsts = batch.Batch._named, batch.Batch._firsts
+    monkeypatch.setattr(batch.Batch, "_named", lambda self, *a: calls.update(_named=calls["_named"] + 1) or named(self, *a))
+    monkeypatch.setattr(batch.Batch, "_firsts", lambda self, *a: calls["_firsts"].append(len(a) > 1) or firsts(self, *a))
+    from loomgraph.plans.catalogue_batch import questions_ranked
+
+    questions_ranked(spark, "/root/testdata/sf0.001")
+    assert calls == {"_named": 1, "_firsts": [False, True]}  # all subjects once, and the one that is asked for
