@@ -24,7 +24,7 @@ PARTNERS_A_TASK = 256
 #: then shares rare differences again and again, and is listed too.
 LISTED, LEVELS = 32, 4
 #: Entries that one task counts, those whose marks are packed at once, and bytes of texts whose entries are made at once.
-BUCKET_ENTRIES, CHUNK_ENTRIES, SLICE_BYTES = 500_000, 900_000, 500_000
+BUCKET_ENTRIES, CHUNK_ENTRIES, SLICE_BYTES = 500_000, 300_000, 200_000
 #: Places in the table of bits for each key that several sets have.
 KEY_PLACES = 64
 #: What looking at a pair costs, in index entries: a pair is a row of a join and two sketches, an entry some three bytes.

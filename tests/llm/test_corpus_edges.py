@@ -5,9 +5,11 @@ import itertools
 import math
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -422,3 +424,28 @@ def test_no_holder_of_a_passage_goes_for_its_runs_of_three_words():
                 found += 1
                 assert j in near
     assert found > 50
+
+
+def test_a_task_of_the_near_copies_index_holds_little(monkeypatch):
+    """The arrays of a task that counts 1,300,000 marks, beside its texts."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 400))) for _ in range(5000)]
+    band = jaccard_join._band(396, 80)
+    taken = []
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        groupBy = applyInArrow = select
+
+    monkeypatch.setattr(jaccard_join, "in_arrow", lambda df, run, *_: taken.append(run) or df)
+    monkeypatch.setattr(jaccard_join, "cut", lambda df: df)
+    jaccard_join._shared_keys(Frame(), 5, 80, dict.fromkeys((band, band - 1), (70, 10)), 1_300_000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 1000)), pa.array(texts[k : k + 1000])], names=["id", "text"]) for k in range(0, 5000, 1000)]
+    tracemalloc.start()
+    try:
+        assert sum(batch.num_rows for batch in taken[0](iter(batches))) > 16
+        assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    finally:
+        tracemalloc.stop()
