@@ -449,3 +449,26 @@ def test_a_task_of_the_near_copies_index_holds_little(monkeypatch):
         assert tracemalloc.get_traced_memory()[1] < 40_000_000
     finally:
         tracemalloc.stop()
+
+
+def test_runs_of_one_word_make_no_pairs(spark):
+    """Seeds of one word over and over, whose surroundings have no passage, are sifted out; those with one stay."""
+    rng = random.Random(8)
+    some = lambda k: [f"v{rng.randrange(3000)}" for _ in range(k)]
+    texts = [[*["the"] * rng.randint(6, 39), *["of"] * rng.randint(6, 39), *some(60)] for _ in range(40)]
+    common = some(30)
+    for k in (50, 51):
+        texts.append([*some(20), *["the"] * 25, *common[: 10 + k % 2], f"x{k}", *common[11:], *some(30)])
+    rows = []
+    for i, words in enumerate(texts):
+        at = words.index("the")
+        rows.append((7, i, at, True, 1, 0, bytearray(substring_dedup.codes(" ".join(words)))))
+    around = spark.createDataFrame(rows, "key long, id long, place long, asks boolean, parts int, `from` long, around binary")
+    pairs = {(r.a, r.b) for r in substring_dedup._sift_seeds(around).collect()}
+    found = set()
+    for b, mine in enumerate(texts):
+        for a, other in enumerate(texts[:b]):
+            x, y = mine.index("the"), other.index("the")
+            if substring_dedup.aligned([w.encode() for w in mine], [w.encode() for w in other], (x, x + substring_dedup.SEED, y, y + substring_dedup.SEED)):
+                found.add((a, b))
+    assert (40, 41) in found and found <= pairs and len(pairs) <= 2 * len(found) + 5
