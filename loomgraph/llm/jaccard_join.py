@@ -41,8 +41,10 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     k = min(n, len(h))
     total = np.full(len(h) - k + 1, np.uint64(k) * np.uint64(0x2545F4914F6CDD1D), dtype=np.uint64)
     for i in range(k):
-        total = mixed(total + h[i : len(h) - k + 1 + i] * _FACTORS[i % 5])
-    return np.unique(total)
+        total += h[i : len(h) - k + 1 + i] * (_FACTORS[i % 5] + np.uint64(2 * (i // 5)))
+    total = mixed(total)
+    total.sort()
+    return total[np.append(True, total[1:] != total[:-1])]
 
 
 @lru_cache(maxsize=None)
@@ -88,6 +90,11 @@ def allocation(budget: int, size: float, sets: int) -> tuple[int, int]:
     return best[1:]
 
 
+@lru_cache(maxsize=256)
+def _salts(shelf: int, segments: int) -> np.ndarray:
+    return mixed(np.arange(segments, dtype=np.uint64) + np.uint64(shelf * int(_FACTORS[2]) & (1 << 64) - 1))
+
+
 def index_keys(tokens: np.ndarray, shelf: int, exact: int, deletion: int) -> np.ndarray:
     """The keys under which a set is indexed on a shelf: a sum of hashes for each segment, and for deletion segments also
     that sum less each of the segment's shingles."""
@@ -97,7 +104,7 @@ def index_keys(tokens: np.ndarray, shelf: int, exact: int, deletion: int) -> np.
     value = mixed(tokens ^ _FACTORS[1])
     sums = np.zeros(m, dtype=np.uint64)
     np.add.at(sums, segment, value)
-    salt = mixed(np.arange(m, dtype=np.uint64) + np.uint64(shelf * int(_FACTORS[2]) & (1 << 64) - 1))
+    salt = _salts(shelf, m)
     keys = mixed(sums + salt)
     if deletion:
         loose = segment >= exact
@@ -273,8 +280,8 @@ def _set(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _shared_entries(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, int]], shared: DataFrame, bits: int) -> DataFrame:
-    """The index's entries whose marks are shared: (mark, key, id, n, index, open). A bit table, sized from the number of
-    shared marks up to 16 MB, sorts out nearly all others before any row is made of them; the join with the marks decides. A mark
+    """The index's entries whose marks are shared, and hardly any others: (mark, key, id, n, index, open). A bit table, sized from the
+    number of shared marks up to 16 MB, sorts out nearly all others before any row is made of them; the keys' counts decide. A mark
     has two bits there, by its lower and its upper end, so that hardly one in a thousand others meets both."""
     size = min(table_bits(shared.count() * KEY_PLACES // 16), bits)
     table = np.zeros(1 << (size - 3), dtype=np.uint8)
@@ -296,18 +303,15 @@ def _shared_entries(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple
     return in_arrow(docs.select("id", "text"), pick, "mark long, key long, id long, n long, index boolean, open boolean")
 
 
-def _live(buckets: DataFrame, scratch: Scratch) -> DataFrame:
-    """buckets (key, id, n, index, open) with their size, less those that hold no pair to look at."""
-    counts = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if("index").alias("_i"), F.count_if("open").alias("_o")).filter("size > 1 AND _i > 0 AND _o > 0").select("key", "size"))
-    return scratch.written(_fewer(join_groups(buckets, counts, ["key"], "size", max(1, counts.count())).filter("size IS NOT NULL")), "buckets")
-
-
-def _fewer(buckets: DataFrame) -> DataFrame:
-    """buckets without those that have the same members as another: near copies share most of their keys."""
+def _live(buckets: DataFrame) -> DataFrame:
+    """buckets (key, id, n, index, open), written, with their size, less those that hold no pair to look at and those that have the
+    same members as another: near copies share most of their keys. Most rows go by a table of bits before any is shuffled."""
     member = F.xxhash64("id", "index", "open")
-    kinds = buckets.groupBy("key").agg(F.bit_xor(member).alias("_x"), F.sum(member.bitwiseAND(F.lit((1 << 40) - 1))).alias("_s"), F.max("size").alias("size"))
-    first = cut(kinds.groupBy("_x", "_s", "size").agg(F.min("key").alias("key")).select("key", F.col("size").alias("_rows")))
-    return join_groups(buckets, first, ["key"], "_rows", max(1, first.count())).filter("_rows IS NOT NULL").drop("_rows")
+    rows = F.count(F.lit(1)).alias("size")
+    kinds = buckets.groupBy("key").agg(F.bit_xor(member).alias("_x"), F.sum(member.bitwiseAND(F.lit((1 << 40) - 1))).alias("_s"), rows, F.count_if("index").alias("_i"), F.count_if("open").alias("_o"))
+    first = cut(kinds.filter("size > 1 AND _i > 0 AND _o > 0").groupBy("_x", "_s", "size").agg(F.min("key").alias("key")).select("key", "size"))
+    some = buckets if is_small(first) else likely_among(buckets, first.select("key"), "key")
+    return join_groups(some, first, ["key"], "size", max(1, first.count())).filter("size IS NOT NULL")
 
 
 def _apart(a: str, b: str) -> Column:
@@ -475,9 +479,8 @@ def _near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int, scratch
     texts = texts.filter("id IS NOT NULL")
     indexed = without(texts.select("id", "text"), cut(twins))
     shared, bits = _shared_keys(indexed, n, percent, plan, total)
-    entries = _shared_entries(indexed, n, percent, plan, shared, bits)
-    entries = join_groups(entries, shared, ["mark"], "size", max(1, shared.count())).filter("size IS NOT NULL").drop("mark")
-    buckets = scratch.written(_fewer(scratch.written(entries, "entries")), "buckets")
+    entries = scratch.written(_shared_entries(indexed, n, percent, plan, shared, bits).drop("mark"), "entries")
+    buckets = scratch.written(_live(entries), "buckets")
     involved = cut(buckets.select("id").distinct())
     sketches = scratch.written(_sketches(likely_among(indexed, involved), n, percent, plan), "sketches")
     repeated = sketches.groupBy("id").count().filter("count > 1").select("id")
@@ -515,7 +518,7 @@ def _near_links(texts: DataFrame, sets: DataFrame, n: int, percent: int, scratch
         if buckets is None:
             break
         buckets = _apart_still(_with_components(scratch.written(buckets, "picked"), labels))
-        buckets = scratch.written(_with_components(_live(buckets.drop("comp"), scratch), labels), "buckets")
+        buckets = scratch.written(_with_components(_live(scratch.written(buckets.drop("comp"), "buckets")), labels), "buckets")
     found = compare(texts, candidates, n, percent).filter("linked").select("a", "b").distinct()
     return cut(found if links is None else links.unionByName(found).distinct())
 

@@ -472,3 +472,21 @@ def test_runs_of_one_word_make_no_pairs(spark):
             if substring_dedup.aligned([w.encode() for w in mine], [w.encode() for w in other], (x, x + substring_dedup.SEED, y, y + substring_dedup.SEED)):
                 found.add((a, b))
     assert (40, 41) in found and found <= pairs and len(pairs) <= 2 * len(found) + 5
+
+
+def test_groups_beyond_a_broadcast_take_one_join(spark, monkeypatch):
+    """Hot keys are dealt out by constants of the plan: rows aren't joined for that first."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    rows = [(k % 7 if k < 900 else k, "a" if k % 2 else None, k) for k in range(2000)]
+    groups = {}
+    for k, a, _ in rows:
+        groups[k, a] = groups.get((k, a), 0) + 1
+    left = spark.createDataFrame([*rows, (5000, "a", -1)], "k int, a string, v long")
+    right = spark.createDataFrame([(k, a, n) for (k, a), n in groups.items()], "k long, a string, n long").filter("n <> 2")
+    for keys in (["k"], ["k", "a"]):
+        held = right if len(keys) == 2 else right.filter("a = 'a'").drop("a")
+        joined = common.join_groups(left, held, keys, "n", len(rows))
+        known = {tuple(r[c] for c in keys): r["n"] for r in held.collect() if None not in [r[c] for c in keys]}
+        want = sorted((v, known.get((k, a)[: len(keys)])) for k, a, v in left.collect())
+        assert sorted((r.v, r.n) for r in joined.collect()) == want
+        assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
